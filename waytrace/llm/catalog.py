@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waytrace.llm import packing, secret_ledger, simhash, url_filters, warc
+from waytrace.llm import mixing, packing, secret_ledger, simhash, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_packing": packing.op2_packing,
+    "op4_mixing": mixing.op4_mixing,
     "op7_secret_scans": secret_ledger.op7_secret_scans,
     "op8_warc": warc.op8_warc,
     "op9_simhash": simhash.op9_simhash,
