@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer text is cut into segments.
 SEGMENT_BYTES = 1 << 20
@@ -63,3 +64,25 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: Ids that a sample for range bounds holds, at most about.
+SAMPLED_IDS = 20_000
+
+
+def id_bounds(df: DataFrame, column: str, parts: int) -> list[float]:
+    """Increasing inner bounds that cut the distinct ids into about equal ranges, from a sample that the ids alone decide."""
+    ids = df.select(F.col(column).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    every = max(1, ids.count() // SAMPLED_IDS)
+    sample = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).collect())
+    return sorted({float(sample[len(sample) * i // parts]) for i in range(1, parts)}) if sample else []
+
+
+def with_range(df: DataFrame, column: str, bounds: list[float], name: str) -> DataFrame:
+    """``df`` with the number of the range its id falls in; null ids have the last number of all."""
+    from pyspark.ml.feature import Bucketizer
+
+    placed = df.withColumn("_place", F.col(column).cast("double"))
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_range", handleInvalid="keep").transform(placed)
+    return dealt.withColumn(name, F.col("_range").cast("int")).drop("_place", "_range")

@@ -37,13 +37,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import shared_dir, table
+from waytrace.llm.common import id_bounds, shared_dir, table, with_range
 
 REVISIT_BYTES = 100
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 20_000
 ROLL_BYTES = 64 << 20
-SAMPLED_IDS = 20_000
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,37 +110,23 @@ class _Shard:
         return [(self.name, self.records, self.size, self.sum.hexdigest())]
 
 
-def shard_bounds(pages: DataFrame, shards: int) -> list[float]:
-    """Increasing inner bounds of page_id, by a sample that the ids alone decide."""
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id IS NOT NULL").distinct()
-    every = max(1, ids.count() // SAMPLED_IDS)
-    sample = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).collect())
-    return sorted({float(sample[len(sample) * i // shards]) for i in range(1, shards)}) if sample else []
-
-
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> list[dict]:
     """Write ``pages`` (page_id, url, html) below ``folder`` and return the manifest's rows."""
-    from pyspark.ml.feature import Bucketizer
-
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     total = base.agg(F.sum("size")).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
-    bounds = shard_bounds(pages, shards)
+    bounds = id_bounds(pages, "page_id", shards)
 
     large = base.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
     groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     later = large.join(groups, "digest").where("page_id > first OR (page_id IS NULL AND first IS NOT NULL)").select("page_id", "digest", "first")
     rows = base.select(F.lit(1).alias("kind"), "page_id", "digest", F.lit(None).cast("long").alias("first"), "url", "payload", "size")
     hints = later.select(F.lit(0).alias("kind"), "page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("size"))
-    both = rows.unionByName(hints).withColumn("place", F.col("page_id").cast("double"))
-    if bounds:
-        both = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="place", outputCol="shard", handleInvalid="keep").transform(both)
-    else:
-        both = both.withColumn("shard", F.lit(0.0))
+    both = with_range(rows.unionByName(hints), "page_id", bounds, "shard")
     sorted_rows = (
-        both.select(F.col("shard").cast("int").alias("shard"), "page_id", "kind", "digest", "first", "url", "payload", "size")
+        both.select("shard", "page_id", "kind", "digest", "first", "url", "payload", "size")
         .repartition(max(1, shards), "shard")
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     )
