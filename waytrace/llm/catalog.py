@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from waytrace.llm import merkle, mixing, packing, secret_ledger, simhash, url_filters, warc
+from waytrace.llm import language_model, merkle, mixing, packing, secret_ledger, simhash, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_packing": packing.op2_packing,
     "op4_mixing": mixing.op4_mixing,
+    "op5_ppm": language_model.op5_ppm,
     "op6_merkle": merkle.op6_merkle,
     "op7_secret_scans": secret_ledger.op7_secret_scans,
     "op8_warc": warc.op8_warc,
