@@ -1,3 +1,73 @@
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the docs of the next. All but the last return the
+columns of ``documents``.
+
+1. quality classifier: rejected documents go.
+2. SimHash near-dedup: of each group one document stays. Five-word shingles;
+   fingerprints within ``RADIUS`` bits whose shingles have a similarity of 0.8 or more.
+3. secret scans: what the rules find is masked.
+4. mixing: whole documents are taken as often as their source's target wants.
+5. packing: the place of each piece of each document in sequences of 2048 ids.
+
+Each stage works on all rows of the one before; null text, repeated rows and empty tables are
+what the operators say. The stages depend on a trained scorer and on tokenizer files, which
+SQL can't express: ORACLE_SQL is None.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from waytrace.llm import mixing, packing, quality, secret_ledger, simhash
+from waytrace.llm.common import shared_dir, table
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Bits: a similarity of 0.8 in shingles is about 10 of 64 bits apart.
+RADIUS = 12
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, SHINGLE, RADIUS, SIMILARITY)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_ledger.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", classified),
+    ("simhash near-dedup", deduplicated),
+    ("secret scans", without_secrets),
+    ("mixing to target weights", mixed),
+    ("packing", packed),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between them is in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/waytrace-pipeline-{uuid.uuid4().hex}"
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

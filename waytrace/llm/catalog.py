@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waytrace.llm import language_model, merkle, mixing, packing, secret_ledger, simhash, url_filters, warc
+from waytrace.llm import language_model, merkle, mixing, packing, quality, secret_ledger, simhash, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_secret_scans": secret_ledger.op7_secret_scans,
     "op8_warc": warc.op8_warc,
     "op9_simhash": simhash.op9_simhash,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_url_filters": url_filters.ORACLE,
