@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waytrace.llm import language_model, merkle, mixing, packing, quality, secret_ledger, simhash, url_filters, warc
+from waytrace.llm import language_model, merkle, mixing, packing, quality, secret_ledger, simhash, url_filters, warc, webp
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_packing": packing.op2_packing,
+    "op3_webp": webp.op3_webp,
     "op4_mixing": mixing.op4_mixing,
     "op5_ppm": language_model.op5_ppm,
     "op6_merkle": merkle.op6_merkle,
