@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from waytrace.plans.telemetry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "road_match_merged"
 
-FLAGSHIP = "trip_summary"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
