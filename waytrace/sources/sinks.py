@@ -34,8 +34,9 @@ def write_geojson(roads: DataFrame, path: str) -> None:
         F.struct("route_id", "route_type").alias("properties"),
         F.struct(F.lit("LineString").alias("type"), F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")).alias("geometry"),
     )
-    rows = roads.select(F.to_json(feature).alias("value")).repartition(1)
-    body = rows.mapInArrow(_collection, "value string")
+    # a NULL row keeps the one task of an empty table
+    start = roads.sparkSession.createDataFrame([(None,)], "value string")
+    body = start.unionByName(roads.select(F.to_json(feature).alias("value"))).repartition(1).mapInArrow(_collection, "value string")
     body.write.mode("overwrite").text(path)
 
 
@@ -45,7 +46,7 @@ def _collection(batches):
     yield pa.RecordBatch.from_pydict({"value": ['{"type": "FeatureCollection", "features": [']})
     lead = ""
     for batch in batches:
-        lines = batch.column(0).to_pylist()
+        lines = [x for x in batch.column(0).to_pylist() if x is not None]
         if lines:
             yield pa.RecordBatch.from_pydict({"value": [("," if i or lead else "") + x for i, x in enumerate(lines)]})
             lead = ","
