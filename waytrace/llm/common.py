@@ -39,14 +39,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and its n + 1 offsets; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    n = len(column)
-    _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64, count=column.offset + n + 1)[column.offset :] if n else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return raw, offsets
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for helper columns beside those of a table."""
+    prefix = "_w"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import staged, table
+from waytrace.llm.common import free_prefix, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -262,14 +262,16 @@ def mix_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     """The rows of ``docs`` as often as the mix of whole documents takes them, with the columns of ``docs``.
 
     Rows alike in doc_id and text share out what is taken of them together."""
-    columns = docs.columns
-    taken = draws(docs, weights, share, most, seed=seed, whole=True).groupBy("doc_id", "order").agg(F.sum((F.col("words") > 0).cast("long")).alias("_copies"), F.countDistinct("row").alias("_rows"))
-    taken = taken.where("_copies > 0").withColumnsRenamed({"doc_id": "_id", "order": "_order"})
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(taken, (keyed["_key"] == taken["_order"]) & keyed["doc_id"].cast("long").eqNullSafe(taken["_id"]))
-    nth = F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long")
-    return joined.withColumn("_nth", nth).withColumn("_own", own.cast("int")).where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_own"))).select(*columns)
+    p = free_prefix(docs)
+    got = draws(docs, weights, share, most, seed=seed, whole=True).groupBy("doc_id", "order").agg(F.sum((F.col("words") > 0).cast("long")).alias(f"{p}copies"), F.countDistinct("row").alias(f"{p}rows"))
+    got = got.where(F.col(f"{p}copies") > 0).withColumnsRenamed({"doc_id": f"{p}id", "order": f"{p}order"})
+    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    joined = keyed.join(got, (keyed[f"{p}key"] == got[f"{p}order"]) & keyed["doc_id"].cast("long").eqNullSafe(got[f"{p}id"]))
+    nth = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}id").orderBy(f"{p}key"))
+    copies, rows = F.col(f"{p}copies"), F.col(f"{p}rows")
+    own = F.floor(copies / rows) + (F.col(f"{p}nth") <= copies % rows).cast("long")
+    numbered = joined.withColumn(f"{p}nth", nth).withColumn(f"{p}own", own.cast("int")).where(F.col(f"{p}own") > 0)
+    return numbered.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), f"{p}own"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

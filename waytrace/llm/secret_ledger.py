@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import table
+from waytrace.llm.common import free_prefix, table
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -138,13 +138,14 @@ def redact(docs: DataFrame, rules: list[Rule] | None = None, mask: str = "[SECRE
     rules = RULES if rules is None else rules
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    p = free_prefix(docs)
+    new, at, key = f"{p}new", f"{p}spans", f"{p}key"
     spans = F.array_sort(F.concat(*[rule_spans(F.col("text"), r) for r in rules]))
-    findings = blobs.select("blob", spans.alias("_spans")).where(F.size("_spans") > 0)
-    columns = docs.columns
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2(text, 256)))
-    joined = keyed.join(findings, keyed["_blob"] == findings["blob"], "left").drop("blob", "_blob")
+    findings = blobs.select(F.col("blob").alias(f"{p}blob"), spans.alias(at)).where(F.size(at) > 0)
+    keyed = docs.withColumn(key, F.unhex(F.sha2(text, 256)))
+    joined = keyed.join(findings, keyed[key] == findings[f"{p}blob"], "left")
     cut = F.aggregate(
-        "_spans",
+        at,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
@@ -152,9 +153,11 @@ def redact(docs: DataFrame, rules: list[Rule] | None = None, mask: str = "[SECRE
         ),
         lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))),
     )
-    masked = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
-    counted = F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return masked.withColumn("n_chars", counted).withColumn("text", F.col("_new")).select(*columns)
+    masked = joined.withColumn(new, F.when(F.col(at).isNotNull(), cut).otherwise(F.col("text")))
+    columns = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(at).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return masked.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import runs, staged, table, texts
+from waytrace.llm.common import free_prefix, staged, table, texts
 
 SHINGLE = 3
 RADIUS = 3
@@ -397,13 +397,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min
 def keep_one(docs: DataFrame, k: int, radius: int, min_jaccard: float | None) -> DataFrame:
     """One row of ``docs`` per component, with all its columns: the one with the smallest doc_id (null last; then by a
     hash of the row; of equal rows one)."""
-    columns = docs.columns
-    row = f"xxhash64({', '.join(f'`{c}`' for c in columns)})"
+    p = free_prefix(docs)
+    names = ", ".join("`" + c.replace("`", "``") + "`" for c in docs.columns)
+    row = f"xxhash64({names})"
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    chosen = rooted(docs, k, radius, min_jaccard, row).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_chosen"))
-    keyed = docs.withColumn("_row", F.expr(row))
-    kept = keyed.join(chosen, keyed["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (keyed["_row"] == chosen["_chosen"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row"]).select(*columns)
+    chosen = rooted(docs, k, radius, min_jaccard, row).groupBy("root").agg(first).select(F.col("first.doc_id").alias(f"{p}id"), F.col("first.row").alias(f"{p}chosen"))
+    keyed = docs.withColumn(f"{p}row", F.expr(row))
+    kept = keyed.join(chosen, keyed["doc_id"].cast("long").eqNullSafe(chosen[f"{p}id"]) & (keyed[f"{p}row"] == chosen[f"{p}chosen"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", f"{p}row"]).drop(f"{p}row")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
