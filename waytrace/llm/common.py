@@ -83,4 +83,4 @@ def with_range(df: DataFrame, column: str, bounds: list[float], name: str) -> Da
     placed = df.withColumn("_place", F.col(column).cast("double"))
     splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_range", handleInvalid="keep").transform(placed)
-    return dealt.withColumn(name, F.col("_range").cast("int")).drop("_place", "_range")
+    return dealt.withColumn(name, F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1))).drop("_place", "_range")

@@ -90,7 +90,7 @@ class _Shard:
         if self.out is None:
             self.name = f"shard-{self.shard:05d}-{self.part:04d}.warc.gz"
             self.temporary = f"{self.folder}/_tmp-{uuid.uuid4().hex}-{self.name}"
-            self.out, self.records, self.size, self.sum = self.store.open_output_stream(self.temporary), 0, 0, hashlib.sha256()
+            self.out, self.records, self.size, self.sum = self.store.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha256()
             info = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             self._put(info)
         self._put(member)
@@ -209,7 +209,7 @@ def read_warc(spark: SparkSession, folder: str, files: list[dict] | None = None)
         store, path = fs.FileSystem.from_uri(folder)
         for name in (n for batch in batches for n in batch.column(0).to_pylist()):
             found = []
-            with store.open_input_stream(f"{path}/{name}") as stream:
+            with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                 for headers, block in map(parse, members(stream)):
                     if headers["WARC-Type"] == "warcinfo":
                         continue
