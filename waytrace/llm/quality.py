@@ -219,7 +219,9 @@ class Model:
 def expectation_maximisation(codes: list[int], times: list[int]) -> Model:
     """Latent classes: good, and a kind of bad for each labeller, as texts bad in one way are fine in others.
 
-    Starts from: good unless a labeller says bad, and then of the kind of the first that does. Who says nothing tells nothing."""
+    Starts from: good unless a labeller says bad, and then of the kind of the first that does. Who says nothing tells nothing.
+    A kind that differs from good texts in one vote only can't be told from a labeller that is often wrong by counts alone:
+    a prior that weighs as much as the corpus says that labellers seldom call good texts bad."""
     kinds = 1 + len(LABELLERS)
     votes = np.array([votes_of(c) for c in codes], np.int64).reshape(len(codes), len(LABELLERS))
     n = np.array(times, float)
@@ -234,6 +236,7 @@ def expectation_maximisation(codes: list[int], times: list[int]) -> Model:
         shares = (mass.sum(0) + 0.1) / (n.sum() + 0.1 * kinds)
         for v in (BAD, GOOD):
             rates[:, :, v] = (votes == v).T.astype(float) @ mass + 0.1
+        rates[:, 0, GOOD] += n.sum()
         rates /= rates.sum(2, keepdims=True)
         told = np.where(np.arange(3) == NOTHING, 1.0, rates)
         logs = np.log(shares)[None, :] + sum(np.log(told[j][:, votes[:, j]]).T for j in range(len(LABELLERS)))
