@@ -207,9 +207,10 @@ class Model:
     bias: float = 0.0
 
     def accuracies(self) -> dict[str, float]:
-        """How often what each labeller says is right, by the estimates."""
-        right = self.shares[0] * self.rates[:, 0, GOOD] + self.rates[:, 1:, BAD] @ self.shares[1:]
-        return dict(zip(LABELLERS, right.tolist(), strict=True))
+        """How often each labeller is right, by the estimates, when it speaks of good texts or of its own kind of bad ones."""
+        own = np.arange(len(self.rates))
+        good, bad = self.shares[0] * self.rates[:, 0, GOOD], self.shares[own + 1] * self.rates[own, own + 1, BAD]
+        return dict(zip(LABELLERS, ((good + bad) / (self.shares[0] + self.shares[own + 1])).tolist(), strict=True))
 
     def score(self, features: np.ndarray, words: int) -> float:
         """The scorer's probability of good; features of words are the lower half of the buckets."""
