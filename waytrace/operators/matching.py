@@ -109,6 +109,7 @@ def debounced_octants(headings: DataFrame, column: str = "heading", hold: int =
 def place_labels(cities: DataFrame, bounds: DataFrame, width: int, height: int, font_px: float) -> DataFrame:
     """(trip_id, rank, name, dx_pt, dy_pt): by rank, the first of four spots around the city whose box is inside the
     panel (1 px border) and on no placed label; NULL where none is."""
+    # A letter's width and a line's height in font sizes, the spots beside a city, points per pixel.
     w = 0.62 * font_px * F.length("name")
     x = (F.col("lon") - F.col("min_lon")) / (F.col("max_lon") - F.col("min_lon")) * width
     y = (F.col("max_lat") - F.col("lat")) / (F.col("max_lat") - F.col("min_lat")) * height

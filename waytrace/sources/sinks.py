@@ -74,6 +74,7 @@ def ass_events(spans: DataFrame, info: DataFrame | None = None, titles: DataFram
 
 def ass_header(font: str = "Arial", size: int = 48, position: str = "bottom_center", margin_v: int = 40, outline: int = 2, info_size: int = 26, info_margin_v: int = 8, title_size: int = 56, title_outline: int = 3, title_margin_v: int = 280) -> str:
     """Script information and the three styles."""
+    # The script's header lines, the fields of a style and of an event.
     align = ALIGNMENT.get(position, 2)
     white, black, shade = "&H00FFFFFF", "&H00000000", "&H80000000"
 
