@@ -17,53 +17,57 @@ from waytrace.operators import spatial
 OCTANTS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
 
-def match_roads(seconds: DataFrame, roads: DataFrame, tolerance_mi: float = 0.031, grace: int = 3, freeze_mph: float = 3.0) -> DataFrame:
-    """(trip_id, sec, route_id, cardinal) of ``seconds`` (trip_id, sec, lat, lon, heading, speed_mph).
+def match_roads(seconds: DataFrame, roads: DataFrame, tolerance_mi: float = 0.031, grace: int = 3, freeze_mph: float = 3.0, max_extra: int = 0) -> DataFrame:
+    """(trip_id, sec, route_id, cardinal, extras) of ``seconds`` (trip_id, sec, lat, lon, heading, speed_mph).
 
     A road is kept while the trip is within the tolerance of it, and for up to ``grace`` seconds outside; then, in the same
-    second, the best road there is taken, if any. Below ``freeze_mph`` (but for the first second; NULL speed never)
-    the last output stands and nothing moves on."""
-    key = ["trip_id", "sec"]
-    return follow_roads(seconds, spatial.candidates(seconds, roads, tolerance_mi, key), grace, freeze_mph)
+    second, the best road there is taken, if any. ``extras`` are up to ``max_extra`` other roads there, best first, where a road
+    is matched. Below ``freeze_mph`` (but for the first second; NULL speed never) the last output stands and nothing moves on."""
+    return follow_roads(seconds, spatial.candidates(seconds, roads, tolerance_mi, ["trip_id", "sec"]), grace, freeze_mph, max_extra)
 
 
-def follow_roads(seconds: DataFrame, found: DataFrame, grace: int, freeze_mph: float) -> DataFrame:
+def follow_roads(seconds: DataFrame, found: DataFrame, grace: int, freeze_mph: float, max_extra: int = 0) -> DataFrame:
     key = ["trip_id", "sec"]
+    ranked = F.struct("tier", "acquire_mi", "road_seq", "route_id")
     asked = found.groupBy(*key).agg(
-        F.min_by(F.when(F.col("acquire_mi").isNotNull(), F.col("route_id")), F.struct(F.col("acquire_mi").isNull(), "tier", "acquire_mi", "road_seq")).alias("best"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("acquire_mi").isNotNull(), ranked))), lambda c: c["route_id"]).alias("near"),
         F.collect_list(F.when(F.col("hold_mi").isNotNull(), F.col("route_id"))).alias("hold"),
     )
     rows = seconds.select(*key, F.col("speed_mph"), scalar.cardinal4(F.col("heading")).alias("facing")).join(asked, key, "left")
 
     def fold(trip: pd.DataFrame) -> pd.DataFrame:
         trip = trip.sort_values("sec")
-        current, off, last, ids, faces = None, 0, None, [], []
-        for speed, facing, best, hold in zip(trip["speed_mph"], trip["facing"], trip["best"], trip["hold"], strict=True):
+        current, off, last, out = None, 0, None, []
+        for speed, facing, near, hold in zip(trip["speed_mph"], trip["facing"], trip["near"], trip["hold"], strict=True):
             if last is None or not speed < freeze_mph:
+                near = [] if near is None else list(near)
                 if current is not None and hold is not None and current in hold:
                     off = 0
                 elif current is not None and off < grace:
                     off += 1
                 else:
-                    current, off = best, 0
-                last = (current, facing if current is not None else None)
-            ids.append(last[0])
-            faces.append(last[1])
-        return pd.DataFrame({"trip_id": trip["trip_id"], "sec": trip["sec"], "route_id": ids, "cardinal": faces})
+                    current, off = (near[0] if near else None), 0
+                last = (None, None, []) if current is None else (current, facing, [r for r in near if r != current][:max_extra])
+            out.append(last)
+        return pd.DataFrame({"trip_id": trip["trip_id"], "sec": trip["sec"], **{name: [o[i] for o in out] for i, name in enumerate(("route_id", "cardinal", "extras"))}})
 
-    return rows.groupBy("trip_id").applyInPandas(fold, "trip_id long, sec int, route_id string, cardinal string")
+    return rows.groupBy("trip_id").applyInPandas(fold, "trip_id long, sec int, route_id string, cardinal string, extras array<string>")
 
 
 def merged_matches(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(trip_id, sec, route_id, cardinal, highway_id, local_id): the first match as a whole where it has a road, else the second."""
-    a = first.select("trip_id", "sec", F.struct("route_id", "cardinal").alias("a"))
+    """(trip_id, sec, route_id, cardinal, highway_id, local_id, extras): the first match as a whole where it has a road, else the
+    second; ``extras`` are the first's."""
+    kept = ["extras"] if "extras" in first.columns else []
+    a = first.select("trip_id", "sec", F.struct("route_id", "cardinal").alias("a"), *kept)
     b = second.select("trip_id", "sec", F.struct("route_id", "cardinal").alias("b"))
     picked = F.when(F.coalesce(F.col("a.route_id"), F.lit("")) != "", F.col("a")).otherwise(F.col("b"))
-    return a.join(b, ["trip_id", "sec"], "full").select("trip_id", "sec", picked.alias("m"), F.col("a.route_id").alias("highway_id"), F.col("b.route_id").alias("local_id")).select("trip_id", "sec", "m.*", "highway_id", "local_id")
+    return a.join(b, ["trip_id", "sec"], "full").select("trip_id", "sec", picked.alias("m"), F.col("a.route_id").alias("highway_id"), F.col("b.route_id").alias("local_id"), *kept).select("trip_id", "sec", "m.*", "highway_id", "local_id", *kept)
 
 
 def concurrent_designations(seconds: DataFrame, matches: DataFrame, found: DataFrame, most: int = 1, freeze_mph: float = 3.0) -> DataFrame:
-    """(trip_id, sec, extras): other routes along the matched one; frozen like the match; none where there is no match."""
+    """(trip_id, sec, extras): other routes along the matched one; frozen like the match; none where there is no match.
+
+    The same as the extras of ``follow_roads``, for matches that were made before (a kept table)."""
     key = ["trip_id", "sec"]
     own = matches.select(*key, "route_id")
     extras = spatial.concurrent_roads(found, own.where("route_id IS NOT NULL"), key, most)

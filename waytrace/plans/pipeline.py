@@ -62,9 +62,7 @@ def overlay(
     info = intervals.subtract(ops.info_spans(points, durations), dark, placeholder, ["row_seq", "start_sec"])
 
     tolerance, freeze = settings.roads_match_tolerance_mi, settings.roads_freeze_below_mph
-    found = matching.spatial.candidates(seconds, roads, tolerance, KEY)
-    highway = matching.follow_roads(seconds, found, settings.roads_match_grace_secs, freeze)
-    extras = matching.concurrent_designations(seconds, highway, found, settings.roads_concurrency_max_extra, freeze)
+    highway = matching.match_roads(seconds, roads, tolerance, settings.roads_match_grace_secs, freeze, settings.roads_concurrency_max_extra)
     if local_roads is None:
         matched = highway.withColumns({"highway_id": F.col("route_id"), "local_id": F.lit(None).cast("string")})
     else:
@@ -74,7 +72,7 @@ def overlay(
     lines = resample.info_per_second(points, totals)
     turned = matching.compass(seconds, settings.compass_smoothing_secs, settings.compass_freeze_below_mph)
     octants = matching.debounced_octants(turned, "shown", settings.compass_hold_secs)
-    strip = matched.join(extras, KEY, "left").join(lines, KEY, "left").join(turned.select(*KEY, F.col("shown").alias("compass")), KEY, "left").join(octants, KEY, "left")
+    strip = matched.join(lines, KEY, "left").join(turned.select(*KEY, F.col("shown").alias("compass")), KEY, "left").join(octants, KEY, "left")
     strip = intervals.shield_alpha(intervals.dark_mask(strip, dark, totals))
     none = F.lit(None)
     hidden = {

@@ -325,12 +325,12 @@ _MATCH = [TRACK_SQL, ROAD_SQL, _CAND, _best("best", "cand"), _fold("m", "best",
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = views.seconds(views.track(spark, sf_dir))
     found = spatial.candidates(rows, views.roads(spark, sf_dir), 0.031, KEY)
-    return rows, found, matching.follow_roads(rows, found, 3, 3.0)
+    return rows, found, matching.follow_roads(rows, found, 3, 3.0, 1)
 
 
 @query(_with(*_MATCH) + "SELECT trip_id, sec, route_id, cardinal FROM m")
 def road_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir)[2]
+    return _matched(spark, sf_dir)[2].drop("extras")
 
 
 _MERGED = [*_MATCH, DARK_SQL, LOCAL_SQL, _cand("lcand", "local_road", "0.02e0"), _best("lbest", "lcand"), _fold("l", "lbest", 2), _SPINE,
@@ -344,12 +344,10 @@ _MERGED = [*_MATCH, DARK_SQL, LOCAL_SQL, _cand("lcand", "local_road", "0.02e0"),
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, found, highway = _matched(spark, sf_dir)
+    rows, _, highway = _matched(spark, sf_dir)
     local = matching.match_roads(rows, views.local_roads(spark, sf_dir), 0.02, 2, 3.0)
     whole = views.totals(views.track(spark, sf_dir))
-    extras = matching.concurrent_designations(rows, highway, found, 1, 3.0)
-    both = matching.merged_matches(highway, local).join(extras, KEY)
-    masked = intervals.dark_mask(both, views.dark(whole), whole)
+    masked = intervals.dark_mask(matching.merged_matches(highway, local), views.dark(whole), whole)
     none = F.lit(None).cast("string")
     return intervals.hide_dark(masked, {"route_id": none, "cardinal": none, "extras": F.array().cast("array<string>")})
 
@@ -359,6 +357,12 @@ def road_match_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select(*KEY, "dark", "route_id", "cardinal", F.array_join("extras", " / ").alias("extras"))
 
 
+@query(_with(*_MERGED) + "SELECT trip_id, sec, extras FROM xs")
+def concurrent_designations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, found, highway = _matched(spark, sf_dir)
+    return matching.concurrent_designations(rows, highway, found, 1, 3.0).select(*KEY, F.array_join("extras", " / ").alias("extras"))
+
+
 @query(
     _with(*_MERGED)
     + "SELECT trip_id, sec, CASE WHEN route_id IS NOT NULL AND cardinal IS NOT NULL THEN route_id || CASE WHEN extras <> '' THEN ' / ' || extras ELSE '' END || ' ' || cardinal || 'B' END AS label, regexp_extract(route_id, '([^- ]*)$', 1) AS shield FROM merged"
