@@ -39,6 +39,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows from which on a join key may count as hot, and the share of all rows that makes it one.
+HOT_ROWS = 1000
+HOT_SHARE = 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) to ``right``, which has a key once; a key that holds many rows of ``left`` isn't shuffled.
+
+    Keys with more than a ``HOT_SHARE``-th of the rows (and ``HOT_ROWS``) are fewer than ``HOT_SHARE``: their rows of
+    ``right`` are broadcast. The other rows meet by a shuffle. Both tables are read twice, so they should be staged."""
+    limit = max(HOT_ROWS, left.count() // HOT_SHARE)
+    hot = left.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("_hot"))
+    hot = staged(hot, "hot")
+    few = F.broadcast(hot)
+    held = right.join(few, F.col(key) == F.col("_hot"), "left_semi")
+    often = left.join(few, F.col(key) == F.col("_hot"), "left_semi").join(F.broadcast(held), key, how)
+    return often.unionByName(left.join(few, F.col(key) == F.col("_hot"), "left_anti").join(right, key, how))
+
+
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of ``df`` begins with, for helper columns beside those of a table."""
     prefix = "_w"

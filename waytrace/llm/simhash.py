@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import free_prefix, staged, table, texts
+from waytrace.llm.common import free_prefix, skew_join, staged, table, texts
 
 SHINGLE = 3
 RADIUS = 3
@@ -54,7 +54,12 @@ SKETCH_ERROR = 0.02
 #: Nodes the top tree is built from, at most about; nodes in a leaf, at least about.
 SAMPLE = 20_000
 LEAF = 2048
+#: With sketches: nodes in a leaf of a ring's tree, and leaves of a ring at most (a wide radius prunes
+#: nothing, so each leaf more is a copy more of the ring's sketches).
+RING_LEAF = 16_384
+MOST_RING_LEAVES = 16
 BLOCK = 512
+SALTS = 16
 NODE = "node"
 
 
@@ -151,18 +156,20 @@ class TopTree:
         self.leaves += 1
         return -self.leaves
 
-    def deal(self, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows that live or visit there, whether each lives there). Leaves are numbered from inside out."""
-        home = np.zeros(len(fps), np.int64)
-        stack = [(self.root, np.arange(len(fps)))]
-        while stack:
-            node, rows = stack.pop()
-            if node < 0:
-                home[rows] = -node - 1
-            elif len(rows):
-                vantage, mu, inner, outer = self.rows[node]
-                inside = distances(fps[rows], vantage) <= mu
-                stack += [(inner, rows[inside]), (outer, rows[~inside])]
+    def deal(self, fps: np.ndarray, radius: int, visit: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows that live or visit there, whether each lives there). Rows of the tree's own points visit leaves
+        with lower numbers than their own; with ``visit`` all rows are others' and go wherever they reach."""
+        home = np.full(len(fps), self.leaves, np.int64)
+        if not visit:
+            stack = [(self.root, np.arange(len(fps)))]
+            while stack:
+                node, rows = stack.pop()
+                if node < 0:
+                    home[rows] = -node - 1
+                elif len(rows):
+                    vantage, mu, inner, outer = self.rows[node]
+                    inside = distances(fps[rows], vantage) <= mu
+                    stack += [(inner, rows[inside]), (outer, rows[~inside])]
         stack = [(self.root, np.arange(len(fps)))]
         while stack:
             node, rows = stack.pop()
@@ -275,33 +282,48 @@ class VantageJoin:
             ]
 
 
-def _sampled(nodes: DataFrame, n: int, most: int) -> np.ndarray:
-    """Fingerprints of about ``most`` nodes, chosen by their hash."""
+def _sampled(nodes: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rings and fingerprints of about ``most`` nodes, chosen by their hash, in a fixed order."""
     every = max(1, n // most)
-    rows = nodes.where(F.pmod(F.xxhash64(NODE, F.lit("sample")), F.lit(every)) == 0).select("fp").limit(4 * most).toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64)).view(np.uint64)
+    rows = nodes.where(F.pmod(F.xxhash64(NODE, F.lit("sample")), F.lit(every)) == 0).select("ring", "fp").limit(4 * most).toArrow()
+    ring, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
+    order = np.lexsort((fps, ring))
+    return ring[order], fps[order].view(np.uint64)
+
+
+def _trees(nodes: DataFrame, verified: bool) -> dict[int, TopTree]:
+    """A top tree for each ring, with leaves by the number of nodes in it. There are few rings: they are powers of a factor."""
+    sizes = dict(tuple(r) for r in nodes.groupBy("ring").count().collect())
+    n = sum(sizes.values())
+    ring, fps = _sampled(nodes, n, SAMPLE) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if verified:
+        leaves = {r: min(MOST_RING_LEAVES, max(1, m // RING_LEAF)) for r, m in sizes.items()}
+    else:
+        leaves = {r: max(1, m // max(LEAF, int(8 * m**0.5))) for r, m in sizes.items()}
+    return {r: TopTree(fps[ring == r], leaves[r]) for r in sizes}
 
 
 def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None) -> DataFrame:
     """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, sketch])."""
-    n = nodes.count()
     verified = min_jaccard is not None
-    leaves = max(1, n // max(LEAF, int(8 * n**0.5)))
-    tree = nodes.sparkSession.sparkContext.broadcast(TopTree(_sampled(nodes, n, SAMPLE), leaves))
-    step = np.log(1 / min_jaccard) if verified else 1.0
-    extra = ", size long, sketch binary" if verified else ""
+    extra = ["size", "sketch"] if verified else []
+    ring = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1 / min_jaccard))) if verified else F.lit(0)
+    nodes = nodes.select(ring.cast("long").alias("ring"), NODE, "fp", *extra)
+    trees = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, verified))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.ascontiguousarray(batch.column(1).to_numpy(zero_copy_only=False)).view(np.uint64)
-            ring = np.floor(np.log(np.maximum(1, batch.column(2).to_numpy())) / step).astype(np.int64) if verified else np.zeros(len(fps), np.int64)
-            for down in (0, 1) if verified else (0,):
-                for leaf, rows, home in _dealt(tree.value, fps, radius, down):
-                    held = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((ring[rows] - down) * (1 << 20) + leaf), pa.array(home), *held.columns],
-                        names=["shard", "home", *batch.schema.names],
-                    )
+            rings = batch.column(0).to_numpy()
+            own = batch.select(batch.schema.names[1:])
+            fps = np.ascontiguousarray(own.column(1).to_numpy()).view(np.uint64)
+            for r in np.unique(rings).tolist():
+                here = np.flatnonzero(rings == r)
+                # in its ring a node lives in one leaf; in the ring below it only visits
+                for down in (0, 1) if verified and r - 1 in trees.value else (0,):
+                    for leaf, rows, home in trees.value[r - down].deal(fps[here], radius, visit=bool(down)):
+                        held = own.take(pa.array(here[rows]))
+                        shard = pa.array(np.full(len(rows), (r - down) << 20 | leaf))
+                        yield pa.RecordBatch.from_arrays([shard, pa.array(home), *held.columns], names=["shard", "home", *held.schema.names])
 
     def join(group: pa.Table) -> pa.Table:
         ids = group.column(NODE).to_numpy()
@@ -325,39 +347,25 @@ def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None)
         child = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": ids[child], "b": ids[roots[child]]})
 
-    dealt = nodes.mapInArrow(deal, f"shard long, home boolean, node long, fp long{extra}")
+    columns = "shard long, home boolean, node long, fp long" + (", size long, sketch binary" if verified else "")
+    dealt = nodes.mapInArrow(deal, columns)
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long").where("a <> b")
 
 
-def _dealt(tree: TopTree, fps: np.ndarray, radius: int, down: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A ring's own nodes; or, one ring down, visitors of every leaf they reach whatever their own."""
-    if not down:
-        yield from tree.deal(fps, radius)
-        return
-    stack = [(tree.root, np.arange(len(fps)))]
-    while stack:
-        node, rows = stack.pop()
-        if node < 0:
-            if len(rows):
-                yield -node - 1, rows, np.zeros(len(rows), bool)
-        elif len(rows):
-            vantage, mu, inner, outer = tree.rows[node]
-            d = distances(fps[rows], vantage)
-            stack += [(inner, rows[d <= mu + radius]), (outer, rows[d > mu - radius])]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its
-    smallest; rows per node are summed before the shuffle, hot nodes are only join keys
-    that adaptive execution splits. It ends when a round changes nothing."""
+    smallest; rows per node are summed before the shuffle, and the neighbours of a node with
+    many are dealt over ``SALTS`` tasks. It ends when a round changes nothing."""
     pairs = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     known = _checksum(pairs)
     while known[0]:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        above = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = above.join(dealt, ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         kept = large.join(small, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         pairs = staged(kept.where("a <> b").distinct(), "edges")
@@ -383,15 +391,16 @@ def rooted(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard:
         prints = prints.withColumn(NODE, F.col("fp"))
         nodes = staged(prints.select(NODE).distinct(), "nodes").withColumn("fp", F.col(NODE))
     roots = components(link_forest(nodes, radius, min_jaccard))
-    return prints.select("doc_id", "row", "fp", NODE).join(roots, NODE, "left").select("doc_id", "row", "fp", F.coalesce("root", NODE).alias("root"))
+    rooted_nodes = staged(nodes.select(NODE).join(roots, NODE, "left").select(NODE, F.coalesce("root", NODE).alias("root")), "roots")
+    return skew_join(prints.select("doc_id", "row", "fp", NODE), rooted_nodes, NODE).drop(NODE)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs`` (doc_id, text); component_id is the smallest doc_id
     that links reach. With ``min_jaccard`` a link also needs that similarity of the sets of word shingles (by sketches)."""
     found = staged(rooted(docs, k, radius, min_jaccard), "rooted")
-    names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(names, "root").select("doc_id", "fp", "component_id")
+    names = staged(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
+    return skew_join(found, names, "root").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int, radius: int, min_jaccard: float | None) -> DataFrame:
