@@ -21,8 +21,7 @@ code points. What is too short is dropped after matching, so it still takes its
 Null text counts as empty. Repeated rows each get their findings; an empty
 table gives an empty result. Only the id and text columns are read; columns named like
 those made here don't clash. A blob that holds most rows is one row in step 2 (the first
-text per blob is taken before the shuffle, too) and a skewed join key in step 4, which
-adaptive execution splits.
+text per blob is taken before the shuffle, too) and a broadcast row in step 4.
 """
 
 from __future__ import annotations
@@ -32,8 +31,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import free_prefix, table
+from waytrace.llm.common import free_prefix, skew_join, staged, table
 
+SALTS = 32
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | N
     per_rule = [
         F.when(~F.array_contains("seen", F.lit(r.key)), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), rule_spans(F.col("text"), r).alias("spans"))) for r in rules
     ]
-    scanned = todo.select("blob", F.filter(F.array(*per_rule), lambda e: e.isNotNull()).alias("entries"))
+    scanned = staged(todo.select("blob", F.filter(F.array(*per_rule), lambda e: e.isNotNull()).alias("entries")), "scanned")
     entries = scanned.select("blob", F.explode("entries").alias("e")).select("blob", "e.rule", "e.version", "e.spans")
 
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
@@ -120,8 +120,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] | N
         now = F.concat_ws("@", "rule", "version").isin([r.key for r in rules])
         kept = ledger.where(now).select("blob", named(F.col("rule"), F.col("spans")).alias("found"))
         findings = findings.unionByName(kept).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
-    findings = findings.where(F.size("found") > 0).select("blob", F.array_sort("found").alias("found"))
-    paths = docs.select(F.col(id_column).cast("long").alias(id_column), F.unhex(F.sha2(text, 256)).alias("blob")).join(findings, "blob", "left")
+    findings = staged(findings.where(F.size("found") > 0).select("blob", F.array_sort("found").alias("found")), "findings")
+    paths = staged(docs.select(F.col(id_column).cast("long").alias(id_column), F.unhex(F.sha2(text, 256)).alias("blob")), "paths")
+    paths = skew_join(paths, findings, "blob", "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return paths.select(id_column, "blob", F.coalesce("found", none).alias("found")), entries
 
@@ -139,11 +140,12 @@ def redact(docs: DataFrame, rules: list[Rule] | None = None, mask: str = "[SECRE
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     p = free_prefix(docs)
-    new, at, key = f"{p}new", f"{p}spans", f"{p}key"
+    new, at, key, salt = f"{p}new", f"{p}spans", f"{p}key", f"{p}salt"
     spans = F.array_sort(F.concat(*[rule_spans(F.col("text"), r) for r in rules]))
-    findings = blobs.select(F.col("blob").alias(f"{p}blob"), spans.alias(at)).where(F.size(at) > 0)
-    keyed = docs.withColumn(key, F.unhex(F.sha2(text, 256)))
-    joined = keyed.join(findings, keyed[key] == findings[f"{p}blob"], "left")
+    # copies of one text are dealt over SALTS tasks; only blobs with findings are multiplied
+    findings = blobs.select(F.col("blob").alias(f"{p}blob"), spans.alias(at)).where(F.size(at) > 0).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(text, 256))).withColumn(f"{p}mine", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(findings, (keyed[key] == findings[f"{p}blob"]) & (keyed[f"{p}mine"] == findings[salt]), "left")
     cut = F.aggregate(
         at,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
