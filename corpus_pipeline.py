@@ -5,8 +5,8 @@ Parquet and read again as the docs of the next. All but the last return the
 columns of ``documents``.
 
 1. quality classifier: rejected documents go.
-2. SimHash near-dedup: of each group one document stays. Five-word shingles;
-   fingerprints within ``RADIUS`` bits whose shingles have a similarity of 0.8 or more.
+2. SimHash near-dedup: of each group one document stays. Five-word shingles with a
+   similarity of 0.8 or more, whether or not the fingerprints are within ``RADIUS`` bits.
 3. secret scans: what the rules find is masked.
 4. mixing: whole documents are taken as often as their source's target wants.
 5. packing: the place of each piece of each document in sequences of 2048 ids.

@@ -158,3 +158,53 @@ def test_keep_one(make_docs):
 def test_same_id_other_text(make_docs):
     rows = make_docs([(1, "one two three four five six seven"), (1, "entirely other words stand in here now")])
     assert sh.keep_one(rows, 5, 12, 0.8).count() == 2
+
+
+def apart_copies(n=60, words=120, seed=13):
+    """Pairs of texts of random words; the second has a line of the first many times over, or some words replaced."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for i in range(n):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        copy = list(text)
+        if i % 2:
+            copy = copy[:20] + copy[8:20] * 25 + copy[20:]
+        else:
+            copy[30] = copy[90] = "changed"
+        docs += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(copy))]
+    return docs
+
+
+def alike(docs, k=5, similarity=0.8):
+    sets = [set(shingles(t, k)) for _, t in docs]
+    return {(i, j) for i in range(len(docs)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= round(10 * similarity) * len(sets[i] | sets[j])}
+
+
+def test_links_beyond_the_radius(make_docs):
+    docs = apart_copies()
+    pairs = alike(docs)
+    assert {(2 * i + 1, 2 * i) for i in range(60)} <= pairs
+    prints = [sh.fingerprint(sh.shingle_hashes(t.encode(), 5)) for _, t in docs]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 12 for i, j in pairs) > 10
+    assert sorted(r.doc_id for r in sh.keep_one(make_docs(docs), 5, 12, 0.8).collect()) == [10 * i for i in range(60)]
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(21)
+    sets = []
+    for n in (0, 1, 4, 5, 9, 40, 64, 65, 100, 127, 130, 600, 5000):
+        whole = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [np.unique(whole[int(n * cut) :]) for cut in (0, 0.1, 0.2, 0.21, 0.5)]
+    sizes = np.array([len(s) for s in sets])
+    home = rng.random(len(sets)) < 0.7
+    near = np.zeros((len(sets), len(sets)), bool)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            near[i, j] = i != j and 5 * both >= 4 * (len(a) + len(b) - both)
+    for lo, hi in ((0, 1), (1, 30), (20, 90), (60, 140), (400, 700), (3000, 6000)):
+        at = np.flatnonzero((sizes >= lo) & (sizes < hi))
+        found = sh.BitmapJoin([sh.bitmap(sets[i]) for i in at], sizes[at], home[at], 0.8, every=True).edges
+        met = {frozenset(p) for p in found}
+        wanted = {frozenset((i, j)) for i, j in zip(*np.nonzero(near[np.ix_(at, at)]), strict=True) if home[at[i]] or home[at[j]]}
+        assert wanted <= met

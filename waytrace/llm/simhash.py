@@ -22,11 +22,12 @@ The leaves' number grows as the square root of the nodes' (above a floor), which
 a leaf and the number of copies sent low. With 64-bit fingerprints and three bits
 a split prunes little, the work of a join grows as n to the power of about 1.7.
 
-``min_jaccard`` verifies a link by the word shingles themselves: nodes then are distinct
-(fingerprint, sketch) pairs, a sketch being ``BINS`` one-byte minima of shingle hashes
-(one permutation), and two sketches have to agree in that share of their filled bins. The number
-of shingles is a distance, too (from the empty set): nodes are first cut into rings
-of sizes a factor 1/min_jaccard apart, and a node meets its own ring and the next.
+With ``min_jaccard`` links are pairs of that similarity of the sets of word shingles, however far
+their fingerprints are apart. Nodes then are distinct sets. The number of shingles is a distance, too (from the
+empty set): nodes are first cut into rings of sizes a factor 1/min_jaccard apart, and a node meets its
+own ring and the next, all of them. A bitmap has the parity of the number of shingles at each bit; two
+bitmaps differ in no more bits than the sets differ in shingles, so the pairs it
+rules out are never links. Fingerprints only choose a node's leaf there.
 
 Null text counts as empty; texts without words are linked like any other. Null
 doc_ids never name a component unless all in it are null. Repeated rows come out once
@@ -35,7 +36,7 @@ each. An empty table gives an empty result. Only id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,11 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 BINS = 128
-#: Half a standard error of the agreement of two sketches: links at the border are rather kept than lost.
-SKETCH_ERROR = 0.02
 #: Nodes the top tree is built from, at most about; nodes in a leaf, at least about.
 SAMPLE = 20_000
 LEAF = 2048
-#: With sketches: nodes in a leaf of a ring's tree, and leaves of a ring at most (a wide radius prunes
-#: nothing, so each leaf more is a copy more of the ring's sketches).
+#: With sets: nodes in a leaf of a ring's tree, and leaves of a ring at most (all leaves of
+#: a ring meet, so each leaf more is a copy more of the ring's bitmaps).
 RING_LEAF = 16_384
 MOST_RING_LEAVES = 16
 BLOCK = 512
@@ -88,7 +87,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
-    """One byte per bin: 0 if empty, else from the smallest hash in it."""
+    """One byte per bin: 0 if empty, else from the smallest hash in it. An estimate of similarity; no link depends on it."""
     if not len(hashes):
         return bytes(bins)
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
@@ -100,29 +99,37 @@ def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
     return np.where(held, 1 + (least * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(255), 0).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sketch: bool = False, row: str = "CAST(0 AS BIGINT)") -> DataFrame:
-    """(doc_id, row, fp long[, size, sketch, node]) of each row."""
-    names = ["doc_id", "row", "fp", *(["size", "sketch", NODE] if with_sketch else [])]
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The parity of the distinct ``hashes`` at each bit; as many bits as hashes, up to the next power of two, 64 at least.
+    Halves laid over each other by exclusive or are the bitmap of half the bits."""
+    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sets: bool = False, row: str = "CAST(0 AS BIGINT)") -> DataFrame:
+    """(doc_id, row, fp long[, size, bitmap, node]) of each row."""
+    names = ["doc_id", "row", "fp", *(["size", "bitmap", NODE] if with_sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                fps, sizes, marks = [], [], []
+                fps, sizes, marks, nodes = [], [], [], []
                 for text in texts(batch.column(2)):
                     hashes = shingle_hashes(text, k)
+                    if with_sets:
+                        hashes = np.unique(hashes)
+                        sizes.append(len(hashes))
+                        marks.append(bitmap(hashes))
+                        nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                     fps.append(fingerprint(hashes))
-                    if with_sketch:
-                        distinct = np.unique(hashes)
-                        sizes.append(len(distinct))
-                        marks.append(sketch(distinct))
                 columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
-                if with_sketch:
-                    nodes = [xxhash.xxh64_intdigest(f.to_bytes(8, "little") + n.to_bytes(8, "little") + m) for f, n, m in zip(fps, sizes, marks, strict=True)]
+                if with_sets:
                     columns += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, row long, fp long" + (", size long, sketch binary, node long" if with_sketch else "")
+    schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, node long" if with_sets else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -206,14 +213,11 @@ class Forest:
         self.parent = self.roots(self.parent)
 
 
-Verify = Callable[[np.ndarray, np.ndarray], np.ndarray] | None
-
-
 class VantageJoin:
     """Links all pairs of ``fps`` within ``radius``, of which one at least is at home."""
 
-    def __init__(self, fps: np.ndarray, home: np.ndarray, radius: int, verify: Verify = None) -> None:
-        self.fps, self.radius, self.verify = fps, radius, verify
+    def __init__(self, fps: np.ndarray, home: np.ndarray, radius: int) -> None:
+        self.fps, self.radius = fps, radius
         self.forest, self.rng = Forest(len(fps)), np.random.default_rng(11)
         mine, visitors = np.flatnonzero(home), np.flatnonzero(~home)
         self._within(mine)
@@ -229,16 +233,7 @@ class VantageJoin:
 
     def _link(self, a: np.ndarray, b: np.ndarray) -> None:
         apart = (a != b) & (self.forest.roots(a) != self.forest.roots(b))
-        a, b = a[apart], b[apart]
-        if self.verify is not None:
-            for lo in range(0, len(a), 1 << 14):
-                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
-                open_ = self.forest.roots(x) != self.forest.roots(y)
-                x, y = x[open_], y[open_]
-                same = self.verify(x, y)
-                self.forest.link(x[same], y[same])
-        else:
-            self.forest.link(a, b)
+        self.forest.link(a[apart], b[apart])
 
     def _split(self, points: np.ndarray) -> tuple[np.ndarray, int, np.uint64] | None:
         vantage = self.fps[points[self.rng.integers(len(points))]]
@@ -282,6 +277,75 @@ class VantageJoin:
             ]
 
 
+def unlike(a: np.ndarray, b: np.ndarray, min_jaccard: float) -> np.ndarray:
+    """How many shingles sets of ``a`` and ``b`` shingles may differ in and still have the similarity."""
+    return np.floor((1 - min_jaccard) / (1 + min_jaccard) * (a + b) + 1e-6).astype(np.int64)
+
+
+class BitmapJoin:
+    """A forest of pairs, of which one at least is at home, that the bitmaps don't rule out; ``edges`` has its pairs.
+
+    Nearer pairs are taken first within a block. Pairs with the same ``label`` count as linked; with ``every`` all other pairs
+    are taken, not a forest of them."""
+
+    def __init__(self, marks: list[bytes], sizes: np.ndarray, home: np.ndarray, min_jaccard: float, label: np.ndarray | None = None, every: bool = False) -> None:
+        self.sizes, self.min_jaccard, self.every = sizes.astype(np.int64), min_jaccard, every
+        self.up = np.arange(len(sizes)) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+        self.edges: list[tuple[int, int]] = []
+        width = min(map(len, marks), default=8) // 8
+        words = np.zeros((len(marks), width), np.uint64)
+        for i, mark in enumerate(marks):
+            words[i] = np.bitwise_xor.reduce(np.frombuffer(mark, np.uint64).reshape(-1, width), axis=0)
+        self.words = np.ascontiguousarray(words.T)
+        order = np.argsort(self.sizes, kind="stable")
+        mine, visitors = order[home[order]], order[~home[order]]
+        self._meet(mine, mine, True)
+        self._meet(mine, visitors, False)
+
+    def _meet(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        sizes = self.sizes[b]
+        for lo in range(0, len(a), 128):
+            part = a[lo : lo + 128]
+            begin, end = np.searchsorted(sizes, [self.sizes[part[0]] * self.min_jaccard - 1, self.sizes[part[-1]] / self.min_jaccard + 1])
+            for to in range(max(begin, lo) if same else begin, end, 1024):
+                self._compare(part, b[to : min(end, to + 1024)])
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        most = unlike(self.sizes[a][:, None], self.sizes[b][None, :], self.min_jaccard).astype(np.int32)
+        apart = np.zeros(most.shape, np.uint16 if len(self.words) < 1024 else np.int32)
+        half = (len(self.words) + 1) // 2
+        for x, y in zip(self.words[:half, a], self.words[:half, b], strict=True):
+            apart += np.bitwise_count(x[:, None] ^ y[None, :])
+        i, j = np.nonzero(apart <= most)
+        known = apart[i, j].astype(np.int64)
+        open_ = (a[i] != b[j]) & (self._roots(a)[i] != self._roots(b)[j])
+        i, j, known, most = i[open_], j[open_], known[open_], most[i[open_], j[open_]]
+        for lo in range(0, len(i), 4096):
+            x, y = a[i[lo : lo + 4096]], b[j[lo : lo + 4096]]
+            far = known[lo : lo + 4096] + np.bitwise_count(self.words[half:, x] ^ self.words[half:, y]).sum(0, dtype=np.int64)
+            near = np.flatnonzero(far <= most[lo : lo + 4096])
+            for at in near[np.argsort(far[near], kind="stable")].tolist():
+                self._link(int(x[at]), int(y[at]))
+
+    def _roots(self, x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        return self.up[x]
+
+    def _link(self, a: int, b: int) -> None:
+        if self.every:
+            self.edges.append((a, b))
+            return
+        ra, rb = a, b
+        while ra != self.up[ra]:
+            ra = self.up[ra]
+        while rb != self.up[rb]:
+            rb = self.up[rb]
+        if ra != rb:
+            self.up[max(ra, rb)] = min(ra, rb)
+            self.edges.append((a, b))
+
+
 def _sampled(nodes: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Rings and fingerprints of about ``most`` nodes, chosen by their hash, in a fixed order."""
     every = max(1, n // most)
@@ -304,10 +368,10 @@ def _trees(nodes: DataFrame, verified: bool) -> dict[int, TopTree]:
 
 
 def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None) -> DataFrame:
-    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, sketch])."""
+    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, bitmap])."""
     verified = min_jaccard is not None
-    extra = ["size", "sketch"] if verified else []
-    ring = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1 / min_jaccard))) if verified else F.lit(0)
+    extra = ["size", "bitmap"] if verified else []
+    ring = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1 / min_jaccard) * (1 + 1e-9))) if verified else F.lit(0)
     nodes = nodes.select(ring.cast("long").alias("ring"), NODE, "fp", *extra)
     trees = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, verified))
 
@@ -320,7 +384,7 @@ def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None)
                 here = np.flatnonzero(rings == r)
                 # in its ring a node lives in one leaf; in the ring below it only visits
                 for down in (0, 1) if verified and r - 1 in trees.value else (0,):
-                    for leaf, rows, home in trees.value[r - down].deal(fps[here], radius, visit=bool(down)):
+                    for leaf, rows, home in trees.value[r - down].deal(fps[here], 64 if verified else radius, visit=bool(down)):
                         held = own.take(pa.array(here[rows]))
                         shard = pa.array(np.full(len(rows), (r - down) << 20 | leaf))
                         yield pa.RecordBatch.from_arrays([shard, pa.array(home), *held.columns], names=["shard", "home", *held.schema.names])
@@ -331,23 +395,16 @@ def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None)
         home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((ids, ~home))
         ids, fps, home = ids[order], fps[order], home[order]
-        verify = None
         if verified:
-            marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            sizes = group.column("size").to_numpy()[order]
-
-            def verify(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                x, y = marks[a], marks[b]
-                filled = ((x | y) != 0).sum(1)
-                alike = ((x == y) & (x != 0)).sum(1)
-                near = np.minimum(sizes[a], sizes[b]) >= min_jaccard * np.maximum(sizes[a], sizes[b])
-                return near & (alike >= (min_jaccard - SKETCH_ERROR) * filled)
-
-        roots = VantageJoin(fps, home, radius, verify).forest.parent
+            marks = group.column("bitmap").to_pylist()
+            found = BitmapJoin([marks[i] for i in order.tolist()], group.column("size").to_numpy()[order], home, min_jaccard).edges
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
+        roots = VantageJoin(fps, home, radius).forest.parent
         child = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": ids[child], "b": ids[roots[child]]})
 
-    columns = "shard long, home boolean, node long, fp long" + (", size long, sketch binary" if verified else "")
+    columns = "shard long, home boolean, node long, fp long" + (", size long, bitmap binary" if verified else "")
     dealt = nodes.mapInArrow(deal, columns)
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long").where("a <> b")
 
@@ -385,7 +442,7 @@ def rooted(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard:
     verified = min_jaccard is not None
     prints = staged(fingerprints(docs, k, verified, row), "fingerprints")
     if verified:
-        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")]
+        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")]
         nodes = staged(prints.groupBy(NODE).agg(*kept), "nodes")
     else:
         prints = prints.withColumn(NODE, F.col("fp"))
@@ -397,7 +454,7 @@ def rooted(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs`` (doc_id, text); component_id is the smallest doc_id
-    that links reach. With ``min_jaccard`` a link also needs that similarity of the sets of word shingles (by sketches)."""
+    that links reach. With ``min_jaccard`` links are the pairs of that similarity of the sets of word shingles, at any ``radius``."""
     found = staged(rooted(docs, k, radius, min_jaccard), "rooted")
     names = staged(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     return skew_join(found, names, "root").select("doc_id", "fp", "component_id")
