@@ -208,3 +208,32 @@ def test_bitmaps_rule_out_no_link():
         met = {frozenset(p) for p in found}
         wanted = {frozenset((i, j)) for i, j in zip(*np.nonzero(near[np.ix_(at, at)]), strict=True) if home[at[i]] or home[at[j]]}
         assert wanted <= met
+
+
+def border_copies(n=40, words=124, seed=17):
+    """Groups of texts whose similarities lie about 0.8."""
+    rng = np.random.default_rng(seed)
+    docs = []
+    for i in range(n):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        docs.append((10 * i, " ".join(text)))
+        for j in range(1, 5):
+            copy = list(text)
+            begin = int(rng.integers(0, 90))
+            copy[begin : begin + int(rng.integers(12, 28))] = ["changed"]
+            docs.append((10 * i + j, " ".join(copy)))
+    return docs
+
+
+def test_links_are_pairs_of_the_similarity(make_docs):
+    docs = border_copies()
+    sets = [np.unique(sh.shingle_hashes(t.encode(), 5)) for _, t in docs]
+    sizes = np.array([len(s) for s in sets])
+    pairs = alike(docs)
+    edges = sh.BitmapJoin([sh.bitmap(s) for s in sets], sizes, np.ones(len(sets), bool), 0.8).edges
+    assert any((max(p), min(p)) not in pairs for p in edges)
+    forest = sh.Forest(len(docs))
+    forest.link(*np.array(sorted(pairs)).T)
+    wanted = sorted(docs[i][0] for i in set(forest.parent.tolist()))
+    assert 40 < len(wanted) < len(docs)
+    assert sorted(r.doc_id for r in sh.keep_one(make_docs(docs), 5, 12, 0.8).collect()) == wanted

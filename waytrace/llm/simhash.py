@@ -27,7 +27,9 @@ their fingerprints are apart. Nodes then are distinct sets. The number of shingl
 empty set): nodes are first cut into rings of sizes a factor 1/min_jaccard apart, and a node meets its
 own ring and the next, all of them. A bitmap has the parity of the number of shingles at each bit; two
 bitmaps differ in no more bits than the sets differ in shingles, so the pairs it
-rules out are never links. Fingerprints only choose a node's leaf there.
+rules out are never links. Fingerprints only choose a node's leaf there. Each pair of the forest is then
+verified by the sets themselves; where one fails, all pairs that the bitmaps leave between the verified parts
+of its component are. So the components are those of all links, and of links alone.
 
 Null text counts as empty; texts without words are linked like any other. Null
 doc_ids never name a component unless all in it are null. Repeated rows come out once
@@ -58,6 +60,8 @@ LEAF = 2048
 RING_LEAF = 16_384
 MOST_RING_LEAVES = 16
 BLOCK = 512
+#: Nodes of verified pairs that are broadcast to find their texts, at most; more are joined by a shuffle.
+BROADCAST_NODES = 1 << 20
 SALTS = 16
 NODE = "node"
 
@@ -108,8 +112,8 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sets: bool = False, row: str = "CAST(0 AS BIGINT)") -> DataFrame:
-    """(doc_id, row, fp long[, size, bitmap, node]) of each row."""
-    names = ["doc_id", "row", "fp", *(["size", "bitmap", NODE] if with_sets else [])]
+    """(doc_id, row, fp long[, size, bitmap, node, key]) of each row; key is a hash of the text."""
+    names = ["doc_id", "row", "fp", *(["size", "bitmap", NODE, "key"] if with_sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,11 +130,13 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sets: bool = False, row
                     fps.append(fingerprint(hashes))
                 columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
                 if with_sets:
-                    columns += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64))]
+                    columns += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, node long" if with_sets else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, node long, key long" if with_sets else "")
+    text = F.col("text").cast("string")
+    key = [F.xxhash64(text).alias("key")] if with_sets else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), text.alias("text"), *key).mapInArrow(run, schema)
 
 
 def distances(fps: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -367,10 +373,11 @@ def _trees(nodes: DataFrame, verified: bool) -> dict[int, TopTree]:
     return {r: TopTree(fps[ring == r], leaves[r]) for r in sizes}
 
 
-def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None) -> DataFrame:
-    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, bitmap])."""
+def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None, every: bool = False) -> DataFrame:
+    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, bitmap[, label]]); with
+    ``min_jaccard``, of all pairs that bitmaps don't rule out; with ``every`` all such pairs of two labels."""
     verified = min_jaccard is not None
-    extra = ["size", "bitmap"] if verified else []
+    extra = ["size", "bitmap", *(["label"] if every else [])] if verified else []
     ring = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1 / min_jaccard) * (1 + 1e-9))) if verified else F.lit(0)
     nodes = nodes.select(ring.cast("long").alias("ring"), NODE, "fp", *extra)
     trees = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, verified))
@@ -397,18 +404,71 @@ def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None)
         ids, fps, home = ids[order], fps[order], home[order]
         if verified:
             marks = group.column("bitmap").to_pylist()
-            found = BitmapJoin([marks[i] for i in order.tolist()], group.column("size").to_numpy()[order], home, min_jaccard).edges
+            found = BitmapJoin([marks[i] for i in order.tolist()], group.column("size").to_numpy()[order], home, min_jaccard, group.column("label").to_numpy()[order] if every else None, every).edges
             ends = np.array(found, np.int64).reshape(-1, 2)
             return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
         roots = VantageJoin(fps, home, radius).forest.parent
         child = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": ids[child], "b": ids[roots[child]]})
 
-    columns = "shard long, home boolean, node long, fp long" + (", size long, bitmap binary" if verified else "")
+    columns = "shard long, home boolean, node long, fp long" + (", size long, bitmap binary" if verified else "") + (", label long" if every else "")
     dealt = nodes.mapInArrow(deal, columns)
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long").where("a <> b")
 
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the nodes in ``pairs`` (a, b): the sorted shingle hashes, from a text of ``docs`` whose key the node has."""
+    ends = pairs.select(F.col("a").alias(NODE)).union(pairs.select(F.col("b").alias(NODE))).distinct()
+    wanted = staged(nodes.join(ends, NODE, "left_semi").select(NODE, F.col("key").alias("_key")), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    text = F.col("text").cast("string")
+    found = docs.select(text.alias("text"), F.xxhash64(text).alias("key")).join(side, F.col("key") == F.col("_key")).groupBy(NODE).agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                sets = [np.unique(shingle_hashes(text, k)).tobytes() for text in texts(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=[NODE, "hashes"])
+
+    return found.select(NODE, "text").mapInArrow(run, "node long, hashes binary")
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, min_jaccard: float) -> DataFrame:
+    """``pairs`` (a, b) with ``near``: whether their sets of shingles have the similarity."""
+    pairs = staged(pairs, "pairs")
+    sets = staged(shingle_sets(docs, nodes, pairs, k), "sets")
+    half = staged(skew_join(pairs, sets.select(F.col(NODE).alias("a"), F.col("hashes").alias("x")), "a"), "half")
+    both = skew_join(half, sets.select(F.col(NODE).alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (left, right))
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                near.append(bool(apart <= unlike(len(x), len(y), min_jaccard)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+
+    return staged(both.mapInArrow(run, "a long, b long, near boolean"), "links")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, k: int, radius: int, min_jaccard: float) -> DataFrame:
+    """(a, b) verified links whose components are those of all pairs of ``nodes`` with the similarity."""
+    first = verified_links(docs, nodes, link_forest(nodes, radius, min_jaccard), k, min_jaccard)
+    links = first.where("near").select("a", "b")
+    if first.where("NOT near").isEmpty():
+        return links
+    # a component of the bitmaps with a pair that fails: what may still link its parts is verified entirely
+    possible = staged(components(first.select("a", "b")), "possible")
+    torn = first.where("NOT near").select(F.col("a").alias(NODE)).join(possible, NODE).select("root").distinct()
+    parts = components(links).withColumnRenamed("root", "part")
+    again = nodes.join(possible.join(torn, "root", "left_semi"), NODE).join(parts, NODE, "left")
+    again = staged(again.select(NODE, "fp", "size", "bitmap", "key", F.coalesce("part", NODE).alias("label")), "again")
+    rest = verified_links(docs, again, link_forest(again, radius, min_jaccard, every=True), k, min_jaccard)
+    return links.union(rest.where("near").select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -442,12 +502,12 @@ def rooted(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard:
     verified = min_jaccard is not None
     prints = staged(fingerprints(docs, k, verified, row), "fingerprints")
     if verified:
-        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")]
+        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("key").alias("key")]
         nodes = staged(prints.groupBy(NODE).agg(*kept), "nodes")
     else:
         prints = prints.withColumn(NODE, F.col("fp"))
         nodes = staged(prints.select(NODE).distinct(), "nodes").withColumn("fp", F.col(NODE))
-    roots = components(link_forest(nodes, radius, min_jaccard))
+    roots = components(similar_links(docs, nodes, k, radius, min_jaccard) if verified else link_forest(nodes, radius))
     rooted_nodes = staged(nodes.select(NODE).join(roots, NODE, "left").select(NODE, F.coalesce("root", NODE).alias("root")), "roots")
     return skew_join(prints.select("doc_id", "row", "fp", NODE), rooted_nodes, NODE).drop(NODE)
 
