@@ -117,3 +117,10 @@ def test_better_than_words_on_repeating_text(make_docs):
     rows = [r for r in lm.score(make_docs(docs)).collect() if r.held_out]
     assert sum(r.score for r in rows) < 0
     assert np.mean([r.score / r.n_tokens for r in rows]) > -6
+
+
+@pytest.mark.parametrize("most", [0, 200])
+def test_larger_than_the_broadcast(make_docs, monkeypatch, most):
+    monkeypatch.setattr(lm, "MOST_ENTRIES", most)
+    docs = [*((k, (t or "")[:60] or t) for k, t in ODD), *((i, f"The {i % 7} cats sat ON the mat{i}. " * (i % 4)) for i in range(20, 40))]
+    check(lm.score(make_docs(docs)).collect(), docs)

@@ -10,10 +10,11 @@ the start of a text and 0xFF ends it: neither is in UTF-8. A-Z are lower-cased.
 The score is the log10 probability of all bytes and the end.
 
 Training. Tasks count (context, symbol) and word keys in numpy and emit them summed; Spark adds them
-up. Only the longest contexts are counted, shorter ones are sums of these. The trie
-that is broadcast has at most ``MOST_ENTRIES`` entries an order: beyond, the rarest are
-left out, by a count threshold a power of two that never falls with the order, so
-exclusion stays right and their contexts escape. Counts cover all training texts.
+up. Only the longest contexts are counted, shorter ones are sums of these. The trie is
+broadcast whole while no order has more than ``MOST_ENTRIES`` entries. Beyond, it is cut by the last two
+bytes of the context, which all orders but the lowest two share: each part gives the
+probabilities of its own (context, symbol) pairs. Those of the ``MOST_ENTRIES`` most frequent pairs at most are broadcast, the
+others of a document go, once each, through a join. The scores are the same either way.
 
 Base score. The sum over tokens of log10((c + 1) / (N + V + 1)). Words are keyed by a 64-bit
 hash. The at most ``HEAD_WORDS`` most frequent ones (again a power-of-two threshold) are
@@ -241,18 +242,51 @@ class Trie:
         return out
 
 
-def train(counts: DataFrame) -> Trie:
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
-    orders, t = [], 0
-    for j in range(ORDER + 1):
-        mask = (1 << 8 * (j + 1)) - 1
-        shorter = grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")) if j < ORDER else grams
-        keys, n, t = most_frequent(shorter, MOST_ENTRIES, t)
-        orders.append((keys, n))
-    return Trie(orders)
+def order_counts(grams: DataFrame, j: int) -> DataFrame:
+    """(key, n) of the entries of order ``j``, from those of the highest."""
+    mask = (1 << 8 * (j + 1)) - 1
+    return grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")) if j < ORDER else grams
+
+
+def collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The (key, n) rows of ``counts`` as sorted arrays."""
+    kept = counts.select("key", "n").toArrow()
+    keys, n = kept.column("key").to_numpy().astype(np.int64), kept.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
 
+def train(grams: DataFrame) -> Trie | None:
+    """The whole trie of ``grams`` (key, n), or None if it is too large to broadcast; no order has more entries than the highest."""
+    if grams.count() > MOST_ENTRIES:
+        return None
+    return Trie([collected(order_counts(grams, j)) for j in range(ORDER + 1)])
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, times long"
+
+def gram_logs(keys: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, log) of each of the distinct ``keys`` (key), by tries of the entries of ``grams`` (key, n) that share two bytes of context."""
+    low = grams.sparkSession.sparkContext.broadcast([collected(order_counts(grams, j)) for j in range(2)])
+    suffix = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("suffix")
+
+    def run(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        asked = wanted.column("key").to_numpy().astype(np.int64)
+        if not len(asked):
+            return pa.table({"key": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+        last = asked[0] >> 8 & 0xFF
+        keys, n = held.column("key").to_numpy().astype(np.int64), held.column("n").to_numpy().astype(np.int64)
+        zero, (one, one_n) = low.value
+        orders = [zero, (one[one >> 8 == last], one_n[one >> 8 == last])]
+        for j in range(2, ORDER + 1):
+            entry, at = np.unique(keys & ((1 << 8 * (j + 1)) - 1), return_inverse=True)
+            total = np.zeros(len(entry), np.int64)
+            np.add.at(total, at, n)
+            orders.append((entry, total))
+        return pa.table({"key": asked, "log": Trie(orders).log10(asked)})
+
+    return keys.select(suffix, "key").groupBy("suffix").cogroup(grams.select(suffix, "key", "n").groupBy("suffix")).applyInArrow(run, "key long, log double")
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, gram long, times long"
 
 
 def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT[1]) -> DataFrame:
@@ -264,11 +298,20 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head_keys, head_n, floor = most_frequent(words, HEAD_WORDS)
-    model = spark.sparkContext.broadcast((train(counts), head_keys, np.log10(head_n + 1.0)))
+    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
+    trie = train(grams)
+    often = (np.zeros(0, np.int64), np.zeros(0))
+    if trie is None:
+        least = most_frequent(grams, MOST_ENTRIES)[2]
+        kept = gram_logs(grams.where(F.col("n") >= (1 << least)).select("key"), grams).toArrow()
+        gram_keys, gram_p = kept.column("key").to_numpy(), kept.column("log").to_numpy()
+        by_key = np.argsort(gram_keys)
+        often = (gram_keys[by_key], gram_p[by_key])
+    model = spark.sparkContext.broadcast((trie, often, head_keys, np.log10(head_n + 1.0)))
     end_n = words.where(F.col("key") == int(END_KEY)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, logs = model.value
+        trie, (gram_keys, gram_p), keys, logs = model.value
         number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
@@ -281,7 +324,19 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
                     grams, back = np.unique(part.grams(), return_inverse=True)
                     sizes = part.ends - part.begins
                     filled = np.flatnonzero(sizes)
-                    piece = np.add.reduceat(trie.log10(grams)[back], (np.cumsum(sizes) - sizes)[filled])
+                    if trie is not None:
+                        found = trie.log10(grams)
+                    else:
+                        found, held = np.zeros(len(grams)), np.zeros(len(grams), bool)
+                        if len(gram_keys) and len(grams):
+                            where = np.minimum(np.searchsorted(gram_keys, grams), len(gram_keys) - 1)
+                            held = gram_keys[where] == grams
+                            found[held] = gram_p[where[held]]
+                        far = np.flatnonzero(~held[back])
+                        if len(far):
+                            pairs, times = np.unique(np.repeat(part.rows, sizes)[far] * len(grams) + back[far], return_counts=True)
+                            yield _scored(ids[pairs // len(grams)], gram=pa.array(grams[pairs % len(grams)]), times=pa.array(times))
+                    piece = np.add.reduceat(found[back], (np.cumsum(sizes) - sizes)[filled])
                     np.add.at(total, part.rows[filled], piece)
                     key, at = part.words()
                     row = part.rows[at]
@@ -304,7 +359,14 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
     found = staged(rows.mapInArrow(run, SCORED), "scored")
     seldom = found.where("word IS NOT NULL").select("row", F.col("word").alias("key"), "times").join(words, "key")
     rest = seldom.groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_base"))
-    joined = found.where("word IS NULL").drop("word", "times").join(rest, "row", "left")
+    joined = found.where("word IS NULL AND gram IS NULL").drop("word", "gram", "times").join(rest, "row", "left")
+    total = F.col("score")
+    if trie is None:
+        far = found.where("gram IS NOT NULL").select("row", F.col("gram").alias("key"), "times")
+        logs = staged(gram_logs(far.select("key").distinct(), grams), "logs")
+        beyond = far.join(logs, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("_score"))
+        joined = joined.join(beyond, "row", "left")
+        total = total + F.coalesce("_score", F.lit(0.0))
     cost = float(np.log10(tokens + (distinct + 1)))
     return joined.select(
         "doc_id",
@@ -313,11 +375,11 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(cost)).alias("base_score"),
-        "score",
+        total.alias("score"),
     )
 
 
-_TYPES = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.int64(), "times": pa.int64()}
+_TYPES = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.int64(), "gram": pa.int64(), "times": pa.int64()}
 
 
 def _scored(row: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
