@@ -1,7 +1,9 @@
 """Spans against Python's regular expressions; the ledger over several runs."""
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -28,16 +30,45 @@ def told(paths):
     return {r.doc_id: r.spans for r in paths.select("doc_id", sl.spell(F.col("found")).alias("spans")).collect()}
 
 
-def test_spans(make_docs):
+def test_spans(spark, make_docs, tmp_path):
     docs = make_docs(list(enumerate(TEXTS)))
-    paths, entries = sl.scan(docs)
-    assert told(paths) == {i: brute(t) for i, t in enumerate(TEXTS)}
-    assert entries.count() == len({t or "" for t in TEXTS}) * len(sl.RULES)
-
-
-def test_odd(odd, nothing):
-    assert sl.scan(odd)[0].count() == 11
-    assert sl.scan(nothing)[0].count() == 0
+    where = str(tmp_path / "ledger")
+    assert told(sl.scan_paths(docs, where)) == {i: brute(t) for i, t in enumerate(TEXTS)}
+    assert sl.entries_in(spark, where).count() == len({t or "" for t in TEXTS}) * len(sl.RULES)
+
+
+#: The rules as they are asked for: (kind, pattern, group that counts, least).
+ASKED = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+]
+
+
+def test_stated_lengths_change_nothing():
+    rng = random.Random(5)
+    parts = ["AKIA", "AKIA0123456789", "ABCDEFGH", "0123456789abcdef", "deadbeef", "token", "=", " ", ":", "secret", "abcdef", "x", "\n", "é", "password", "'"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        for kind, pattern, group, least in ASKED:
+            wanted = [m.span() for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+            assert spans(text, next(r for r in sl.RULES if r.kind == kind)) == wanted
+
+
+def test_long_text_takes_linear_time(spark, make_docs):
+    words = "a deaf cafe faced bad beef and fed a decade of added abed facade "
+    texts = [words * (2_000_000 // len(words)) + "secret=hidden1", "password=abcdef " * 20_000, "é token=abc " * 20_000]
+    docs = make_docs(list(enumerate(texts)))
+    docs.count()
+    begin = time.perf_counter()
+    found = told(sl.scan_paths(docs, sl.new_ledger(spark)))
+    assert time.perf_counter() - begin < 30
+    assert found == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_odd(spark, odd, nothing):
+    assert sl.scan_paths(odd, sl.new_ledger(spark)).count() == 11
+    assert sl.scan_paths(nothing, sl.new_ledger(spark)).count() == 0
     assert sl.redact(nothing).count() == 0
 
 
@@ -51,24 +82,32 @@ def test_query_columns(spark, make_docs, tmp_path):
 
 def test_ledger(spark, make_docs, tmp_path):
     where = str(tmp_path / "ledger")
-    first = make_docs([(1, "token = abcdef"), (2, "clean"), (3, "token = abcdef")])
-    paths, new = sl.scan(first)
-    new.write.parquet(where)
-    assert spark.read.parquet(where).count() == 2 * len(sl.RULES)
+    rows = lambda: sl.entries_in(spark, where).collect()
+    sl.scan(make_docs([(1, "token = abcdef"), (2, "clean"), (3, "token = abcdef")]), where)
+    first = rows()
+    assert len(first) == 2 * len(sl.RULES)
     second = make_docs([(1, "token = abcdef"), (2, "now token = ghijkl"), (4, "clean")])
-    paths, new = sl.scan(second, spark.read.parquet(where))
-    assert new.select("blob").distinct().count() == 1
-    assert told(paths) == {1: "assign:0:14", 2: "assign:4:18", 4: ""}
-    new.write.mode("append").parquet(where)
+    assert told(sl.scan_paths(second, where)) == {1: "assign:0:14", 2: "assign:4:18", 4: ""}
+    assert len({r.blob for r in rows()}) == 3
+    assert len(rows()) == 3 * len(sl.RULES)
     # nothing is left to scan
-    paths, new = sl.scan(second, spark.read.parquet(where))
-    assert new.count() == 0
-    assert told(paths) == {1: "assign:0:14", 2: "assign:4:18", 4: ""}
-    # a changed rule is scanned by itself, in all blobs
+    assert told(sl.scan_paths(second, where)) == {1: "assign:0:14", 2: "assign:4:18", 4: ""}
+    assert len(rows()) == 3 * len(sl.RULES)
+    # a changed rule is scanned by itself, in all blobs of the run
     rules = [*sl.RULES[1:], sl.Rule("assign", "token", version=2)]
-    paths, new = sl.scan(second, spark.read.parquet(where), rules)
-    assert {(r.rule, r.version) for r in new.collect()} == {("assign", 2)}
-    assert told(paths) == {1: "assign:0:5", 2: "assign:4:9", 4: ""}
+    assert told(sl.scan_paths(second, where, rules)) == {1: "assign:0:5", 2: "assign:4:9", 4: ""}
+    added = rows()
+    assert len(added) == 3 * len(sl.RULES) + 3
+    assert sum((r.rule, r.version) == ("assign", 2) for r in added) == 3
+    assert sl.redact(second, where, rules).where("doc_id = 1").first().text == "[SECRET] = abcdef"
+    assert len(rows()) == len(added)
+
+
+def test_hot_blob(spark, make_docs):
+    docs = make_docs([(i, "token = abcdef" if i % 3 else f"text {i}") for i in range(4000)])
+    found = told(sl.scan_paths(docs, sl.new_ledger(spark)))
+    assert found == {i: "assign:0:14" if i % 3 else "" for i in range(4000)}
+    assert sl.redact(docs).where("text = '[SECRET]'").count() == sum(1 for i in range(4000) if i % 3)
 
 
 def test_redact(make_docs):
@@ -82,5 +121,5 @@ def test_redact(make_docs):
 
 
 def test_no_python(spark, make_docs):
-    plan = sl.scan(make_docs([(1, "x")]))[0]._jdf.queryExecution().executedPlan().toString()
+    plan = sl.scan_paths(make_docs([(1, "x")]), sl.new_ledger(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
