@@ -56,13 +56,13 @@ def test_targets_and_taken(drawn):
     taken, own = Counter(), defaultdict(int)
     for r in rows:
         taken[r.sid] += r.words
-        own[(r.row, r.size)] += r.words
+        own[(r.doc_id, r.order, r.copy, r.sid, r.size)] += r.words
     for sid, s in enumerate(names):
         assert by_sid[sid].source_size == sizes[s]
         assert by_sid[sid].target == pytest.approx(target[s])
         assert abs(taken[sid] - target[s]) <= 0.5
-    assert all(0 <= t <= 2 * n for (_, n), t in own.items())
-    assert sorted(n for _, n in own) == sorted(size(t) for _, t, _ in docs)
+    assert all(0 <= t <= 2 * n for (*_, n), t in own.items())
+    assert sorted(n for *_, n in own) == sorted(size(t) for _, t, _ in docs)
 
 
 def test_blocks_are_disjoint_and_shards_even(drawn):
@@ -102,6 +102,24 @@ def test_rows(make_docs):
     assert abs(taken["big"] - target["big"]) < 0.1 * target["big"]
 
 
+def test_shards_are_shuffled_partitions(make_docs, tmp_path):
+    docs = [(i, "word " * 40, f"s{i % 3}") for i in range(3000)]
+    mix = mx.mix_rows(make_docs(docs), shards=5)
+    mix.write.parquet(str(tmp_path / "mix"))
+    parts = [[r.doc_id for r in rows] for rows in mix.rdd.glom().collect()]
+    assert len(parts) == 5
+    assert max(map(len, parts)) < 1.5 * min(map(len, parts))
+    for ids in parts:
+        assert len({i % 3 for i in ids}) == 3
+        rises = np.mean(np.diff(ids) > 0)
+        assert 0.45 < rises < 0.55
+
+
+def test_taken_comes_through_the_quotas(make_docs, monkeypatch):
+    monkeypatch.setattr(mx, "split_tree", lambda counts, rooms, seed: np.zeros((len(counts), len(rooms)), np.int64))
+    assert sum(r.words for r in mx.draws(make_docs(documents()), shards=16).collect()) == 0
+
+
 def test_alike_rows_share(make_docs):
     table = make_docs([(1, "a b c d", "s")] * 5 + [(2, "e f", "t")])
     assert 5 <= mx.mix_rows(table).where("doc_id = 1").count() <= 10
@@ -109,7 +127,7 @@ def test_alike_rows_share(make_docs):
 
 def test_odd_and_empty(make_docs, odd, nothing):
     rows = mx.draws(odd).collect()
-    assert sum(1 for _ in {r.row for r in rows}) == len(ODD)
+    assert len({(r.doc_id, r.order, r.copy) for r in rows}) == len(ODD)
     assert sum(r.words for r in rows) == round(1.5 * sum(size(t) for _, t in ODD))
     assert mx.draws(nothing).count() == 0
     assert mx.mix_rows(nothing).count() == 0
@@ -129,3 +147,17 @@ def test_permutations():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         seen = mx.permuted(np.arange(n), np.full(n, n), np.full(n, 12345, np.uint64))
         assert sorted(seen.tolist()) == list(range(n))
+        assert (mx.place_of(seen, np.full(n, n), np.full(n, 12345, np.uint64)) == np.arange(n)).all()
+
+
+def test_beyond_the_exact_sampler(monkeypatch):
+    counts = np.array([3 * 10**9, 5, 10**9, 7 * 10**8])
+    quotas = mx.split_tree(counts, mx.even(int(counts.sum()), 6), 3)
+    assert (quotas.sum(1) == counts).all()
+    assert (quotas >= 0).all()
+    assert np.abs(quotas / (counts[:, None] / 6) - 1)[[0, 2, 3]].max() < 1e-3
+    monkeypatch.setattr(mx, "EXACT_DRAWS", 50)
+    small = np.array([500, 0, 1000, 170])
+    found = np.array([mx.split_tree(small, mx.even(1670, 4), s)[0, 0] for s in range(400)])
+    assert abs(found.mean() - 125) < 2
+    assert 6 < found.std() < 10  # 8.1 by the formula

@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="waytrace-")
         sc.setCheckpointDir(path)
     return path
@@ -44,13 +46,18 @@ HOT_ROWS = 1000
 HOT_SHARE = 1000
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: str | None = None) -> DataFrame:
     """``left`` joined (inner or left) to ``right``, which has a key once; a key that holds many rows of ``left`` isn't shuffled.
 
     Keys with more than a ``HOT_SHARE``-th of the rows (and ``HOT_ROWS``) are fewer than ``HOT_SHARE``: their rows of
-    ``right`` are broadcast. The other rows meet by a shuffle. Both tables are read twice, so they should be staged."""
-    limit = max(HOT_ROWS, left.count() // HOT_SHARE)
-    hot = left.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("_hot"))
+    ``right`` are broadcast. The other rows meet by a shuffle. Both tables are read twice, so they should be staged.
+    ``counts``: a column of ``right`` that says how many rows of ``left`` have the key, if it is known."""
+    if counts:
+        total = right.agg(F.coalesce(F.sum(counts), F.lit(0))).first()[0]
+        hot = right.where(F.col(counts) > max(HOT_ROWS, total // HOT_SHARE)).select(F.col(key).alias("_hot"))
+    else:
+        limit = max(HOT_ROWS, left.count() // HOT_SHARE)
+        hot = left.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("_hot"))
     hot = staged(hot, "hot")
     few = F.broadcast(hot)
     held = right.join(few, F.col(key) == F.col("_hot"), "left_semi")

@@ -2,27 +2,31 @@
 
 Sizes are words. All documents of a source, in an order given by a hash, form one stream of
 words, cut into blocks of ``block_words``. A source with target t of s words is drawn
-t div s whole times and once in part. Each pass draws the blocks in the order of a
-keyed permutation (a Feistel network walked back into range); the last block of the
+t div s whole times and once in part, so its target is a quota of block draws; the last draw of the
 partial pass is cut, so a source gives its target to the word.
 
-The draws of all sources are dealt to ``shards`` output shards of equal draws: the shards
-are halved again and again, and each time the draws of each source that go to the
-left half are one multivariate hypergeometric sample. So every shard
-has an exact quota of each source, as if all draws had been shuffled
-together, but only counts were ever touched. Draw number d of a source then belongs to
-the shard whose range of quotas holds d, and its place there is a hash.
+1. Tree. The quotas of all sources are split among ``shards`` output shards of equal draws: the shards
+   are halved again and again, and each time the draws of each source that go to the
+   left half are one multivariate hypergeometric sample. So every shard
+   has an exact quota of each source, as if all draws had been shuffled
+   together, but only counts were ever touched. Beyond 10 ** 9 draws in a split, where the exact sampler ends, a normal variable of the same
+   mean and variance is rounded; the quotas' sums stay exact.
+2. Draws. The quotas of a source, shard by shard, are disjoint ranges of draw numbers. A draw takes the block at its place in a
+   keyed permutation (a Feistel network walked back into range), another one for each pass.
+3. The words of a document are taken where a drawn block holds them. A block has a shard, and a random place in it:
+   ``mix_rows`` puts each shard in one partition, shuffled by place.
 
 Scale. Nothing needs a source in one task: word offsets are sums over buckets of
 documents, then within a bucket; targets are found by rounds of aggregates over
 one row per source; the tree first splits segments of sources (their number is the
 root of the sources' number; these are collected), then each segment splits its
-own. The table of sources is broadcast only while it has ``BROADCAST_SOURCES`` rows or less;
-otherwise it is joined by a shuffle, where adaptive execution splits hot sources.
+own. The number of shards grows with the words (``SHARD_WORDS``). The table of sources is broadcast only while it has ``BROADCAST_SOURCES`` rows or less;
+otherwise it is joined by a shuffle, where adaptive execution splits hot sources. Documents alike in id, text
+and source are one row with a count until their places in the stream are known.
 
 Null text has size 0, the null source is one of its own and comes last; an empty
 table gives an empty mix, documents without words are in it with 0 taken. Repeated
-rows are drawn each on their own. Runs with one seed agree. Other columns are not read.
+rows are drawn each on their own. Very long texts lie in many blocks. Runs with one seed agree. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,9 +46,13 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 1024
-#: Draws of all sources together stay below this (a limit of the sampler); blocks grow instead.
-MOST_BLOCKS = 1 << 28
+#: Draws that the exact sampler splits at once.
+EXACT_DRAWS = 10**9 - 1
+#: Shards at least, and words of a shard, about.
 SHARDS = 64
+SHARD_WORDS = 1 << 24
+#: Draws that one row of the plan stands for.
+RANGE_DRAWS = 4096
 BUCKET_ROWS = 4096
 BROADCAST_SOURCES = 10_000
 SEED = 20_240_101
@@ -65,8 +73,7 @@ def mix64(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The place of x in a permutation of range(n) that ``key`` chooses; all arrays of one length."""
+def _walked(x: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool) -> np.ndarray:
     half = np.ones(len(x), np.int64)
     while (short := (np.int64(1) << (2 * half)) < n).any():
         half += short
@@ -75,13 +82,43 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         v, h, m = out[todo], half[todo], mask[todo]
         left, right = v >> h, v & m
-        for step in range(4):
-            left, right = right, left ^ (mix64(right, key[todo], step).astype(np.int64) & m)
+        for step in range(3, -1, -1) if back else range(4):
+            if back:
+                left, right = right ^ (mix64(left, key[todo], step).astype(np.int64) & m), left
+            else:
+                left, right = right, left ^ (mix64(right, key[todo], step).astype(np.int64) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= n[todo]]
     return out
 
 
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What stands at place x in a permutation of range(n) that ``key`` chooses; all arrays of one length."""
+    return _walked(x, n, key, False)
+
+
+def place_of(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where x stands in that permutation."""
+    return _walked(x, n, key, True)
+
+
+def part_of(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` draws without replacement are of each colour, of which there are ``counts``."""
+    rest = int(counts.sum())
+    if rest <= EXACT_DRAWS:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros(len(counts), np.int64)
+    for i, own in enumerate(counts.tolist()):
+        if rest <= EXACT_DRAWS:
+            out[i:] = rng.multivariate_hypergeometric(counts[i:], n, method="marginals")
+            break
+        mean = n * (own / rest)
+        spread = (mean * (1 - own / rest) * ((rest - n) / max(1, rest - 1))) ** 0.5
+        out[i] = min(own, n, max(0, n - (rest - own), round(rng.normal(mean, spread))))
+        rest, n = rest - own, n - int(out[i])
+    return out
+
+
 def split_tree(counts: np.ndarray, capacities: np.ndarray, seed: int) -> np.ndarray:
     """[source, shard] quotas: ``counts`` draws of each source dealt to shards of ``capacities`` draws."""
     quotas = np.zeros((len(counts), len(capacities)), np.int64)
@@ -92,8 +129,7 @@ def split_tree(counts: np.ndarray, capacities: np.ndarray, seed: int) -> np.ndar
             quotas[:, lo] = here
             continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(here, int(capacities[lo:mid].sum()), method="marginals")
+        left = part_of(np.random.default_rng([seed, lo, hi]), here, int(capacities[lo:mid].sum()))
         stack += [(lo, mid, left), (mid, hi, here - left)]
     return quotas
 
@@ -103,8 +139,8 @@ def even(total: int, shards: int) -> np.ndarray:
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, rows, sid, weight, target) of each source of ``sized`` (source, size); sid counts them by code point, null last."""
-    summed = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    """(source, source_size, rows, sid, weight, target) of each source of ``sized`` (source, size, alike: rows); sid counts them by code point, null last."""
+    summed = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("alike").alias("rows"))
     ordered = staged(summed.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id()), "sources")
     part = F.shiftright("place", 33)
     before, counts = 0, []
@@ -135,7 +171,7 @@ def draw_counts(size: np.ndarray, wanted: np.ndarray, block: int, sid: np.ndarra
     passes = np.where(size > 0, wanted // np.maximum(size, 1), 0)
     rest = np.where(size > 0, wanted - passes * size, 0)
     short = size - (blocks - 1) * block
-    last = permuted(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), mix64(sid, passes, seed))
+    last = place_of(np.maximum(blocks - 1, 0), np.maximum(blocks, 1), mix64(sid, passes, seed))
     part = np.where(rest <= block * last, -(-rest // block), np.where(rest <= block * last + short, last + 1, -(-(rest + block - short) // block)))
     return blocks, passes, rest, blocks * passes + part
 
@@ -171,28 +207,60 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def stream_offsets(docs: DataFrame, weights: tuple, share: float, most: float, block_words: int, shards: int, seed: int) -> tuple[DataFrame, int]:
-    """Each document with its source's figures and ``start``, its first word's number in its source's stream; and the block size."""
+def sources_of(docs: DataFrame, weights: tuple, share: float, most: float, block: int, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The sizes of all documents, alike ones as one row (doc_id, source, size, order, alike), and the sources with their quotas."""
     text = F.col("text").cast("string")
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text)
-    sized = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(text).alias("size"), order.alias("order")), "sizes")
-    sources = staged(source_targets(sized, weights, share, most), "targets")
-    total = sources.agg(F.sum("target")).first()[0] or 0
-    block = max(block_words, int(-(-total // MOST_BLOCKS)))
-    sources = staged(quota_ranges(sources, block, shards, seed), "quotas")
-    side = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
-    rows = sized.withColumn("row", F.monotonically_increasing_id())
-    rows = rows.join(side.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", F.pmod("order", F.ceil(F.col("rows") / BUCKET_ROWS)))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("_sum"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(text).alias("size"), order.alias("order"))
+    sized = staged(rows.groupBy("doc_id", "source", "size", "order").agg(F.count(F.lit(1)).alias("alike")), "sizes")
+    sources = staged(source_targets(sized.select("source", (F.col("size") * F.col("alike")).alias("size"), "alike"), weights, share, most), "targets")
+    if shards is None:
+        shards = max(SHARDS, -(-int(sources.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
+    return sized, staged(quota_ranges(sources, block, shards, seed), "quotas")
+
+
+def stream_offsets(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each document (a row of its own, numbered ``copy`` among those alike) with its source's figures and ``start``, its first word's number in its source's stream."""
+    side = sources.drop("edges").withColumnRenamed("source", "_source")
+    side = F.broadcast(side) if sources.count() <= BROADCAST_SOURCES else side
+    rows = sized.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = rows.withColumn("bucket", F.pmod("order", F.ceil(F.col("rows") / BUCKET_ROWS))).withColumn("_words", F.col("size") * F.col("alike"))
+    sums = rows.groupBy("sid", "bucket").agg(F.sum("_words").alias("_sum"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(sums, ["sid", "bucket"]).withColumn("start", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return placed.select("row", "doc_id", "order", "sid", "size", "source_size", "target", "start", "edges"), block
+    within = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(sums, ["sid", "bucket"]).withColumn("_start", F.col("_before") + F.coalesce(F.sum("_words").over(within), F.lit(0)))
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)))
+    return copies.select("doc_id", "order", "copy", "alike", "sid", "size", "source_size", "target", (F.col("_start") + F.col("copy") * F.col("size")).alias("start"))
 
 
-DRAWS = "row long, doc_id long, order long, sid long, size long, source_size long, target double, pass long, block long, words long, shard int, place long"
+def block_draws(sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """(sid, block, pass, shard, place, open): the blocks that each shard's quotas draw; ``open`` words of a block are taken."""
+    ranges = sources.select("sid", "source_size", "target", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("_n"))
+    ranges = ranges.select("sid", "source_size", "target", (F.col("_n") - 1).cast("long").alias("shard"), F.element_at("edges", F.col("_n")).alias("_from"), F.element_at("edges", F.col("_n") + 1).alias("_to"))
+    ranges = ranges.where("_from < _to").withColumn("begin", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1, F.lit(RANGE_DRAWS).cast("long"))))
+    ranges = ranges.select("sid", "source_size", "target", "shard", "begin", F.least(F.col("_to"), F.col("begin") + RANGE_DRAWS).alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 64):
+                sid, total, target, shard, begin, end = (c.to_numpy() for c in big.slice(lo, 64).columns)
+                blocks, passes, rest, _ = draw_counts(total, np.floor(target + 0.5).astype(np.int64), block, sid, seed)
+                n = end - begin
+                row = np.repeat(np.arange(len(n)), n)
+                draw = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                turn, at = draw // blocks[row], draw % blocks[row]
+                key = mix64(sid[row], turn, seed)
+                number = permuted(at, blocks[row], key)
+                last = place_of(blocks[row] - 1, blocks[row], key)
+                short = total[row] - (blocks[row] - 1) * block
+                drawn_before = at * block - np.where(at > last, block - short, 0)
+                length = np.where(number == blocks[row] - 1, short, block)
+                open_ = np.where(turn < passes[row], length, np.clip(rest[row] - drawn_before, 0, length))
+                place = mix64(sid[row], draw, seed + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid[row], number, turn, shard[row], place, open_)], names=["sid", "block", "pass", "shard", "place", "open"])
+
+    return ranges.mapInArrow(run, "sid long, block long, pass long, shard long, place long, open long")
 
 
 def draws(
@@ -201,7 +269,7 @@ def draws(
     share: float = SHARE,
     most: float = MOST,
     block_words: int = BLOCK_WORDS,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
     whole: bool = False,
 ) -> DataFrame:
@@ -209,74 +277,42 @@ def draws(
     block has in it. A document of which nothing is taken has one row of 0 words and null pass, block, shard and place.
 
     ``whole``: a document is taken entire, where its first word is drawn, and not otherwise."""
-    placed, block = stream_offsets(docs, weights, share, most, block_words, shards, seed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for lo in range(0, big.num_rows, 2048):
-                batch = big.slice(lo, 2048)
-                col = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names) if n != "edges"}
-                size, start, sid, total = col["size"], col["start"], col["sid"], col["source_size"]
-                wanted = np.floor(col["target"] + 0.5).astype(np.int64)
-                blocks, passes, rest, _ = draw_counts(total, wanted, block, sid, seed)
-                spans = np.where(size > 0, 1 if whole else (start + size - 1) // block - start // block + 1, 0)
-                doc = np.repeat(np.arange(len(size)), spans * (passes + 1))
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(spans * (passes + 1)) - spans * (passes + 1), spans * (passes + 1))
-                turn, number = nth // np.maximum(spans[doc], 1), start[doc] // block + nth % np.maximum(spans[doc], 1)
-                at = permuted(number, blocks[doc], mix64(sid[doc], turn, seed))
-                last = permuted(blocks[doc] - 1, blocks[doc], mix64(sid[doc], turn, seed))
-                short = total[doc] - (blocks[doc] - 1) * block
-                length = np.where(number == blocks[doc] - 1, short, block)
-                drawn_before = at * block - np.where(at > last, block - short, 0)
-                open_ = np.where(turn < passes[doc], length, np.clip(rest[doc] - drawn_before, 0, length))
-                first = np.maximum(start[doc], number * block)
-                if whole:
-                    words = np.where(first < number * block + open_, size[doc], 0)
-                else:
-                    words = np.maximum(0, np.minimum(start[doc] + size[doc], number * block + open_) - first)
-                draw = turn * blocks[doc] + at
-                got = words > 0
-                doc, turn, number, words, draw = doc[got], turn[got], number[got], words[got], draw[got]
-                edges = batch.column(batch.schema.names.index("edges"))
-                flat, width = edges.flatten().to_numpy(), shards + 1
-                shard = (flat.reshape(-1, width)[doc][:, 1:] <= draw[:, None]).sum(1) if len(doc) else np.zeros(0, np.int64)
-                place = mix64(sid[doc], draw, seed + 1).view(np.int64)
-                idle = np.setdiff1d(np.arange(len(size)), doc)
-                take = pa.array(np.concatenate([doc, idle]))
-                void = [None] * len(idle)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(n).take(take) for n in ("row", "doc_id", "order", "sid", "size", "source_size", "target")],
-                        *[pa.concat_arrays([pa.array(x, pa.int64()), pa.array(void, pa.int64())]) for x in (turn, number)],
-                        pa.array(np.concatenate([words, np.zeros(len(idle), np.int64)])),
-                        pa.concat_arrays([pa.array(shard, pa.int32()), pa.array(void, pa.int32())]),
-                        pa.concat_arrays([pa.array(place, pa.int64()), pa.array(void, pa.int64())]),
-                    ],
-                    names=["row", "doc_id", "order", "sid", "size", "source_size", "target", "pass", "block", "words", "shard", "place"],
-                )
-
-    return placed.mapInArrow(run, DRAWS)
-
-
-def mix_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix of whole documents takes them, with the columns of ``docs``.
-
-    Rows alike in doc_id and text share out what is taken of them together."""
+    sized, sources = sources_of(docs, weights, share, most, block_words, shards, seed)
+    placed = staged(stream_offsets(sized, sources), "placed")
+    first, width = F.floor(F.col("start") / block_words), F.lit(block_words)
+    reach = first if whole else F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    pieces = placed.where("size > 0").select("doc_id", "order", "copy", "sid", "size", "start", F.explode(F.sequence(first, reach)).alias("block"))
+    opened = F.col("block") * width + F.col("open")
+    begin = F.greatest(F.col("start"), F.col("block") * width)
+    words = F.when(begin < opened, F.col("size")).otherwise(0) if whole else F.least(F.col("start") + F.col("size"), opened) - begin
+    got = pieces.join(block_draws(sources, block_words, seed), ["sid", "block"]).withColumn("words", words.cast("long")).where("words > 0")
+    got = got.select(F.col("doc_id").alias("_id"), F.col("order").alias("_order"), F.col("copy").alias("_copy"), "pass", "block", "words", F.col("shard").cast("int").alias("shard"), "place")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("order") == F.col("_order")) & (F.col("copy") == F.col("_copy"))
+    return placed.join(got, same, "left").drop("_id", "_order", "_copy", "start").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
+
+
+def mix_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, shards: int | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as the mix of whole documents takes them, with the columns of ``docs``. A partition is
+    a shard, its rows are shuffled.
+
+    Rows alike in doc_id, source and text share out what is taken of them together."""
     p = free_prefix(docs)
-    got = draws(docs, weights, share, most, seed=seed, whole=True).groupBy("doc_id", "order").agg(F.sum((F.col("words") > 0).cast("long")).alias(f"{p}copies"), F.countDistinct("row").alias(f"{p}rows"))
-    got = got.where(F.col(f"{p}copies") > 0).withColumnsRenamed({"doc_id": f"{p}id", "order": f"{p}order"})
+    taken = staged(draws(docs, weights, share, most, seed=seed, shards=shards, whole=True).where("words > 0").select("doc_id", "order", "sid", "alike", "shard", "place", "pass", "copy"), "drawn")
+    many = (taken.agg(F.max("shard")).first()[0] or 0) + 1
+    lists = F.array_sort(F.collect_list(F.struct("pass", "copy", "shard", "place")))
+    got = taken.groupBy("doc_id", "order", "sid", "alike").agg(lists.alias(f"{p}drawn"))
+    got = got.withColumnsRenamed({"doc_id": f"{p}id", "order": f"{p}order", "alike": f"{p}alike"}).drop("sid")
     keyed = docs.withColumn(f"{p}key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")))
     joined = keyed.join(got, (keyed[f"{p}key"] == got[f"{p}order"]) & keyed["doc_id"].cast("long").eqNullSafe(got[f"{p}id"]))
-    nth = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}id").orderBy(f"{p}key"))
-    copies, rows = F.col(f"{p}copies"), F.col(f"{p}rows")
-    own = F.floor(copies / rows) + (F.col(f"{p}nth") <= copies % rows).cast("long")
-    numbered = joined.withColumn(f"{p}nth", nth).withColumn(f"{p}own", own.cast("int")).where(F.col(f"{p}own") > 0)
-    return numbered.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), f"{p}own"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}id").orderBy(f"{p}key")) - 1
+    own = F.filter(f"{p}drawn", lambda d, i: i % F.col(f"{p}alike") == F.col(f"{p}nth"))
+    rows = joined.withColumn(f"{p}nth", nth).withColumn(f"{p}at", F.explode(own))
+    dealt = rows.repartitionById(many, F.col(f"{p}at.shard")).sortWithinPartitions(F.xxhash64(f"{p}at.place", f"{p}key", f"{p}at.copy"), f"{p}key")
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each of all ``documents`` the mix takes."""
+    """How many words of each of all ``documents`` the shards' draws take, and in which shards (ascending)."""
     found = draws(table(spark, sf_dir, "documents"))
-    return found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.first("shard", ignorenulls=True).alias("first_shard")
-    ).drop("row")
+    taken = found.groupBy("doc_id", "order", "copy", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.array_join(F.array_sort(F.collect_set("shard")), ",").alias("shards"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "shards")

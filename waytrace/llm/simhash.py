@@ -23,13 +23,18 @@ a leaf and the number of copies sent low. With 64-bit fingerprints and three bit
 a split prunes little, the work of a join grows as n to the power of about 1.7.
 
 With ``min_jaccard`` links are pairs of that similarity of the sets of word shingles, however far
-their fingerprints are apart. Nodes then are distinct sets. The number of shingles is a distance, too (from the
-empty set): nodes are first cut into rings of sizes a factor 1/min_jaccard apart, and a node meets its
-own ring and the next, all of them. A bitmap has the parity of the number of shingles at each bit; two
-bitmaps differ in no more bits than the sets differ in shingles, so the pairs it
-rules out are never links. Fingerprints only choose a node's leaf there. Each pair of the forest is then
-verified by the sets themselves; where one fails, all pairs that the bitmaps leave between the verified parts
-of its component are. So the components are those of all links, and of links alone.
+their fingerprints are apart. Nodes then are distinct sets. The trees find the pairs within ``radius`` bits; a similarity of
+0.8 is about ten bits, at which triangle bounds of 64-bit fingerprints prune nothing, so further shards
+hold what the radius misses: a node lies in ``BANDS`` shards, each named by ``ROWS`` minimum hashes of its set. A pair of
+similarity s meets in none of them with probability (1 - s ** ROWS) ** BANDS: 3e-6 at 0.8, less above.
+
+- Each node of a shard is paired with the shard's smallest node, and pairs that may be alike are verified by
+  the sets themselves. Linked nodes get one label.
+- In shards that hold several labels all pairs of two labels are compared, large shards by cells of two slices. A bitmap
+  has the parity of the number of shingles at each bit; two bitmaps differ in no more bits than the
+  sets differ in shingles, so the pairs it rules out are never links. The others are verified, too.
+
+So no verified link is lost between nodes that share a shard, and only verified pairs link.
 
 Null text counts as empty; texts without words are linked like any other. Null
 doc_ids never name a component unless all in it are null. Repeated rows come out once
@@ -51,19 +56,23 @@ from waytrace.llm.common import free_prefix, skew_join, staged, table, texts
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-BINS = 128
 #: Nodes the top tree is built from, at most about; nodes in a leaf, at least about.
 SAMPLE = 20_000
 LEAF = 2048
-#: With sets: nodes in a leaf of a ring's tree, and leaves of a ring at most (all leaves of
-#: a ring meet, so each leaf more is a copy more of the ring's bitmaps).
-RING_LEAF = 16_384
-MOST_RING_LEAVES = 16
 BLOCK = 512
+#: Minimum hashes that name a shard, and shards of a node.
+ROWS, BANDS = 4, 24
+#: Bits from which on a pair of a shard's smallest node isn't looked at in the first step (the second has no such bound).
+FAR = 22
+#: Nodes in a slice of a shard.
+SLICE = 16_384
 #: Nodes of verified pairs that are broadcast to find their texts, at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
 SALTS = 16
 NODE = "node"
+_DRAWN = np.random.default_rng(2024)
+_FLIPS = _DRAWN.integers(0, 1 << 64, (ROWS * BANDS, 1), np.uint64)
+_FACTORS = _DRAWN.integers(0, 1 << 64, (ROWS * BANDS, 1), np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -90,50 +99,52 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def sketch(hashes: np.ndarray, bins: int = BINS) -> bytes:
-    """One byte per bin: 0 if empty, else from the smallest hash in it. An estimate of similarity; no link depends on it."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The shards of a set of hashes."""
     if not len(hashes):
-        return bytes(bins)
-    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
-    at = (mixed >> np.uint64(40)).astype(np.int64) % bins
-    least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, at, hashes)
-    held = np.zeros(bins, bool)
-    held[at] = True
-    return np.where(held, 1 + (least * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % np.uint64(255), 0).astype(np.uint8).tobytes()
+        return np.zeros(0, np.int64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 2048):
+        np.minimum(least, ((hashes[None, lo : lo + 2048] ^ _FLIPS) * _FACTORS).min(1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ row) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """The parity of the distinct ``hashes`` at each bit; as many bits as hashes, up to the next power of two, 64 at least.
+    """The parity of the distinct ``hashes`` at each bit; four bits to a hash or more, a power of two, 64 at least.
     Halves laid over each other by exclusive or are the bitmap of half the bits."""
-    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    bits = max(64, 4 << max(0, len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sets: bool = False, row: str = "CAST(0 AS BIGINT)") -> DataFrame:
-    """(doc_id, row, fp long[, size, bitmap, node, key]) of each row; key is a hash of the text."""
-    names = ["doc_id", "row", "fp", *(["size", "bitmap", NODE, "key"] if with_sets else [])]
+    """(doc_id, row, fp long[, size, bitmap, bands, node, key]) of each row; key is a hash of the text."""
+    names = ["doc_id", "row", "fp", *(["size", "bitmap", "bands", NODE, "key"] if with_sets else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                fps, sizes, marks, nodes = [], [], [], []
+                fps, sizes, marks, bands, nodes = [], [], [], [], []
                 for text in texts(batch.column(2)):
                     hashes = shingle_hashes(text, k)
                     if with_sets:
                         hashes = np.unique(hashes)
                         sizes.append(len(hashes))
                         marks.append(bitmap(hashes))
+                        bands.append(band_keys(hashes))
                         nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                     fps.append(fingerprint(hashes))
                 columns = [batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))]
                 if with_sets:
-                    columns += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(3)]
+                    columns += [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(nodes, np.uint64).view(np.int64)), batch.column(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, node long, key long" if with_sets else "")
+    schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, bands array<long>, node long, key long" if with_sets else "")
     text = F.col("text").cast("string")
     key = [F.xxhash64(text).alias("key")] if with_sets else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), text.alias("text"), *key).mapInArrow(run, schema)
@@ -169,20 +180,18 @@ class TopTree:
         self.leaves += 1
         return -self.leaves
 
-    def deal(self, fps: np.ndarray, radius: int, visit: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, rows that live or visit there, whether each lives there). Rows of the tree's own points visit leaves
-        with lower numbers than their own; with ``visit`` all rows are others' and go wherever they reach."""
+    def deal(self, fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, rows that live or visit there, whether each lives there). Rows visit leaves with lower numbers than their own."""
         home = np.full(len(fps), self.leaves, np.int64)
-        if not visit:
-            stack = [(self.root, np.arange(len(fps)))]
-            while stack:
-                node, rows = stack.pop()
-                if node < 0:
-                    home[rows] = -node - 1
-                elif len(rows):
-                    vantage, mu, inner, outer = self.rows[node]
-                    inside = distances(fps[rows], vantage) <= mu
-                    stack += [(inner, rows[inside]), (outer, rows[~inside])]
+        stack = [(self.root, np.arange(len(fps)))]
+        while stack:
+            node, rows = stack.pop()
+            if node < 0:
+                home[rows] = -node - 1
+            elif len(rows):
+                vantage, mu, inner, outer = self.rows[node]
+                inside = distances(fps[rows], vantage) <= mu
+                stack += [(inner, rows[inside]), (outer, rows[~inside])]
         stack = [(self.root, np.arange(len(fps)))]
         while stack:
             node, rows = stack.pop()
@@ -288,113 +297,40 @@ def unlike(a: np.ndarray, b: np.ndarray, min_jaccard: float) -> np.ndarray:
     return np.floor((1 - min_jaccard) / (1 + min_jaccard) * (a + b) + 1e-6).astype(np.int64)
 
 
-class BitmapJoin:
-    """A forest of pairs, of which one at least is at home, that the bitmaps don't rule out; ``edges`` has its pairs.
-
-    Nearer pairs are taken first within a block. Pairs with the same ``label`` count as linked; with ``every`` all other pairs
-    are taken, not a forest of them."""
-
-    def __init__(self, marks: list[bytes], sizes: np.ndarray, home: np.ndarray, min_jaccard: float, label: np.ndarray | None = None, every: bool = False) -> None:
-        self.sizes, self.min_jaccard, self.every = sizes.astype(np.int64), min_jaccard, every
-        self.up = np.arange(len(sizes)) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
-        self.edges: list[tuple[int, int]] = []
-        width = min(map(len, marks), default=8) // 8
-        words = np.zeros((len(marks), width), np.uint64)
-        for i, mark in enumerate(marks):
-            words[i] = np.bitwise_xor.reduce(np.frombuffer(mark, np.uint64).reshape(-1, width), axis=0)
-        self.words = np.ascontiguousarray(words.T)
-        order = np.argsort(self.sizes, kind="stable")
-        mine, visitors = order[home[order]], order[~home[order]]
-        self._meet(mine, mine, True)
-        self._meet(mine, visitors, False)
-
-    def _meet(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        sizes = self.sizes[b]
-        for lo in range(0, len(a), 128):
-            part = a[lo : lo + 128]
-            begin, end = np.searchsorted(sizes, [self.sizes[part[0]] * self.min_jaccard - 1, self.sizes[part[-1]] / self.min_jaccard + 1])
-            for to in range(max(begin, lo) if same else begin, end, 1024):
-                self._compare(part, b[to : min(end, to + 1024)])
+def may_link(sizes_a: np.ndarray, sizes_b: np.ndarray, marks_a: list[bytes], marks_b: list[bytes], min_jaccard: float) -> np.ndarray:
+    """Which pairs of sets the bitmaps don't rule out."""
+    most = unlike(sizes_a.astype(np.int64), sizes_b.astype(np.int64), min_jaccard)
+    wide = np.array([(len(a), len(b)) for a, b in zip(marks_a, marks_b, strict=True)], np.int64).reshape(-1, 2)
+    found = np.zeros(len(wide), bool)
+    for pair in np.unique(wide, axis=0):
+        here, width = np.flatnonzero((wide == pair).all(1)), int(pair.min()) // 8
+        for lo in range(0, len(here), 8192):
+            some = here[lo : lo + 8192]
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join([marks[i] for i in some.tolist()]), np.uint64).reshape(len(some), -1, width), axis=1) for marks in (marks_a, marks_b))
+            found[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most[some]
+    return found
 
-    def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        most = unlike(self.sizes[a][:, None], self.sizes[b][None, :], self.min_jaccard).astype(np.int32)
-        apart = np.zeros(most.shape, np.uint16 if len(self.words) < 1024 else np.int32)
-        half = (len(self.words) + 1) // 2
-        for x, y in zip(self.words[:half, a], self.words[:half, b], strict=True):
-            apart += np.bitwise_count(x[:, None] ^ y[None, :])
-        i, j = np.nonzero(apart <= most)
-        known = apart[i, j].astype(np.int64)
-        open_ = (a[i] != b[j]) & (self._roots(a)[i] != self._roots(b)[j])
-        i, j, known, most = i[open_], j[open_], known[open_], most[i[open_], j[open_]]
-        for lo in range(0, len(i), 4096):
-            x, y = a[i[lo : lo + 4096]], b[j[lo : lo + 4096]]
-            far = known[lo : lo + 4096] + np.bitwise_count(self.words[half:, x] ^ self.words[half:, y]).sum(0, dtype=np.int64)
-            near = np.flatnonzero(far <= most[lo : lo + 4096])
-            for at in near[np.argsort(far[near], kind="stable")].tolist():
-                self._link(int(x[at]), int(y[at]))
-
-    def _roots(self, x: np.ndarray) -> np.ndarray:
-        while not np.array_equal(up := self.up[self.up], self.up):
-            self.up = up
-        return self.up[x]
-
-    def _link(self, a: int, b: int) -> None:
-        if self.every:
-            self.edges.append((a, b))
-            return
-        ra, rb = a, b
-        while ra != self.up[ra]:
-            ra = self.up[ra]
-        while rb != self.up[rb]:
-            rb = self.up[rb]
-        if ra != rb:
-            self.up[max(ra, rb)] = min(ra, rb)
-            self.edges.append((a, b))
-
-
-def _sampled(nodes: DataFrame, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rings and fingerprints of about ``most`` nodes, chosen by their hash, in a fixed order."""
-    every = max(1, n // most)
-    rows = nodes.where(F.pmod(F.xxhash64(NODE, F.lit("sample")), F.lit(every)) == 0).select("ring", "fp").limit(4 * most).toArrow()
-    ring, fps = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)
-    order = np.lexsort((fps, ring))
-    return ring[order], fps[order].view(np.uint64)
-
-
-def _trees(nodes: DataFrame, verified: bool) -> dict[int, TopTree]:
-    """A top tree for each ring, with leaves by the number of nodes in it. There are few rings: they are powers of a factor."""
-    sizes = dict(tuple(r) for r in nodes.groupBy("ring").count().collect())
-    n = sum(sizes.values())
-    ring, fps = _sampled(nodes, n, SAMPLE) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    if verified:
-        leaves = {r: min(MOST_RING_LEAVES, max(1, m // RING_LEAF)) for r, m in sizes.items()}
-    else:
-        leaves = {r: max(1, m // max(LEAF, int(8 * m**0.5))) for r, m in sizes.items()}
-    return {r: TopTree(fps[ring == r], leaves[r]) for r in sizes}
 
+def top_tree(nodes: DataFrame) -> TopTree:
+    """A tree from about ``SAMPLE`` nodes, chosen by their hash, with leaves by the number of all."""
+    n = nodes.count()
+    every = max(1, n // SAMPLE)
+    rows = nodes.where(F.pmod(F.xxhash64(NODE, F.lit("sample")), F.lit(every)) == 0).select("fp").limit(4 * SAMPLE).toArrow()
+    fps = np.sort(rows.column(0).to_numpy().astype(np.int64)).view(np.uint64)
+    return TopTree(fps, max(1, n // max(LEAF, int(8 * n**0.5))))
 
-def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None, every: bool = False) -> DataFrame:
-    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp[, size, bitmap[, label]]); with
-    ``min_jaccard``, of all pairs that bitmaps don't rule out; with ``every`` all such pairs of two labels."""
-    verified = min_jaccard is not None
-    extra = ["size", "bitmap", *(["label"] if every else [])] if verified else []
-    ring = F.floor(F.ln(F.greatest(F.col("size"), F.lit(1))) / float(np.log(1 / min_jaccard) * (1 + 1e-9))) if verified else F.lit(0)
-    nodes = nodes.select(ring.cast("long").alias("ring"), NODE, "fp", *extra)
-    trees = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, verified))
+
+def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) node pairs whose components are those of all links between ``nodes`` (node, fp)."""
+    nodes = nodes.select(NODE, "fp")
+    tree = nodes.sparkSession.sparkContext.broadcast(top_tree(nodes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = batch.column(0).to_numpy()
-            own = batch.select(batch.schema.names[1:])
-            fps = np.ascontiguousarray(own.column(1).to_numpy()).view(np.uint64)
-            for r in np.unique(rings).tolist():
-                here = np.flatnonzero(rings == r)
-                # in its ring a node lives in one leaf; in the ring below it only visits
-                for down in (0, 1) if verified and r - 1 in trees.value else (0,):
-                    for leaf, rows, home in trees.value[r - down].deal(fps[here], 64 if verified else radius, visit=bool(down)):
-                        held = own.take(pa.array(here[rows]))
-                        shard = pa.array(np.full(len(rows), (r - down) << 20 | leaf))
-                        yield pa.RecordBatch.from_arrays([shard, pa.array(home), *held.columns], names=["shard", "home", *held.schema.names])
+            fps = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint64)
+            for leaf, rows, home in tree.value.deal(fps, radius):
+                held = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), pa.array(home), *held.columns], names=["shard", "home", NODE, "fp"])
 
     def join(group: pa.Table) -> pa.Table:
         ids = group.column(NODE).to_numpy()
@@ -402,17 +338,11 @@ def link_forest(nodes: DataFrame, radius: int, min_jaccard: float | None = None,
         home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((ids, ~home))
         ids, fps, home = ids[order], fps[order], home[order]
-        if verified:
-            marks = group.column("bitmap").to_pylist()
-            found = BitmapJoin([marks[i] for i in order.tolist()], group.column("size").to_numpy()[order], home, min_jaccard, group.column("label").to_numpy()[order] if every else None, every).edges
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
         roots = VantageJoin(fps, home, radius).forest.parent
         child = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": ids[child], "b": ids[roots[child]]})
 
-    columns = "shard long, home boolean, node long, fp long" + (", size long, bitmap binary" if verified else "") + (", label long" if every else "")
-    dealt = nodes.mapInArrow(deal, columns)
+    dealt = nodes.mapInArrow(deal, "shard long, home boolean, node long, fp long")
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long").where("a <> b")
 
 
@@ -435,7 +365,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) ->
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, min_jaccard: float) -> DataFrame:
-    """``pairs`` (a, b) with ``near``: whether their sets of shingles have the similarity."""
+    """The ``pairs`` (a, b) whose sets of shingles have the similarity."""
     pairs = staged(pairs, "pairs")
     sets = staged(shingle_sets(docs, nodes, pairs, k), "sets")
     half = staged(skew_join(pairs, sets.select(F.col(NODE).alias("a"), F.col("hashes").alias("x")), "a"), "half")
@@ -448,25 +378,92 @@ def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int,
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (left, right))
                 apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
                 near.append(bool(apart <= unlike(len(x), len(y), min_jaccard)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return staged(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def likely_pairs(nodes: DataFrame, pairs: DataFrame, min_jaccard: float) -> DataFrame:
+    """The ``pairs`` (a, b) that the bitmaps of ``nodes`` don't rule out."""
+    pairs = staged(pairs, "stars")
+    marked = lambda end: nodes.select(F.col(NODE).alias(end), F.col("size").alias(f"size_{end}"), F.col("bitmap").alias(f"bitmap_{end}"))
+    half = staged(skew_join(pairs, marked("a"), "a"), "marked")
+    both = skew_join(half, marked("b"), "b").select("a", "b", "size_a", "size_b", "bitmap_a", "bitmap_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [batch.column(i).to_numpy() for i in (2, 3)], [batch.column(i).to_pylist() for i in (4, 5)]
+            yield batch.select([0, 1]).filter(pa.array(may_link(*sizes, *marks, min_jaccard), pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def cell_pairs(cells: np.ndarray, slices: np.ndarray, cross: np.ndarray, sizes: np.ndarray, labels: np.ndarray, marks: list[bytes], min_jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two labels in one cell that may link; a ``cross`` cell compares two slices. Rows are sorted by cell, then size."""
+    for step in range(1, len(cells)):
+        near = (cells[step:] == cells[:-step]) & (sizes[:-step] >= min_jaccard * sizes[step:])
+        if not near.any():  # nor further on: a cell's sizes rise
+            return
+        i = np.flatnonzero(near & (labels[step:] != labels[:-step]) & (~cross[step:] | (slices[step:] != slices[:-step])))
+        if len(i):
+            j = i + step
+            kept = may_link(sizes[i], sizes[j], [marks[x] for x in i.tolist()], [marks[x] for x in j.tolist()], min_jaccard)
+            yield i[kept], j[kept]
+
+
+def pairs_of_labels(nodes: DataFrame, labels: DataFrame, min_jaccard: float) -> DataFrame:
+    """(a, b) of nodes with different ``labels`` (node, label) that share a shard and may link."""
+    sigs = labels.join(nodes.select(NODE, "size", "bands"), NODE).select(NODE, "size", "label", F.explode("bands").alias("sig"))
+    sigs = staged(sigs, "labelled")
+    mixed = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    mixed = staged(mixed.select("sig", "n", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), "mixed")
+    rows = skew_join(sigs, mixed, "sig", counts="n").withColumn("slice", F.pmod(F.xxhash64(NODE), F.col("slices")).cast("int"))
+    cell = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(F.least(x, "slice").alias("i"), F.greatest(x, "slice").alias("j")))
+    rows = rows.select("sig", NODE, "size", "label", "slice", F.explode(cell).alias("c")).select("sig", "c.i", "c.j", "size", NODE, "label", "slice")
+    rows = rows.join(nodes.select(NODE, "bitmap"), NODE).select("sig", "i", "j", "size", NODE, "label", "slice", "bitmap")
+    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "size")
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, i, j, sizes, ids, labels, slices = (table.column(x).to_numpy() for x in range(7))
+        cells = np.cumsum(np.concatenate(([0], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        for a, b in cell_pairs(cells, slices, i != j, sizes, labels, table.column(7).to_pylist(), min_jaccard):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 8192:
+                continue
+            table = pa.Table.from_batches(held)
+            last = [table.column(x)[-1].as_py() for x in range(3)]
+            keys = [table.column(x).to_numpy() for x in range(3)]
+            end = int(np.flatnonzero(~((keys[0] == last[0]) & (keys[1] == last[1]) & (keys[2] == last[2])))[-1:].sum() + 1)
+            if (keys[0][0], keys[1][0], keys[2][0]) == tuple(last):
+                end = 0
+            if end:
+                yield from compare(table.slice(0, end).combine_chunks())
+                held = table.slice(end).combine_chunks().to_batches()
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    return staged(both.mapInArrow(run, "a long, b long, near boolean"), "links")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, k: int, radius: int, min_jaccard: float) -> DataFrame:
-    """(a, b) verified links whose components are those of all pairs of ``nodes`` with the similarity."""
-    first = verified_links(docs, nodes, link_forest(nodes, radius, min_jaccard), k, min_jaccard)
-    links = first.where("near").select("a", "b")
-    if first.where("NOT near").isEmpty():
-        return links
-    # a component of the bitmaps with a pair that fails: what may still link its parts is verified entirely
-    possible = staged(components(first.select("a", "b")), "possible")
-    torn = first.where("NOT near").select(F.col("a").alias(NODE)).join(possible, NODE).select("root").distinct()
-    parts = components(links).withColumnRenamed("root", "part")
-    again = nodes.join(possible.join(torn, "root", "left_semi"), NODE).join(parts, NODE, "left")
-    again = staged(again.select(NODE, "fp", "size", "bitmap", "key", F.coalesce("part", NODE).alias("label")), "again")
-    rest = verified_links(docs, again, link_forest(again, radius, min_jaccard, every=True), k, min_jaccard)
-    return links.union(rest.where("near").select("a", "b"))
+    """(a, b) verified links whose components are those of all pairs of ``nodes`` with the similarity that share a shard or lie within the radius."""
+    sigs = nodes.select(NODE, "size", "fp", F.explode("bands").alias("sig"))
+    shared = staged(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(NODE, "size", "fp")).alias("first")).where("n > 1"), "shared")
+    met = skew_join(sigs, shared, "sig", counts="n")
+    near = (F.col(NODE) != F.col("first.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) < FAR)
+    alike = F.least("size", "first.size") >= min_jaccard * F.greatest("size", "first.size")
+    stars = met.where(near & alike).select(F.col(NODE).alias("a"), F.col("first.node").alias("b"))
+    order = lambda pairs: pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    tried = staged(likely_pairs(nodes, order(stars.union(link_forest(nodes, radius))), min_jaccard), "tried")
+    links = verified_links(docs, nodes, tried, k, min_jaccard)
+    labels = staged(nodes.select(NODE).join(components(links), NODE, "left").select(NODE, F.coalesce("root", NODE).alias("label")), "labels")
+    rest = pairs_of_labels(nodes, labels, min_jaccard).join(tried, ["a", "b"], "left_anti")
+    return links.union(verified_links(docs, nodes, rest, k, min_jaccard))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -502,7 +499,7 @@ def rooted(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, min_jaccard:
     verified = min_jaccard is not None
     prints = staged(fingerprints(docs, k, verified, row), "fingerprints")
     if verified:
-        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.min("key").alias("key")]
+        kept = [F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("bands").alias("bands"), F.min("key").alias("key")]
         nodes = staged(prints.groupBy(NODE).agg(*kept), "nodes")
     else:
         prints = prints.withColumn(NODE, F.col("fp"))
