@@ -6,12 +6,12 @@ columns of ``documents``.
 
 1. quality classifier: rejected documents go.
 2. SimHash near-dedup: of each group one document stays. Five-word shingles with a
-   similarity of 0.8 or more, whether or not the fingerprints are within ``RADIUS`` bits.
+   similarity of 0.8 or more: the trees find pairs within ``RADIUS`` bits, shards by minimum hashes the others.
 3. secret scans: what the rules find is masked.
 4. mixing: whole documents are taken as often as their source's target wants.
 5. packing: the place of each piece of each document in sequences of 2048 ids.
 
-Each stage works on all rows of the one before; null text, repeated rows and empty tables are
+Each stage works on all rows of the one before. Columns named like helpers of an operator don't clash; null text, very long text, repeated rows and empty tables are
 what the operators say. The stages depend on a trained scorer and on tokenizer files, which
 SQL can't express: ORACLE_SQL is None.
 """
@@ -27,8 +27,8 @@ from waytrace.llm.common import shared_dir, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits: a similarity of 0.8 in shingles is about 10 of 64 bits apart.
-RADIUS = 12
+#: Bits within which the trees find pairs; links don't depend on it.
+RADIUS = 3
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
