@@ -230,7 +230,7 @@ def border_copies(n=40, words=124, seed=17):
     return docs
 
 
-@pytest.mark.parametrize("slice_nodes", [16_384, 2])
+@pytest.mark.parametrize("slice_nodes", [1024, 2])
 def test_links_are_pairs_of_the_similarity(make_docs, monkeypatch, slice_nodes):
     monkeypatch.setattr(sh, "SLICE", slice_nodes)
     docs = border_copies()

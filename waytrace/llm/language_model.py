@@ -9,17 +9,15 @@ from its counts; below order 0 all bytes not yet excluded are equal. 0xFE pads
 the start of a text and 0xFF ends it: neither is in UTF-8. A-Z are lower-cased.
 The score is the log10 probability of all bytes and the end.
 
-Training. Tasks count (context, symbol) and word keys in numpy and emit them summed; Spark adds them
-up. Only the longest contexts are counted, shorter ones are sums of these. The trie is
-broadcast whole while no order has more than ``MOST_ENTRIES`` entries. Beyond, it is cut by the last two
-bytes of the context, which all orders but the lowest two share: each part gives the
-probabilities of its own (context, symbol) pairs. Those of the ``MOST_ENTRIES`` most frequent pairs at most are broadcast, the
-others of a document go, once each, through a join. The scores are the same either way.
-
-Base score. The sum over tokens of log10((c + 1) / (N + V + 1)). Words are keyed by a 64-bit
-hash. The at most ``HEAD_WORDS`` most frequent ones (again a power-of-two threshold) are
-broadcast and added up where the text is; the other words of a document go, once each,
-through a join with all counts.
+Training. Tasks count pairs (context, symbol) and words and emit them summed; Spark adds them
+up. Only the longest contexts are counted, shorter ones are sums of these. The trie is never in one place: it is cut by the last two
+bytes of the context, which all orders but the lowest two share, and each part gives the
+probabilities of pairs of its own. Those of the ``HEAD_PAIRS`` most frequent pairs at most are broadcast and added up where the text is, the
+others of a document go, once each, through a join. So nothing is left out at any size.
+
+Base score. The sum over tokens of log10((c + 1) / (N + V + 1)), by the words themselves. The at most
+``HEAD_WORDS`` most frequent ones (a power-of-two threshold, as for pairs) are
+broadcast; the other words of a document go, once each, through a join with all counts.
 
 Texts longer than ``SEGMENT_BYTES`` are read in segments cut at white space, with the context carried
 over. Null text counts as empty: one token, the end. A null doc_id trains. Repeated
@@ -29,6 +27,7 @@ log10 256. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,32 +37,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import SEGMENT_BYTES, runs, staged, table, texts
+from waytrace.llm.common import SEGMENT_BYTES, runs, skew_join, staged, table, texts
 
 ORDER = 5
-MOST_ENTRIES = 2_000_000
+#: Pairs (context, symbol) and words that are broadcast, at most.
+HEAD_PAIRS = 1 << 20
 HEAD_WORDS = 1 << 18
+#: Words that a task counts before it emits them.
+HELD_WORDS = 400_000
 PAD, END = 0xFE, 0xFF
-#: The key of the end token among the words.
-END_KEY = np.int64(-1)
-WORD, GRAM = 0, 1
+#: The end token among the words.
+END_WORD = b""
 HOLD_OUT = (7, 2)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14), PAD, END]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
 
 
 @dataclass
@@ -88,36 +78,32 @@ class Stretch:
         np.add.at(mark, self.ends, -1)
         return np.cumsum(mark[:-1]) > 0
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The key of each word and the piece it is in."""
-        inside = ~_WHITE[self.raw] & self._predicted()
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        n = len(self.raw)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n))))
-            key = (sums[last] - sums[first]) * _powers(np.uint64(_inverse(int(_BASE))), n)[first]
-            key = (key ^ (last - first).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            key = (key ^ (key >> np.uint64(29))).view(np.int64)
-        key[key == END_KEY] = 0
-        return key, np.searchsorted(self.ends, first, side="right")
-
-
-def stretches(column: pa.Array) -> Iterator[Stretch]:
-    """All texts of a column, A-Z lower-cased, about ``SEGMENT_BYTES`` at a time."""
-    pieces: list[tuple[int, bytes, bytes, bool]] = []
-    for row, text in enumerate(texts(column)):
-        begin = 0
-        while len(text) - begin > SEGMENT_BYTES:
-            at = begin + SEGMENT_BYTES
-            while at < len(text) and not _WHITE[text[at]]:
-                at += 1
-            if at >= len(text):
-                break
-            pieces.append((row, _context(text, begin), text[begin:at], False))
-            begin = at
-        pieces.append((row, _context(text, begin), text[begin:], True))
+
+def segments(text: bytes) -> Iterator[tuple[int, int]]:
+    """``text`` in parts of about ``SEGMENT_BYTES`` that end before white space; an empty text is one part."""
+    begin = 0
+    while len(text) - begin > SEGMENT_BYTES:
+        at = begin + SEGMENT_BYTES
+        while at < len(text) and not _WHITE[text[at]]:
+            at += 1
+        if at >= len(text):
+            break
+        yield begin, at
+        begin = at
+    yield begin, len(text)
+
+
+def word_counts(text: bytes) -> Counter:
+    """How often each word, A-Z lower-cased, is in ``text``; bytes split at ASCII white space alone."""
+    found: Counter = Counter()
+    for a, b in segments(text):
+        found.update(text[a:b].lower().split())
+    return found
+
+
+def stretches(found: list[bytes]) -> Iterator[Stretch]:
+    """All texts, A-Z lower-cased, about ``SEGMENT_BYTES`` at a time."""
+    pieces = [(row, _context(text, a), text[a:b], b == len(text)) for row, text in enumerate(found) for a, b in segments(text)]
     for lo, hi in runs(np.array([len(p[2]) for p in pieces]), SEGMENT_BYTES):
         some = pieces[lo:hi]
         raw = _LOWER[np.frombuffer(b"".join(c + t + (b"\xff" if last else b"") for _, c, t, last in some), np.uint8)]
@@ -130,7 +116,7 @@ def _context(text: bytes, begin: int) -> bytes:
     return (bytes([PAD]) * ORDER + text[max(0, begin - ORDER) : begin])[-ORDER:]
 
 
-class Counter:
+class Sums:
     """Sums of keys, held as sorted arrays."""
 
     def __init__(self) -> None:
@@ -156,46 +142,52 @@ class Counter:
 
 
 def count_corpus(training: DataFrame) -> DataFrame:
-    """(kind, key, n): how often each word and each (context, symbol) is in ``training`` (text)."""
+    """(word, gram, n): how often each word (gram is null) and each pair (context, symbol) (word is null) is in ``training`` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, ended = Counter(), Counter(), 0
-        for batch in batches:
-            ended += batch.num_rows
-            for part in stretches(batch.column(0)):
-                words.add(part.words()[0])
-                grams.add(part.grams())
-            if words.size > 1_500_000:
-                yield from _counted(WORD, *words.merge())
-                words = Counter()
-            if grams.size > 1_500_000 and len(grams.merge()[0]) > 1_000_000:
-                yield from _counted(GRAM, *grams.merge())
-                grams = Counter()
-        yield from _counted(WORD, *words.merge())
-        yield from _counted(GRAM, *grams.merge())
+        words, grams, ended = Counter(), Sums(), 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                found = texts(whole.column(0).slice(lo, 1024))
+                ended += len(found)
+                for text in found:
+                    words.update(word_counts(text))
+                    if len(words) > HELD_WORDS:
+                        yield from _counted(words)
+                        words = Counter()
+                for part in stretches(found):
+                    grams.add(part.grams())
+                if grams.size > 1_500_000 and len(grams.merge()[0]) > 1_000_000:
+                    yield from _summed(*grams.merge())
+                    grams = Sums()
         if ended:
-            yield from _counted(WORD, np.array([END_KEY]), np.array([ended]))
+            words[END_WORD] += ended
+        yield from _counted(words)
+        yield from _summed(*grams.merge())
+
+    return training.mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
-    return training.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def _counted(words: Counter) -> Iterator[pa.RecordBatch]:
+    keys, counts = list(words), list(words.values())
+    for lo in range(0, len(keys), 1 << 16):
+        k = keys[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.nulls(len(k), pa.int64()), pa.array(counts[lo : lo + (1 << 16)], pa.int64())], names=["word", "gram", "n"])
 
 
-def _counted(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _summed(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(keys), 1 << 16):
         k = keys[lo : lo + (1 << 16)].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(counts[lo : lo + (1 << 16)].astype(np.int64))], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.array(k), pa.array(counts[lo : lo + (1 << 16)].astype(np.int64))], names=["word", "gram", "n"])
 
 
-def most_frequent(counts: DataFrame, most: int, at_least: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys and counts of the rows of ``counts`` (key, n) with n >= 2 ** t, t being the smallest (of ``at_least`` or
-    more) that leaves ``most`` rows or fewer; and t."""
+def most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows of ``counts`` (key, n) with n >= 2 ** t, t being the smallest that leaves ``most`` rows or fewer; and t."""
     sizes = dict(tuple(r) for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("t")).count().collect())
-    t = at_least
+    t = 0
     while sum(c for k, c in sizes.items() if k >= t) > most:
         t += 1
-    kept = counts.where(F.col("n") >= (1 << t)).select("key", "n").toArrow()
-    keys, n = kept.column("key").to_numpy().astype(np.int64), kept.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order], t
+    return counts.where(F.col("n") >= (1 << t)), t
 
 
 class Trie:
@@ -256,24 +248,18 @@ def collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def train(grams: DataFrame) -> Trie | None:
-    """The whole trie of ``grams`` (key, n), or None if it is too large to broadcast; no order has more entries than the highest."""
-    if grams.count() > MOST_ENTRIES:
-        return None
-    return Trie([collected(order_counts(grams, j)) for j in range(ORDER + 1)])
-
-
 def gram_logs(keys: DataFrame, grams: DataFrame) -> DataFrame:
-    """(key, log) of each of the distinct ``keys`` (key), by tries of the entries of ``grams`` (key, n) that share two bytes of context."""
+    """(key, rows, log) of each of the distinct ``keys`` (key, rows), by tries of the entries of ``grams`` (key, n) that share two bytes of context."""
+    # at most 256 and 65,536 entries
     low = grams.sparkSession.sparkContext.broadcast([collected(order_counts(grams, j)) for j in range(2)])
     suffix = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("suffix")
 
     def run(wanted: pa.Table, held: pa.Table) -> pa.Table:
         asked = wanted.column("key").to_numpy().astype(np.int64)
         if not len(asked):
-            return pa.table({"key": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+            return pa.table({"key": pa.array([], pa.int64()), "rows": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
         last = asked[0] >> 8 & 0xFF
-        keys, n = held.column("key").to_numpy().astype(np.int64), held.column("n").to_numpy().astype(np.int64)
+        keys, n = held.column("entry").to_numpy().astype(np.int64), held.column("times").to_numpy().astype(np.int64)
         zero, (one, one_n) = low.value
         orders = [zero, (one[one >> 8 == last], one_n[one >> 8 == last])]
         for j in range(2, ORDER + 1):
@@ -281,12 +267,13 @@ def gram_logs(keys: DataFrame, grams: DataFrame) -> DataFrame:
             total = np.zeros(len(entry), np.int64)
             np.add.at(total, at, n)
             orders.append((entry, total))
-        return pa.table({"key": asked, "log": Trie(orders).log10(asked)})
+        return pa.table({"key": asked, "rows": wanted.column("rows"), "log": Trie(orders).log10(asked)})
 
-    return keys.select(suffix, "key").groupBy("suffix").cogroup(grams.select(suffix, "key", "n").groupBy("suffix")).applyInArrow(run, "key long, log double")
+    entries = grams.select(suffix, F.col("key").alias("entry"), F.col("n").alias("times"))
+    return keys.select(suffix, "key", "rows").groupBy("suffix").cogroup(entries.groupBy("suffix")).applyInArrow(run, "key long, rows long, log double")
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, gram long, times long"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, gram long, times long"
 
 
 def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT[1]) -> DataFrame:
@@ -295,78 +282,67 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = staged(count_corpus(rows.where(~F.col("held_out")).select("text")), "counts")
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
+    words = counts.where("word IS NOT NULL").select(F.col("word").alias("key"), "n")
+    grams = counts.where("gram IS NOT NULL").select(F.col("gram").alias("key"), "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head_keys, head_n, floor = most_frequent(words, HEAD_WORDS)
-    grams = counts.where(F.col("kind") == GRAM).select("key", "n")
-    trie = train(grams)
-    often = (np.zeros(0, np.int64), np.zeros(0))
-    if trie is None:
-        least = most_frequent(grams, MOST_ENTRIES)[2]
-        kept = gram_logs(grams.where(F.col("n") >= (1 << least)).select("key"), grams).toArrow()
-        gram_keys, gram_p = kept.column("key").to_numpy(), kept.column("log").to_numpy()
-        by_key = np.argsort(gram_keys)
-        often = (gram_keys[by_key], gram_p[by_key])
-    model = spark.sparkContext.broadcast((trie, often, head_keys, np.log10(head_n + 1.0)))
-    end_n = words.where(F.col("key") == int(END_KEY)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    head, floor = most_frequent(words, HEAD_WORDS)
+    head = head.toArrow()
+    logs = dict(zip(head.column("key").to_pylist(), np.log10(head.column("n").to_numpy() + 1.0).tolist(), strict=True))
+    often = gram_logs(most_frequent(grams, HEAD_PAIRS)[0].select("key", F.col("n").alias("rows")), grams).select("key", "log").toArrow()
+    order = np.argsort(often.column("key").to_numpy())
+    model = spark.sparkContext.broadcast((often.column("key").to_numpy()[order], often.column("log").to_numpy()[order], logs))
+    end_n = words.where(F.col("key") == F.lit(END_WORD)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, (gram_keys, gram_p), keys, logs = model.value
+        gram_keys, gram_logs, logs = model.value
         number = TaskContext.get().partitionId() << 33
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 n = batch.num_rows
-                n_tokens, n_known, base, total = np.ones(n, np.int64), np.full(n, int(end_n > 0)), np.full(n, np.log10(end_n + 1.0)), np.zeros(n)
+                n_tokens, n_known, base, total = [1] * n, [int(end_n > 0)] * n, [float(np.log10(end_n + 1.0))] * n, np.zeros(n)
                 ids = number + np.arange(n)
                 number += n
-                for part in stretches(batch.column(2)):
+                found = texts(batch.column(2))
+                far_row, far_word, far_times = [], [], []
+                for i, text in enumerate(found):
+                    for word, times in word_counts(text).items():
+                        n_tokens[i] += times
+                        log = logs.get(word)
+                        if log is not None:
+                            n_known[i] += times
+                            base[i] += times * log
+                        elif floor:
+                            far_row.append(i)
+                            far_word.append(word)
+                            far_times.append(times)
+                if far_row:
+                    yield _scored(ids[far_row], word=pa.array(far_word, pa.binary()), times=pa.array(far_times))
+                for part in stretches(found):
                     grams, back = np.unique(part.grams(), return_inverse=True)
                     sizes = part.ends - part.begins
                     filled = np.flatnonzero(sizes)
-                    if trie is not None:
-                        found = trie.log10(grams)
-                    else:
-                        found, held = np.zeros(len(grams)), np.zeros(len(grams), bool)
-                        if len(gram_keys) and len(grams):
-                            where = np.minimum(np.searchsorted(gram_keys, grams), len(gram_keys) - 1)
-                            held = gram_keys[where] == grams
-                            found[held] = gram_p[where[held]]
-                        far = np.flatnonzero(~held[back])
-                        if len(far):
-                            pairs, times = np.unique(np.repeat(part.rows, sizes)[far] * len(grams) + back[far], return_counts=True)
-                            yield _scored(ids[pairs // len(grams)], gram=pa.array(grams[pairs % len(grams)]), times=pa.array(times))
-                    piece = np.add.reduceat(found[back], (np.cumsum(sizes) - sizes)[filled])
-                    np.add.at(total, part.rows[filled], piece)
-                    key, at = part.words()
-                    row = part.rows[at]
-                    n_tokens += np.bincount(row, minlength=n)
-                    if len(keys):
-                        where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        known = keys[where] == key
-                        n_known += np.bincount(row[known], minlength=n)
-                        base += np.bincount(row[known], logs[where[known]], minlength=n)
-                        if floor == 0:
-                            continue
-                        key, row = key[~known], row[~known]
-                    order = np.lexsort((key, row))
-                    key, row = key[order], row[order]
-                    first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))) if len(key) else np.zeros(0, np.int64)
-                    times = np.diff(np.append(first, len(key)))
-                    yield _scored(ids[row[first]], word=pa.array(key[first]), times=pa.array(times))
+                    if not len(filled):
+                        continue
+                    log, known = np.zeros(len(grams)), np.zeros(len(grams), bool)
+                    if len(gram_keys):
+                        where = np.minimum(np.searchsorted(gram_keys, grams), len(gram_keys) - 1)
+                        known = gram_keys[where] == grams
+                        log[known] = gram_logs[where[known]]
+                    far = np.flatnonzero(~known[back])
+                    if len(far):
+                        pairs, times = np.unique(np.repeat(part.rows, sizes)[far] * len(grams) + back[far], return_counts=True)
+                        yield _scored(ids[pairs // len(grams)], gram=pa.array(grams[pairs % len(grams)]), times=pa.array(times))
+                    np.add.at(total, part.rows[filled], np.add.reduceat(log[back], (np.cumsum(sizes) - sizes)[filled]))
                 yield _scored(ids, doc_id=batch.column(0), held_out=batch.column(1), n_tokens=pa.array(n_tokens), n_known=pa.array(n_known), base=pa.array(base), score=pa.array(total))
 
     found = staged(rows.mapInArrow(run, SCORED), "scored")
-    seldom = found.where("word IS NOT NULL").select("row", F.col("word").alias("key"), "times").join(words, "key")
-    rest = seldom.groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_base"))
-    joined = found.where("word IS NULL AND gram IS NULL").drop("word", "gram", "times").join(rest, "row", "left")
-    total = F.col("score")
-    if trie is None:
-        far = found.where("gram IS NOT NULL").select("row", F.col("gram").alias("key"), "times")
-        logs = staged(gram_logs(far.select("key").distinct(), grams), "logs")
-        beyond = far.join(logs, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("_score"))
-        joined = joined.join(beyond, "row", "left")
-        total = total + F.coalesce("_score", F.lit(0.0))
+    seldom = found.where("word IS NOT NULL").select("row", F.col("word").alias("key"), "times")
+    rest = skew_join(seldom, words, "key").groupBy("row").agg(F.sum("times").alias("_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("_base"))
+    far = found.where("gram IS NOT NULL").select("row", F.col("gram").alias("key"), "times")
+    asked = far.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    beyond = skew_join(far, staged(gram_logs(asked, grams), "logs"), "key", counts="rows").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("_score"))
+    joined = found.where("word IS NULL AND gram IS NULL").drop("word", "gram", "times").join(rest, "row", "left").join(beyond, "row", "left")
     cost = float(np.log10(tokens + (distinct + 1)))
     return joined.select(
         "doc_id",
@@ -375,11 +351,11 @@ def score(docs: DataFrame, modulus: int = HOLD_OUT[0], remainder: int = HOLD_OUT
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(cost)).alias("base_score"),
-        total.alias("score"),
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
     )
 
 
-_TYPES = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.int64(), "gram": pa.int64(), "times": pa.int64()}
+_TYPES = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "word": pa.binary(), "gram": pa.int64(), "times": pa.int64()}
 
 
 def _scored(row: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:

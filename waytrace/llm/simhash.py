@@ -65,7 +65,7 @@ ROWS, BANDS = 4, 24
 #: Bits from which on a pair of a shard's smallest node isn't looked at in the first step (the second has no such bound).
 FAR = 22
 #: Nodes in a slice of a shard.
-SLICE = 16_384
+SLICE = 1024
 #: Nodes of verified pairs that are broadcast to find their texts, at most; more are joined by a shuffle.
 BROADCAST_NODES = 1 << 20
 SALTS = 16
