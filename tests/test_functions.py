@@ -108,7 +108,7 @@ def test_labels(spark):
 
 
 def test_overlay_corner():
-    assert scalar.overlay_xy("bottom_left", 4) == "4:H-h-4"
+    assert scalar.overlay_xy("bottom_left", 4) == "4:main_h-overlay_h-4"
     assert scalar.overlay_xy("nowhere", 4) == scalar.overlay_xy("top_right", 4)
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables with known results."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -215,6 +216,39 @@ def test_grid_equals_theta(spark):
         assert any(g[1] for g in grid)
 
 
+def test_a_route_of_two_types(spark):
+    at = lambda miles: [(35.0 + miles / 69.172, b) for _, b in LINE]
+    roads = road_table(spark, [("US 70", "us_route", at(0.028)), ("US 70", "local", at(0.0007)), ("US 80", "us_route", at(0.014))])
+    points = drive(spark, [35.0])
+    grid, theta = (f(points, roads, 0.031, KEY).first() for f in (spatial.nearest_road, spatial.nearest_road_theta))
+    assert grid.route_id == theta.route_id == "US 80"
+    assert abs(grid.nearest_any_mi - 0.0007) < 1e-9
+    found = spatial.candidates(points, roads, 0.031, KEY)
+    nothing = points.select(*KEY, F.lit(None).cast("string").alias("route_id"))
+    assert spatial.concurrent_roads(found, nothing, KEY, 5).first().extras == ["US 80", "US 70"]
+
+
+def test_nearest_places(spark):
+    rng = random.Random(3)
+    towns = [(30 + rng.random() * 15, -110 + rng.random() * 20, f"t{i}", "Texas", "US") for i in range(150)]
+    places = spark.createDataFrame(towns, "lat double, lon double, name string, admin1 string, cc string")
+    asked = [(i, 28 + rng.random() * 19, -112 + rng.random() * 24) for i in range(200)] + [(200, towns[0][0], towns[0][1]), (201, -40.0, 100.0)]
+    points = spark.createDataFrame(asked, "id long, lat double, lon double")
+    got = {r.id: r.place and r.place.name for r in spatial.nearest_places(points, places).collect()}
+    far = lambda p, t: 2 * 3958.76 * math.asin(math.sqrt(math.sin(math.radians(t[0] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(t[0])) * math.sin(math.radians(t[1] - p[2]) / 2) ** 2))
+    assert got == {p[0]: min(towns, key=lambda t: far(p, t))[2] for p in asked[:-1]} | {201: None}
+
+
+def test_spans_and_dark_spans_without_length(spark):
+    span = "trip_id long, start_sec double, end_sec double, label string"
+    spans = spark.createDataFrame([(1, 0.0, 10.0, "A"), (1, 0.0, 10.0, "A"), (1, 20.0, 20.0, "none"), (2, 5.0, 5.0, "kept"), (1, 1000.0, 3000.0, "long")], span)
+    dark = spark.createDataFrame([(1, 4.0, 4.0), (1, 2000.0, 2500.0), (1, 2400.0, 2400.0)], "trip_id long, start_sec double, end_sec double")
+    pairs = lambda fill: sorted((r.trip_id, r.start_sec, r.end_sec, r.label) for r in intervals.subtract(spans, dark, fill).collect())
+    bare = [(1, 0.0, 4.0, "A")] * 2 + [(1, 4.0, 10.0, "A")] * 2 + [(1, 1000.0, 2000.0, "long"), (1, 2500.0, 3000.0, "long"), (2, 5.0, 5.0, "kept")]
+    assert pairs(None) == sorted(bare)
+    assert pairs("-") == sorted([*bare, (1, 4.0, 4.0, "-"), (1, 4.0, 4.0, "-"), (1, 2000.0, 2500.0, "-")])
+
+
 def test_distance_to_route(spark):
     points = drive(spark, [35.01, 35.0]).withColumn("route_id", F.when(F.col("sec") == 0, "I-40").otherwise("gone"))
     got = ordered(spatial.distance_to_route(points, road_table(spark, [("I-40", "interstate", LINE)]), KEY), "sec", "hold_mi")

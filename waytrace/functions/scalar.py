@@ -112,7 +112,7 @@ def circular_mean(sin_sum: Column, cos_sum: Column) -> Column:
 
 def zone_of(state: Column, lon: Column) -> Column:
     """The zone of a state; some states are split by a longitude. NULL where none is known."""
-    zones = literal_map({s: z for z, states in dim.STATE_ZONES.items() for s in states})
+    zones = literal_map(dim.STATE_ZONES)
     zone = None
     for name, split, east, west in dim.ZONE_SPLITS:
         side = F.when(lon > split, east).otherwise(west)
@@ -196,4 +196,4 @@ def shield_number(route_id: Column) -> Column:
 
 def overlay_xy(corner: str, margin: int) -> str:
     """Where an overlay goes; an unknown corner is the top right."""
-    return ":".join(p.format(m=margin) for p in dim.CORNERS.get(corner, dim.CORNERS["top_right"]))
+    return dim.CORNERS.get(corner, dim.CORNERS["top_right"]).format(margin=margin)

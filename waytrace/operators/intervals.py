@@ -24,31 +24,44 @@ def run_lengths(labels: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def disjoint(dark: DataFrame) -> DataFrame:
-    """(trip_id, d_start, d_end): dark spans without what an earlier one covers; those that abut stay apart."""
+    """(trip_id, d_start, d_end): dark spans without what an earlier one covers; those that abut stay apart. One without length still cuts."""
     before = Window.partitionBy("trip_id").orderBy("start_sec", "end_sec").rowsBetween(Window.unboundedPreceding, -1)
-    rows = dark.where("end_sec > start_sec").withColumn("_reach", F.max("end_sec").over(before))
+    rows = dark.where("end_sec >= start_sec").withColumn("_reach", F.max("end_sec").over(before))
     open_ = rows.where("_reach IS NULL OR end_sec > _reach")
     return open_.select("trip_id", F.coalesce(F.greatest("start_sec", "_reach"), "start_sec").alias("d_start"), F.col("end_sec").alias("d_end"))
 
 
-def subtract(spans: DataFrame, dark: DataFrame, fill: str | None = None, key: list[str] | None = None) -> DataFrame:
-    """``spans`` (trip_id, start_sec, end_sec, label, key columns) without the dark parts, which become ``fill`` if it is
-    given. ``key`` tells spans of a trip apart (default: start, end and label)."""
-    key = key or ["start_sec", "end_sec", "label"]
-    own = ["trip_id", *dict.fromkeys(["start_sec", "end_sec", "label", *key])]
+#: Seconds of a bucket in which spans and dark spans meet.
+BUCKET_SECS = 600
+
+
+def _bucketed(rows: DataFrame, start: str, end: str) -> DataFrame:
+    first, last = (F.floor(F.col(c) / BUCKET_SECS) for c in (start, end))
+    return rows.withColumn("_first", first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def subtract(spans: DataFrame, dark: DataFrame, fill: str | None = None) -> DataFrame:
+    """``spans`` (trip_id, start_sec, end_sec, label) without the dark parts, which become ``fill`` if it is given.
+
+    Spans and dark spans of a trip meet by buckets of time. Equal spans are cut each on their own; spans without
+    length go where a trip has dark spans."""
+    order = Window.partitionBy("trip_id").orderBy("start_sec", "end_sec", "label")
+    spans = spans.select("trip_id", "start_sec", "end_sec", "label").withColumn("_n", F.row_number().over(order))
     d = disjoint(dark)
-    hit = spans.join(d, "trip_id").where("d_start < end_sec AND d_end > start_sec")
+    met = _bucketed(spans, "start_sec", "end_sec").join(_bucketed(d, "d_start", "d_end").withColumnRenamed("_first", "_first_dark"), ["trip_id", "_bucket"])
+    hit = met.where((F.col("_bucket") == F.greatest("_first", "_first_dark")) & (F.col("d_start") < F.col("end_sec")) & (F.col("d_end") > F.col("start_sec")))
     hit = hit.withColumn("a", F.greatest("d_start", "start_sec")).withColumn("b", F.least("d_end", "end_sec"))
-    w = Window.partitionBy("trip_id", *[k for k in key if k != "trip_id"]).orderBy("a")
+    w = Window.partitionBy("trip_id", "_n").orderBy("a", "b")
     hit = hit.withColumn("_from", F.coalesce(F.lag("b").over(w), F.col("start_sec"))).withColumn("_last", F.lead("a").over(w).isNull())
     piece = lambda s, e, label: F.struct(s.alias("s"), e.alias("e"), label.alias("t"))
-    parts = [piece(F.col("_from"), F.col("a"), F.col("label")), F.when(F.col("_last"), piece(F.col("b"), F.col("end_sec"), F.col("label")))]
+    lit = F.array(piece(F.col("_from"), F.col("a"), F.col("label")), F.when(F.col("_last"), piece(F.col("b"), F.col("end_sec"), F.col("label"))))
+    parts = F.filter(lit, lambda p: p.isNotNull() & (p["e"] > p["s"]))
     if fill:
-        parts.insert(1, piece(F.col("a"), F.col("b"), F.lit(fill)))
-    cut = hit.withColumn("_p", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p["e"] > p["s"]))))
-    cut = cut.select("trip_id", F.col("_p.s").alias("start_sec"), F.col("_p.e").alias("end_sec"), F.col("_p.t").alias("label"))
-    whole = spans.join(d, (spans["trip_id"] == d["trip_id"]) & (d["d_start"] < spans["end_sec"]) & (d["d_end"] > spans["start_sec"]), "left_anti")
-    return whole.select(*own).select("trip_id", "start_sec", "end_sec", "label").unionByName(cut)
+        parts = F.concat(parts, F.array(piece(F.col("a"), F.col("b"), F.lit(fill))))
+    cut = hit.select("trip_id", F.explode(parts).alias("_p")).select("trip_id", F.col("_p.s").alias("start_sec"), F.col("_p.e").alias("end_sec"), F.col("_p.t").alias("label"))
+    trips = dark.select("trip_id").distinct().withColumn("_dark", F.lit(True))
+    whole = spans.join(hit.select("trip_id", "_n").distinct(), ["trip_id", "_n"], "left_anti").join(trips, "trip_id", "left").where("_dark IS NULL OR end_sec > start_sec")
+    return whole.select("trip_id", "start_sec", "end_sec", "label").unionByName(cut)
 
 
 def dark_seconds(dark: DataFrame, totals: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ def road_cells(segments: DataFrame, scale: DataFrame, reach_mi: float = 0.0, cel
 
 
 def candidates(points: DataFrame, roads: DataFrame, tolerance_mi: float, key: list[str], cell: float = CELL_MI) -> DataFrame:
-    """(key, route_id, tier, road_seq, acquire_mi, hold_mi): per point and route the nearest segment in both projections, where
-    either is within the tolerance. ``acquire_mi`` or ``hold_mi`` is NULL beyond it."""
+    """(key, route_id, tier, acquire_mi, road_seq, nearest_mi, hold_mi) per point and route where a segment is within the tolerance in either projection.
+
+    Tier, distance and file order are those of one segment, the route's best by them: a route that occurs with two
+    types has the distance of its better type. ``nearest_mi`` is that of its nearest segment of any type. What is beyond the tolerance is NULL."""
     segments = road_segments(roads)
     scale = file_scale(segments)
     # at a point's own latitude a degree may be longer than the file's: room for both
@@ -64,9 +66,10 @@ def candidates(points: DataFrame, roads: DataFrame, tolerance_mi: float, key: li
 
     measured = near.withColumn("_a", miles(F.col("kx"))).withColumn("_h", miles(scalar.miles_per_degree_lon(F.col("lat"))))
     inside = measured.where((F.col("_a") <= tolerance_mi) | (F.col("_h") <= tolerance_mi))
-    within = lambda c: F.min(F.when(F.col(c) <= tolerance_mi, F.col(c)))
-    return inside.groupBy(*key, "route_id").agg(F.min("tier").alias("tier"), F.min("road_seq").alias("road_seq"), within("_a").alias("acquire_mi"), within("_h").alias("hold_mi"))
-
+    within = lambda c, value: F.min(F.when(F.col(c) <= tolerance_mi, value))
+    best = F.struct("tier", F.col("_a").alias("acquire_mi"), "road_seq")
+    found = inside.groupBy(*key, "route_id").agg(within("_a", best).alias("_best"), within("_a", F.col("_a")).alias("nearest_mi"), within("_h", F.col("_h")).alias("hold_mi"))
+    return found.select(*key, "route_id", "_best.*", "nearest_mi", "hold_mi")
 
 
 def _rank() -> Column:
@@ -75,7 +78,7 @@ def _rank() -> Column:
 
 def nearest(found: DataFrame, key: list[str]) -> DataFrame:
     """(key, route_id, nearest_any_mi): the best road by (tier, distance, file order); the distance is that of the nearest road of any tier."""
-    return found.where("acquire_mi IS NOT NULL").groupBy(*key).agg(F.min_by("route_id", _rank()).alias("route_id"), F.min("acquire_mi").alias("nearest_any_mi"))
+    return found.where("acquire_mi IS NOT NULL").groupBy(*key).agg(F.min_by("route_id", _rank()).alias("route_id"), F.min("nearest_mi").alias("nearest_any_mi"))
 
 
 def nearest_road(points: DataFrame, roads: DataFrame, tolerance_mi: float, key: list[str], cell: float = CELL_MI) -> DataFrame:
@@ -89,7 +92,7 @@ def nearest_road_theta(points: DataFrame, roads: DataFrame, tolerance_mi: float,
     ky, kx, zero = F.lit(scalar.MILES_PER_DEGREE), F.col("kx"), F.lit(0.0)
     pairs = points.select(*key, "lat", "lon").crossJoin(segments.crossJoin(file_scale(segments)))
     miles = scalar.segment_miles(zero, zero, (F.col("alon") - F.col("lon")) * kx, (F.col("alat") - F.col("lat")) * ky, (F.col("blon") - F.col("lon")) * kx, (F.col("blat") - F.col("lat")) * ky)
-    found = pairs.withColumn("acquire_mi", miles).where(F.col("acquire_mi") <= tolerance_mi)
+    found = pairs.withColumn("acquire_mi", miles).withColumn("nearest_mi", miles).where(F.col("acquire_mi") <= tolerance_mi)
     return points.select(*key).join(nearest(found, key), key, "left")
 
 
@@ -103,6 +106,30 @@ def concurrent_roads(found: DataFrame, current: DataFrame, key: list[str], most:
     return current.select(*key).join(lists, key, "left").withColumn("extras", F.coalesce("extras", F.array().cast("array<string>")))
 
 
+def nearest_places(points: DataFrame, places: DataFrame, cell_deg: float = 0.5, reach: int = 5) -> DataFrame:
+    """``points`` (lat, lon, ...) with ``place`` (name, admin1, cc): the place (lat, lon, name, admin1, cc) nearest by arc, ties by name.
+
+    A place goes to the cells around its own; a point asks its own cell for the nearest within one cell of it. Points that find
+    none ask cells of twice the size, ``reach`` times in all; then NULL. The date line isn't crossed."""
+    found, open_ = None, points.withColumn("_point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    for step in range(reach):
+        size = cell_deg * 2**step
+        row, column = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        held = places.select(F.struct("name", "admin1", "cc").alias("place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row.alias("_r"), column.alias("_c"), F.explode(around).alias("_d"))
+        held = held.select("place", "_lat", "_lon", (F.col("_r") + F.col("_d.i")).alias("_r"), (F.col("_c") + F.col("_d.j")).alias("_c"))
+        asked = open_.select("_point", row.alias("_r"), column.alias("_c"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).distinct()
+        miles = scalar.haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_lat"), F.col("_lon"))
+        # whatever lies outside the nine cells is farther than one cell in one direction
+        sure = F.lit(size) * F.least(F.lit(scalar.MILES_PER_DEGREE), scalar.miles_per_degree_lon(F.least(F.lit(89.0), F.abs("_plat") + size))) * 0.99
+        near = asked.join(held, ["_r", "_c"]).withColumn("_mi", miles).where(F.col("_mi") <= sure)
+        best = near.groupBy("_point").agg(F.min_by("place", F.struct("_mi", "place.name")).alias("place"))
+        found = best if found is None else found.unionByName(best)
+        open_ = open_.join(best.select("_point"), "_point", "left_anti")
+    keyed = points.withColumn("_point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    return keyed.join(found, "_point", "left").drop("_point")
+
+
 def distance_to_route(points: DataFrame, roads: DataFrame, key: list[str]) -> DataFrame:
     """(key, hold_mi): how far each point (key, lat, lon, route_id) is from its own route; infinite for an unknown route."""
     segments = road_segments(roads)

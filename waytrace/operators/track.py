@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waytrace.functions import formats, scalar
+from waytrace.operators import spatial
 from waytrace.functions.dimensions import ABBREVIATION_OF
 
 INFO_FORMAT = "{speed:.0f} mph   {dist:.0f} mi   {remain:.0f} mi to go   {time}"
@@ -97,6 +98,13 @@ def with_places(track: DataFrame, places: DataFrame) -> DataFrame:
     return track.withColumn("lat3", void).withColumn("lon3", F.round("lon", 3)).join(keyed, ["lat3", "lon3"], "left").drop("lat3", "lon3")
 
 
+def geocoded(track: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds ``place``: the one of ``places`` (lat, lon, name, admin1, cc) nearest to the rounded coordinate, each of which is looked up once."""
+    keys = coordinate_keys(track).select(F.col("lat3").alias("lat"), F.col("lon3").alias("lon"))
+    found = spatial.nearest_places(keys, places).where("place IS NOT NULL")
+    return with_places(track, found.select("lat", "lon", "place.*"))
+
+
 def resolved_towns(track: DataFrame) -> DataFrame:
     """Adds town and state from ``place``: in the US its own; abroad the last US one, if any; without a place blank."""
     upto = _by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)

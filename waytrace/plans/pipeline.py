@@ -22,7 +22,7 @@ def extract(files: DataFrame, manifest: DataFrame, places: DataFrame, settings:
     fixes = fixes.withColumn("ts", F.to_timestamp_ntz("timestamp_utc", F.lit("yyyy-MM-dd HH:mm:ss")))
     clip_no = F.dense_rank().over(_clips_in_order())
     fixes = fixes.withColumn("row_seq", clip_no.cast("long") * (1 << 31) + F.col("sec_in_clip"))
-    track = ops.town_labels(ops.resolved_towns(ops.with_places(fixes, places)), settings.labels_format)
+    track = ops.town_labels(ops.resolved_towns(ops.geocoded(fixes, places)), settings.labels_format)
     dark = ops.dark_spans(offsets, fixes)
     durations = ops.total_duration(manifest)
     labels = intervals.with_breaks(track.select("trip_id", F.col("global_sec").alias("sec"), "label"), dark)
@@ -59,7 +59,7 @@ def overlay(
     days = intervals.day_segments(dates)
     titles = intervals.day_titles(days, spans, settings.day_title_display_secs, settings.day_title_min_duration_secs)
     points = ops.info_segments(track, settings.info_format, settings.info_speed_source, settings.info_utc_offset_adjust)
-    info = intervals.subtract(ops.info_spans(points, durations), dark, placeholder, ["row_seq", "start_sec"])
+    info = intervals.subtract(ops.info_spans(points, durations), dark, placeholder)
 
     tolerance, freeze = settings.roads_match_tolerance_mi, settings.roads_freeze_below_mph
     highway = matching.match_roads(seconds, roads, tolerance, settings.roads_match_grace_secs, freeze, settings.roads_concurrency_max_extra)

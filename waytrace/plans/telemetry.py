@@ -98,6 +98,30 @@ def per_second_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(*KEY, F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "heading", "speed_mph")
 
 
+_HELD = """
+laid AS (
+  SELECT s.trip_id, s.sec, last_value(l.event_id IGNORE NULLS) OVER (PARTITION BY s.trip_id ORDER BY s.sec) AS held, f.event_id AS first
+  FROM (SELECT trip_id, CAST(unnest(range(0, total_secs)) AS INT) AS sec FROM uneven_totals) s
+  LEFT JOIN (SELECT trip_id, CAST(trunc(global_sec) AS INT) AS sec, arg_max(event_id, {order}) AS event_id FROM uneven WHERE {where} GROUP BY ALL) l USING (trip_id, sec)
+  JOIN (SELECT trip_id, arg_min(event_id, (sec, rank)) AS event_id FROM (SELECT trip_id, event_id, CAST(trunc(global_sec) AS INT) AS sec, row_number() OVER (PARTITION BY trip_id, CAST(trunc(global_sec) AS INT) ORDER BY {order} DESC) AS rank FROM uneven WHERE {where}) GROUP BY trip_id) f USING (trip_id))
+SELECT trip_id, sec, coalesce(held, first) AS event_id FROM laid"""
+
+
+def _uneven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fixes = views.uneven(views.track(spark, sf_dir))
+    return fixes, resample.total_seconds(fixes)
+
+
+@query(_with(TRACK_SQL, views.UNEVEN_SQL, _HELD.format(order="sec", where="valid")))
+def per_second_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.fill_seconds(*_uneven(spark, sf_dir), ["event_id"])
+
+
+@query(_with(TRACK_SQL, views.UNEVEN_SQL, _HELD.format(order="(global_sec, sec)", where="true")))
+def info_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.info_per_second(*_uneven(spark, sf_dir), "event_id")
+
+
 _ZONES = """
 zoned AS (
   SELECT *, CASE state WHEN 'TN' THEN CASE WHEN lon > -85.3e0 THEN 'America/New_York' ELSE 'America/Chicago' END
@@ -273,19 +297,36 @@ def compass_octant_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- roads ---------------------------------------------------------------
 
 
+def _miles(k: str) -> str:
+    """The distance of a fix t to a segment r, with k miles to a degree of longitude."""
+    ax, ay, dx, dy = f"((alon - t.lon) * {k})", "((alat - t.lat) * 69.172e0)", f"((blon - alon) * {k})", "((blat - alat) * 69.172e0)"
+    along = f"least(1e0, greatest(0e0, coalesce(-({ax} * {dx} + {ay} * {dy}) / nullif({dx} * {dx} + {dy} * {dy}, 0), 0)))"
+    return f"sqrt(pow({ax} + {along} * {dx}, 2) + pow({ay} + {along} * {dy}, 2))"
+
+
 def _cand(name: str, road: str, tolerance: str) -> str:
-    return f"{name} AS (SELECT t.trip_id, t.sec, r.route_id, r.tier, r.seq, round(abs(t.lat - r.rlat) * 69.172e0, 6) AS dist FROM track t JOIN {road} r ON abs(t.lat - r.rlat) * 69.172e0 <= {tolerance})"
+    return f"""
+{name}_all AS (
+  SELECT t.trip_id, t.sec, r.route_id, r.tier, r.seq, {_miles('kx')} AS a, {_miles('(69.172e0 * cos(radians(t.lat)))')} AS h
+  FROM track t JOIN {road} r ON t.lat BETWEEN least(alat, blat) - 1e-2 AND greatest(alat, blat) + 1e-2 AND t.lon BETWEEN alon - 1e-2 AND blon + 1e-2, {road}_scale),
+{name} AS (
+  SELECT trip_id, sec, route_id, arg_min(tier, (tier, a, seq)) FILTER (a <= {tolerance}) AS tier, arg_min(a, (tier, a, seq)) FILTER (a <= {tolerance}) AS dist, arg_min(seq, (tier, a, seq)) FILTER (a <= {tolerance}) AS seq,
+         min(a) FILTER (a <= {tolerance}) AS near, bool_or(h <= {tolerance}) AS holds
+  FROM {name}_all WHERE a <= {tolerance} OR h <= {tolerance} GROUP BY trip_id, sec, route_id)"""
 
 
 def _best(name: str, cand: str) -> str:
-    return f"{name} AS (SELECT t.trip_id, t.sec, arg_min(c.route_id, (c.tier, c.dist, c.seq)) AS best, list(c.route_id) AS hold, min(c.dist) AS dist FROM track t LEFT JOIN {cand} c USING (trip_id, sec) GROUP BY t.trip_id, t.sec)"
+    return f"""
+{name} AS (
+  SELECT t.trip_id, t.sec, arg_min(c.route_id, (c.tier, c.dist, c.seq)) FILTER (c.dist IS NOT NULL) AS best, list(c.route_id) FILTER (c.holds) AS hold, round(min(c.near), 6) AS dist
+  FROM track t LEFT JOIN {cand} c USING (trip_id, sec) GROUP BY t.trip_id, t.sec)"""
 
 
 def _fold(name: str, best: str, grace: int) -> str:
     step = f"s.cur IS NOT NULL AND NOT list_contains(b.hold, s.cur) AND s.off < {grace}"
     keep = "s.cur IS NOT NULL AND list_contains(b.hold, s.cur)"
     return f"""
-in_{name} AS (SELECT t.trip_id, t.sec, t.speed_mph, {_CARDINAL} AS facing, b.best, list_filter(b.hold, lambda x: x IS NOT NULL) AS hold FROM track t JOIN {best} b USING (trip_id, sec)),
+in_{name} AS (SELECT t.trip_id, t.sec, t.speed_mph, {_CARDINAL} AS facing, b.best, coalesce(b.hold, []) AS hold FROM track t JOIN {best} b USING (trip_id, sec)),
 {name} AS (
   SELECT trip_id, sec, best AS cur, 0 AS off, best AS route_id, CASE WHEN best IS NOT NULL THEN facing END AS cardinal FROM in_{name} WHERE sec = 0
   UNION ALL
@@ -308,7 +349,7 @@ def nearest_road(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EXTRA = """
 ex AS (SELECT b.trip_id, b.sec, string_agg(c.route_id, ' / ' ORDER BY c.tier, c.dist, c.seq) AS extras FROM {current} b
-  JOIN (SELECT c.*, row_number() OVER (PARTITION BY c.trip_id, c.sec ORDER BY c.tier, c.dist, c.seq) AS n FROM cand c JOIN {current} b ON b.trip_id = c.trip_id AND b.sec = c.sec WHERE c.route_id IS DISTINCT FROM b.{column}) c
+  JOIN (SELECT c.*, row_number() OVER (PARTITION BY c.trip_id, c.sec ORDER BY c.tier, c.dist, c.seq) AS n FROM cand c JOIN {current} b ON b.trip_id = c.trip_id AND b.sec = c.sec WHERE c.dist IS NOT NULL AND c.route_id IS DISTINCT FROM b.{column}) c
   ON c.trip_id = b.trip_id AND c.sec = b.sec AND n <= {most} GROUP BY b.trip_id, b.sec)"""
 
 
@@ -447,12 +488,11 @@ def map_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.select("trip_id", *[F.round(c, 6).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")], scalar.canvas_height(320, h, w, m).alias("height"), F.round(pad["lon_pad"], 6).alias("lon_pad"), F.round(pad["lat_pad"], 6).alias("lat_pad"))
 
 
-_CITY = """city AS (SELECT CAST(s_suppkey AS INT) AS rank, s_name AS name, 'TX' AS state, 34e0 + (s_suppkey * 37 % 250) * 1e-2 AS lat, -100e0 + (s_suppkey * 13 % 80) * 1e-2 AS lon FROM supplier WHERE s_suppkey <= 104)"""
+_CITY = """city AS (SELECT CAST(s_suppkey AS INT) AS rank, s_name AS name, 'TX' AS state, 34e0 + (s_suppkey * 37 % 250) * 1e-2 AS lat, -100e0 + (s_suppkey * 13 % 80) * 1e-2 AS lon FROM supplier)"""
 
 
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the city file's size is fixed
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 104")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return supplier.select(F.col("s_suppkey").cast("int").alias("rank"), F.col("s_name").alias("name"), F.lit("TX").alias("state"), F.expr("34e0 + (s_suppkey * 37 % 250) * 1e-2").alias("lat"), F.expr("-100e0 + (s_suppkey * 13 % 80) * 1e-2").alias("lon"))
 
 
@@ -483,10 +523,28 @@ def city_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.thinned_cities(_near_cities(spark, sf_dir), 15.0).select("trip_id", "rank")
 
 
-@query()
+_PLACED = """
+lb AS (
+  SELECT d.trip_id, city.rank, city.name, (city.lon - min_lon) / (max_lon - min_lon) * 320e0 AS x, (max_lat - city.lat) / (max_lat - min_lat) * 240e0 AS y, 558e-2 * length(city.name) AS w,
+         row_number() OVER (PARTITION BY d.trip_id ORDER BY city.rank, city.name) AS i
+  FROM done d JOIN city USING (rank) JOIN padded p ON p.trip_id = d.trip_id),
+spots AS (
+  SELECT *, [{'l': x + 6e0, 't': y - 157e-1, 'r': x + 6e0 + w, 'b': y - 157e-1 + 117e-1}, {'l': x + 6e0, 't': y + 4e0, 'r': x + 6e0 + w, 'b': y + 4e0 + 117e-1},
+             {'l': x - 6e0 - w, 't': y - 157e-1, 'r': x - 6e0, 'b': y - 157e-1 + 117e-1}, {'l': x - 6e0 - w, 't': y + 4e0, 'r': x - 6e0, 'b': y + 4e0 + 117e-1}] AS boxes FROM lb),
+inside AS (SELECT * REPLACE (list_filter(boxes, lambda q: q.l >= 1 AND q.t >= 1 AND q.r <= 319 AND q.b <= 239) AS boxes) FROM spots),
+pl AS (
+  SELECT DISTINCT trip_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE)[]) AS taken, CAST(NULL AS STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE)) AS pick FROM lb
+  UNION ALL
+  SELECT trip_id, i, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (
+    SELECT s.trip_id, n.i, s.taken, list_filter(n.boxes, lambda q: len(list_filter(s.taken, lambda o: q.l < o.r AND o.l < q.r AND q.t < o.b AND o.t < q.b)) = 0)[1] AS pick
+    FROM pl s JOIN inside n ON n.trip_id = s.trip_id AND n.i = s.i + 1))"""
+
+
+@query(_with(TRACK_SQL, _THIN, _BOUNDS, _PLACED) + "SELECT trip_id, rank, name, round((pick.l - x) * 72e-2, 6) AS dx_pt, round((y - pick.t) * 72e-2, 6) AS dy_pt FROM pl JOIN lb USING (trip_id, i)")
 def city_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = spatial.map_bounds(views.seconds(views.track(spark, sf_dir)))
-    return matching.place_labels(spatial.thinned_cities(_near_cities(spark, sf_dir), 15.0), bounds, 320, 240, 9.0)
+    placed = matching.place_labels(spatial.thinned_cities(_near_cities(spark, sf_dir), 15.0), bounds, 320, 240, 9.0)
+    return placed.select("trip_id", "rank", "name", F.round("dx_pt", 6).alias("dx_pt"), F.round("dy_pt", 6).alias("dy_pt"))
 
 
 _SHAPES = "shape AS (SELECT p_partkey, concat('US Hwy ', CAST(p_size AS VARCHAR(9))) AS name, p_partkey % 3 AS k, 34e0 + (p_partkey % 100) * 1e-2 AS lat, -100e0 + (p_partkey % 70) * 1e-2 AS lon FROM part)"
@@ -549,14 +607,14 @@ def ass_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     _with(TRACK_SQL, _ZONES, _HOPS)
     + """, r AS (SELECT t.trip_id, t.sec, t.speed_mph, t.local_date, t.local_time, coalesce(sum(h.hop) OVER (PARTITION BY t.trip_id ORDER BY t.sec), 0) AS mi, coalesce(sum(h.hop) OVER (PARTITION BY t.trip_id), 0) AS total
   FROM dated t LEFT JOIN hops h USING (trip_id, sec)),
-n AS (SELECT *, lpad(CAST(CAST(round_even(speed_mph, 0) AS BIGINT) AS VARCHAR), 3, '0') AS a, lpad(CAST(CAST(round_even(mi, 0) AS BIGINT) AS VARCHAR), 4, '0') AS b FROM r)
-SELECT trip_id, sec, '{\\c&H808080&}' || regexp_extract(a, '^(0*).', 1) || '{\\c&HFFFFFF&}' || substr(a, length(regexp_extract(a, '^(0*).', 1)) + 1) || ' mph ' || '{\\c&H808080&}' || regexp_extract(b, '^(0*).', 1) || '{\\c&HFFFFFF&}' || substr(b, length(regexp_extract(b, '^(0*).', 1)) + 1)
-   || ' mi ' || local_date || ' ' || local_time AS line FROM n WHERE regexp_extract(a, '^(0*).', 1) <> '' AND regexp_extract(b, '^(0*).', 1) <> ''"""
+n AS (SELECT *, lpad(CAST(CAST(round_even(speed_mph, 0) AS BIGINT) AS VARCHAR), 3, '0') AS a, lpad(CAST(CAST(round_even(mi, 0) AS BIGINT) AS VARCHAR), 4, '0') AS b FROM r),
+d AS (SELECT *, regexp_extract(a, '^(0*).', 1) AS za, regexp_extract(b, '^(0*).', 1) AS zb FROM n)
+SELECT trip_id, sec, CASE WHEN za = '' THEN '{\\c&HFFFFFF&}' ELSE '{\\c&H808080&}' || za || '{\\c&HFFFFFF&}' END || substr(a, length(za) + 1) || ' mph ' || CASE WHEN zb = '' THEN '' ELSE '{\\c&H808080&}' || zb || '{\\c&HFFFFFF&}' END || substr(b, length(zb) + 1)
+   || ' mi ' || local_date || ' ' || local_time AS line FROM d"""
 )
 def info_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ops.info_segments(views.track(spark, sf_dir), "{speed:03.0f} mph {dist:04.0f} mi {date} {time}", "device")
-    dim = F.size(F.filter("segments", lambda s: s["is_dim"]))
-    return rows.where(dim == 2).select(*KEY, formats.ass_text(F.col("segments")).alias("line"))
+    return rows.select(*KEY, formats.ass_text(F.col("segments")).alias("line"))
 
 
 @query(
@@ -569,13 +627,43 @@ def info_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.info_spans(ops.info_segments(fixes, "{time}"), ends).select("trip_id", "start_sec", "end_sec")
 
 
+def _stamp(sec: str) -> str:
+    """h:mm:ss.00 of whole seconds."""
+    two = lambda x: f"lpad(CAST({x} AS VARCHAR), 2, '0')"
+    return f"(CAST({sec} AS BIGINT) // 3600 || ':' || {two(f'CAST({sec} AS BIGINT) // 60 % 60')} || ':' || {two(f'CAST({sec} AS BIGINT) % 60')} || '.00')"
+
+
+def _dialogue(rows: str, stream: int, layer: int, style: str, text: str) -> str:
+    return f"SELECT trip_id, {stream} AS stream, 'Dialogue: {layer},' || {_stamp('start_sec')} || ',' || {_stamp('end_sec')} || ',{style},,0,0,0,,' || {text} AS value FROM {rows} WHERE end_sec - start_sec > 5e-2"
+
+
+_TITLES = """
+near AS (
+  SELECT d.trip_id, d.day_number, d.start_sec, d.end_sec, arg_min(s.label, s.start_sec) AS a, arg_max(s.label, s.start_sec) AS b
+  FROM days d JOIN spans s ON s.trip_id = d.trip_id AND s.end_sec > d.start_sec AND s.start_sec < d.end_sec WHERE d.end_sec - d.start_sec >= 2 GROUP BY ALL),
+titles AS (SELECT trip_id, start_sec, least(start_sec + 2, end_sec) AS end_sec, 'Day ' || day_number || ' - ' || a || ' to ' || b AS title FROM near)"""
+
+_INFO = """
+info AS (
+  SELECT trip_id, sec AS start_sec, coalesce(lead(sec) OVER (PARTITION BY trip_id ORDER BY sec), max(sec) OVER (PARTITION BY trip_id) + 3) AS end_sec, '{\\c&HFFFFFF&}' || local_time AS label FROM dated)"""
+
+
 @query(
-    _with(TRACK_SQL, _RUNS.format(source="labelled"), "s2 AS (SELECT *, CAST(start_sec AS BIGINT) * 100 AS cs, CAST(end_sec AS BIGINT) * 100 AS ce FROM spans WHERE end_sec - start_sec > 5e-2)")
-    + """SELECT trip_id, 'Dialogue: 0,' || (cs // 360000) || ':' || lpad(CAST(cs // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.00,' || (ce // 360000) || ':' || lpad(CAST(ce // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ce // 100 % 60 AS VARCHAR), 2, '0')
-   || '.00,Town,,0,0,0,,{\\fad(500,500)}' || label AS value FROM s2"""
+    _with(TRACK_SQL, _ZONES, _DAYS, _RUNS.format(source="labelled"), _TITLES, _INFO)
+    + _dialogue("spans", 0, 0, "Town", "'{\\fad(500,500)}' || label")
+    + " UNION ALL "
+    + _dialogue("info", 1, 0, "Info", "label")
+    + " UNION ALL "
+    + _dialogue("titles", 2, 1, "DayTitle", "'{\\fad(300,300)}' || title")
 )
 def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.ass_events(_spans(views.track(spark, sf_dir))).select("trip_id", "value")
+    """All three streams: town labels, info texts, day titles."""
+    fixes = views.track(spark, sf_dir)
+    spans = _spans(fixes)
+    ends = views.totals(fixes).select("trip_id", F.col("total_secs").cast("double").alias("duration_sec"))
+    info = ops.info_spans(ops.info_segments(fixes, "{time}"), ends)
+    titles = intervals.day_titles(intervals.day_segments(_dates(fixes)), spans)
+    return sinks.ass_events(spans, info, titles).select("trip_id", "stream", "value")
 
 
 # --- clips and places ----------------------------------------------------
@@ -591,17 +679,45 @@ def clip_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _with(TRACK_SQL, "place AS (SELECT DISTINCT round(lat, 3) AS a, round(lon, 3) AS b FROM track WHERE valid AND event_id % 2 = 0)")
+    _with(TRACK_SQL, "place AS (SELECT DISTINCT round(lat, 3) AS a, round(lon, 3) AS b FROM track WHERE valid AND heading < 180)")
     + "SELECT trip_id, sec, CASE WHEN valid AND p.a IS NOT NULL THEN 'near' END AS name FROM track t LEFT JOIN place p ON p.a = round(t.lat, 3) AND p.b = round(t.lon, 3)"
 )
 def place_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = views.track(spark, sf_dir)
-    keys = ops.coordinate_keys(fixes.where("event_id % 2 = 0"))
+    keys = ops.coordinate_keys(fixes.where("heading < 180"))
     places = keys.select(F.col("lat3").alias("lat"), F.col("lon3").alias("lon"), F.lit("near").alias("name"), F.lit("Texas").alias("admin1"), F.lit("US").alias("cc"))
     return ops.with_places(fixes, places).select(*KEY, F.col("place.name").alias("name"))
 
 
-@query()
+@query(
+    _with(
+        TRACK_SQL,
+        _CITY,
+        f"""
+keys AS (SELECT DISTINCT round(lat, 3) AS a, round(lon, 3) AS b FROM track WHERE valid),
+far AS (SELECT a, b, city.name, {haversine_sql('a', 'b', 'city.lat', 'city.lon')} AS mi FROM keys, city),
+best AS (SELECT a, b, arg_min(name, (mi, name)) AS name FROM far GROUP BY a, b)""",
+    )
+    + "SELECT trip_id, sec, CASE WHEN valid THEN best.name END AS name FROM track t LEFT JOIN best ON a = round(t.lat, 3) AND b = round(t.lon, 3)"
+)
+def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cities = _cities(spark, sf_dir).select("lat", "lon", "name", F.lit("Texas").alias("admin1"), F.lit("US").alias("cc"))
+    return ops.geocoded(views.track(spark, sf_dir), cities).select(*KEY, F.col("place.name").alias("name"))
+
+
+def _decoded(x: str) -> str:
+    """An angle after its way through degrees and minutes in single precision."""
+    stored = f"CAST(CAST(trunc(abs({x})) * 100 + (abs({x}) % 1) * 60 AS FLOAT) AS DOUBLE)"
+    return f"round(sign({x}) * (trunc({stored} / 100) + ({stored} - 100 * trunc({stored} / 100)) / 60), 6)"
+
+
+@query(
+    _with(TRACK_SQL)
+    + f"""
+SELECT trip_id || '-clip' || lpad(CAST(sec // 20 AS VARCHAR), 4, '0') AS clip, CAST(sec % 20 AS INT) AS sec_in_clip,
+       '2022-05-23 14:' || lpad(CAST(sec // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') AS timestamp_utc, valid, {_decoded('lat')} AS lat, {_decoded('lon')} AS lon,
+       round(CAST(CAST(speed_mph / 1.15078e0 AS FLOAT) AS DOUBLE) * 1.15078e0, 1) AS speed_mph, heading FROM track"""
+)
 def freegps_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events packed into clips as camera chunks, and scanned."""
 

@@ -82,10 +82,10 @@ def ass_header(font: str = "Arial", size: int = 48, position: str = "bottom_cent
         fields = [name, font, points, white, white, black, shade, bold, 0, 0, 0, 100, 100, 0, 0, 1, edge, 0, where, 40, 40, margin, 1]
         return "Style: " + ",".join(map(str, fields))
 
-    names = "Name Fontname Fontsize PrimaryColour SecondaryColour OutlineColour BackColour Bold Italic Underline StrikeOut ScaleX ScaleY Spacing Angle BorderStyle Outline Shadow Alignment MarginL MarginR MarginV Encoding".split()
+    names = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
     return "\n".join([
         "[Script Info]", "ScriptType: v4.00+", "PlayResX: 1920", "PlayResY: 1080", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "",
-        "[V4+ Styles]", "Format: " + ", ".join(names),
+        "[V4+ Styles]", "Format: " + names,
         style("Town", size, -1, outline, align, margin_v), style("Info", info_size, 0, max(outline - 1, 1), align, info_margin_v), style("DayTitle", title_size, -1, title_outline, 8, title_margin_v), "",
         "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text", "",
     ])
