@@ -7,18 +7,20 @@ elements have been read. One step for a byte c is
     D = ((D << 1) & ENTER[c]) | (D & STAY[c])
 
 where ENTER marks the bits an element reading c leads to and STAY the bits
-after which a ``*`` stands that may swallow c. The step runs over all rules
-(the words of D) and all URLs of a batch (the rows of D) at once, so a URL costs
-its length times the number of words, whatever the rules have in common.
+after which a ``*`` stands that may swallow c. The step runs over all URLs of a batch
+at once, and over all words of D that can matter to them: the rules of a host and its subdomains can only
+fit URLs whose host ends in the same two labels (or one), so they lie in words of their own, and a URL
+takes these words and those of the globs along. So a URL costs its length times a few words, however many rules
+there are; ``LANES`` pairs of a URL and a word are in memory at a time. The tables are broadcast.
 
 The canonical form of a URL is ``.`` host 0xFF path: 0xFF is in no UTF-8 text, so
 a host wildcard can stop there and a rule can't be met inside the path. Host: what
 follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.
 Path: then up to ``?``, ``#`` or the end. Null, or no ``://``: both empty.
 
-Rows are judged one by one, without a shuffle. Repeated rows get the same
-verdict each, an empty table gives an empty one, other columns pass through
-unread.
+Rows are judged one by one, without a shuffle. A null page_id stays null. Very long URLs are read to their end. Repeated rows get the same
+verdict each, an empty table gives an empty one, other columns (whatever their names) are
+not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from waytrace.llm.common import table, texts
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 EDGE = 0xFF
-ROWS_AT_ONCE = 4096
+LANES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -61,21 +63,35 @@ RULES = [
     HostRule("block", "org", "/es/"),
 ]
 #: Globs over host and path that block where no rule fits. ``*``: any run, within the host up to its end; ``?``: one byte.
-GLOBS = ["*spam-farm.*", "*cheap-pills.*", "*casino*", "*/wp-login.php"]
+GLOBS = [
+    "*spam-farm.*", "*cheap-pills.*", "*casino*", "*payday-loan*", "*free-download*", "ads.*", "ad.*", "adserver.*", "tracker.*", "*.doubleclick.net", "*click-here*", "*replica-watch*",
+    "*/wp-login.php", "*/wp-admin/*", "*/xmlrpc.php", "*/cgi-bin/*", "*/trackback/", "*/.git/*", "*/.env", "*/phpmyadmin/*", "*/redirect/http*", "*/calendar/*/*/*/print", "mirror*/pub/*", "*/admin/login*",
+]
 
 
 class Automaton:
-    """Elements are (bytes that lead on, bytes that may be swallowed behind it)."""
-
-    def __init__(self, patterns: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]) -> None:
-        width = sum(len(elements) + 1 for _, elements in patterns)
-        self.words = max(1, -(-width // 64))
+    """Patterns (first, elements) by the host ending they are for (None: all hosts); elements are (bytes that lead on, bytes that may
+    be swallowed behind it)."""
+
+    def __init__(self, patterns: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]], endings: list[bytes | None]) -> None:
+        order = sorted(range(len(patterns)), key=lambda i: (endings[i] is not None, endings[i] or b"", i))
+        self.range_of: dict[bytes | None, tuple[int, int]] = {None: (0, 0)}
+        at, places = 0, []
+        for n, i in enumerate(order):
+            if n and endings[i] != endings[order[n - 1]]:
+                at = -(-at // 64) * 64
+            places.append((i, at))
+            begin = self.range_of.get(endings[i], (at // 64, 0))[0]
+            at += len(patterns[i][1]) + 1
+            self.range_of[endings[i]] = (begin, -(-at // 64))
+        self.words = max(1, -(-at // 64))
         self.enter = np.zeros((256, self.words), np.uint64)
         self.stay = np.zeros((256, self.words), np.uint64)
         self.start = np.zeros(self.words, np.uint64)
-        self.accept: list[tuple[int, np.uint64]] = []
-        at = 0
-        for first, elements in patterns:
+        self.accepts = np.zeros(self.words, np.uint64)
+        self.pattern_at: dict[tuple[int, int], int] = {}
+        for i, at in places:
+            first, elements = patterns[i]
             word, bit = self._place(at)
             self.start[word] |= bit
             self.stay[first, word] |= bit
@@ -84,42 +100,61 @@ class Automaton:
                 word, bit = self._place(at)
                 self.enter[leads, word] |= bit
                 self.stay[swallows, word] |= bit
-            self.accept.append((word, bit))
-            at += 1
+            self.accepts[word] |= bit
+            self.pattern_at[word, at % 64] = i
 
     @staticmethod
     def _place(at: int) -> tuple[int, np.uint64]:
         return at // 64, np.uint64(1) << np.uint64(at % 64)
 
-    def match(self, keys: list[bytes]) -> np.ndarray:
-        """Which pattern (column) reads which key (row) to its end."""
-        found = np.zeros((len(keys), len(self.accept)), bool)
-        order = sorted(range(len(keys)), key=lambda i: -len(keys[i]))
-        for lo in range(0, len(order), ROWS_AT_ONCE):
-            rows = order[lo : lo + ROWS_AT_ONCE]
-            state = self._run([keys[i] for i in rows])
-            for k, (word, bit) in enumerate(self.accept):
-                found[rows, k] = (state[:, word] & bit) != 0
-        return found
+    def _words_for(self, key: bytes) -> list[tuple[int, int]]:
+        labels = key[1 : key.index(EDGE)].rsplit(b".", 2)
+        found = [self.range_of[None], self.range_of.get(labels[-1]), self.range_of.get(b".".join(labels[-2:])) if len(labels) > 1 else None]
+        return [r for r in found if r and r[0] < r[1]]
 
-    def _run(self, keys: list[bytes]) -> np.ndarray:
-        """The final states of keys given longest first."""
-        sizes = np.array([len(k) for k in keys])
-        flat = np.frombuffer(b"".join(keys), np.uint8)
-        begins = np.cumsum(sizes) - sizes
-        state = np.repeat(self.start[None, :], len(keys), axis=0)
-        one, top = np.uint64(1), np.uint64(63)
-        alive = len(keys)
-        for step in range(int(sizes[0]) if len(keys) else 0):
-            while sizes[alive - 1] <= step:
-                alive -= 1
-            seen = flat[begins[:alive] + step]
+    def match(self, keys: list[bytes]) -> list[tuple[int, int]]:
+        """(key, pattern) of each pattern that reads a key to its end."""
+        order = sorted(range(len(keys)), key=lambda i: -len(keys[i]))
+        found, rows, lanes = [], [], 0
+        for i in order:
+            ranges = self._words_for(keys[i])
+            rows.append((i, ranges))
+            lanes += sum(b - a for a, b in ranges)
+            if lanes >= LANES:
+                found += self._run(keys, rows)
+                rows, lanes = [], 0
+        return found + self._run(keys, rows) if rows else found
+
+    def _run(self, keys: list[bytes], rows: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int]]:
+        """Reads the keys of ``rows``, longest first, a lane for each key and word."""
+        sizes = np.array([len(keys[i]) for i, _ in rows])
+        flat = np.frombuffer(b"".join([keys[i] for i, _ in rows]), np.uint8)
+        lane_row = np.repeat(np.arange(len(rows)), [sum(b - a for a, b in r) for _, r in rows])
+        word = np.array([w for _, r in rows for a, b in r for w in range(a, b)], np.int64)
+        if not len(word):
+            return []
+        joined = np.flatnonzero(np.concatenate(([False], (word[1:] == word[:-1] + 1) & (lane_row[1:] == lane_row[:-1]))))
+        begins, ends = (np.cumsum(sizes) - sizes)[lane_row], sizes[lane_row]
+        state = self.start[word]
+        enter, stay = self.enter.reshape(-1), self.stay.reshape(-1)
+        one, top, alive = np.uint64(1), np.uint64(63), len(word)
+        for step in range(int(sizes[0])):
+            if ends[alive - 1] <= step:
+                alive = int(np.searchsorted(-ends, -step, side="left"))
+            if joined[-1:].sum() >= alive:
+                joined = joined[joined < alive]
+            at = flat[begins[:alive] + step].astype(np.int64) * self.words + word[:alive]
             now = state[:alive]
             moved = now << one
-            if self.words > 1:
-                moved[:, 1:] |= now[:, :-1] >> top
-            state[:alive] = (moved & self.enter[seen]) | (now & self.stay[seen])
-        return state
+            # a range's words follow each other; what another range's last bit hands on is masked by ENTER
+            moved[joined] |= now[joined - 1] >> top
+            state[:alive] = (moved & enter[at]) | (now & stay[at])
+        hits = state & self.accepts[word]
+        found = []
+        for lane in np.flatnonzero(hits).tolist():
+            bits, w = int(hits[lane]), int(word[lane])
+            found += [(rows[lane_row[lane]][0], self.pattern_at[w, b]) for b in range(64) if bits >> b & 1]
+        return found
 
 
 NONE = np.zeros(256, bool)
@@ -155,6 +190,11 @@ def glob_pattern(glob: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarr
     return first, [tuple(e) for e in elements]
 
 
+def ending_of(rule: HostRule) -> bytes | None:
+    """What hosts that the rule fits end in: two labels at most."""
+    return b".".join(rule.host.encode().rsplit(b".", 2)[-2:]) or None
+
+
 def url_host(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, URL_PARTS, 1), F.lit("")), UPPER, LOWER)
 
@@ -180,19 +220,21 @@ def judge_urls(
     rules = RULES if rules is None else rules
     globs = GLOBS if globs is None else globs
     ranked = sorted(rules, key=lambda r: (-len(r.name), -len(r.host)))
-    machine = Automaton([host_pattern(r) for r in ranked] + [glob_pattern(g) for g in globs])
+    machine = Automaton([host_pattern(r) for r in ranked] + [glob_pattern(g) for g in globs], [ending_of(r) for r in ranked] + [None] * len(globs))
+    held = pages.sparkSession.sparkContext.broadcast(machine)
     names = np.array([r.name for r in ranked] + [None], object)
     actions = np.array([r.action for r in ranked] + [None], object)
     labels = np.array([*globs, None], object)
 
-    def first_hit(found: np.ndarray) -> np.ndarray:
-        return np.where(found.any(1), found.argmax(1), found.shape[1]) if found.shape[1] else np.zeros(len(found), int)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [b"." + h + b"\xff" + p for h, p in zip(texts(batch.column(1)), texts(batch.column(2)), strict=True)]
-            found = machine.match(keys)
-            rule, glob = first_hit(found[:, : len(ranked)]), first_hit(found[:, len(ranked) :])
+            rule, glob = np.full(len(keys), len(ranked)), np.full(len(keys), len(globs))
+            for row, pattern in held.value.match(keys):
+                if pattern < len(ranked):
+                    rule[row] = min(rule[row], pattern)
+                else:
+                    glob[row] = min(glob[row], pattern - len(ranked))
             verdict = np.where(rule < len(ranked), actions[rule], np.where(glob < len(globs), "block", default))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names[rule], pa.string()), pa.array(verdict, pa.string()), pa.array(labels[glob], pa.string())],
@@ -213,12 +255,19 @@ _FITS = [
     (f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')", r)
     for r in sorted(RULES, key=lambda r: (-len(r.name), -len(r.host)))
 ]
-_GLOB_FITS = [
-    ("host LIKE '%spam-farm.%'", "*spam-farm.*"),
-    ("host LIKE '%cheap-pills.%'", "*cheap-pills.*"),
-    ("host LIKE '%casino%'", "*casino*"),
-    ("path LIKE '/wp-login.php'", "*/wp-login.php"),
-]
+
+
+def _like(column: str, glob: str) -> str:
+    pattern = glob.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%").replace("?", "_")
+    return f"{column} LIKE '{pattern}' ESCAPE '\\'"
+
+
+def _glob_fit(glob: str) -> str:
+    host, slash, path = glob.partition("/")
+    return f"({_like('host', host)}" + (f" AND {_like('path', slash + path)})" if slash else ")")
+
+
+_GLOB_FITS = [(_glob_fit(g), g) for g in GLOBS]
 ORACLE = f"""
 WITH parts AS (
   SELECT page_id,
