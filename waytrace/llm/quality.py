@@ -8,12 +8,12 @@
 3. Posterior labels train a hashed linear scorer (logistic regression on the shares of a text's
    words in ``BUCKETS`` hashed features: the word, the kinds of characters in it, whether it repeats a
    neighbour; a word itself counts ``WORD_WEIGHT``). It is fitted to a bounded sample: about ``SAMPLE_ROWS`` texts, half from either
-   side, chosen by a hash of the row.
+   side, chosen by a hash of the row; only texts whose hash may be chosen are read a second time.
 4. The scorer judges every text. Texts with a score below ``threshold`` are rejected.
 
 Votes and counts cover whole texts; a text longer than ``SEGMENT_BYTES`` is read in pieces cut at
 white space whose sums are added. A text without words (null, empty) gets no votes and
-score 0, so it is rejected. Repeated rows are judged alike. An empty table gives an empty result. All columns of a
+score 0, so it is rejected. Texts with the same score as the threshold stay. Repeated rows are judged alike. An empty table gives an empty result. All columns of a
 table pass through ``keep_good``; only doc_id and text are read.
 """
 
@@ -294,8 +294,6 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 for draw, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                    if draw >= max(chance):
-                        continue
                     counts, features = read_text(text)
                     good = posterior[vote(counts)]
                     if counts[WORDS] and draw < chance[good > 0.5]:
@@ -303,7 +301,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array([draw]), pa.array([good]), pa.array([f.tolist()], pa.list_(pa.int64())), pa.array([(times / counts[WORDS]).tolist()], pa.list_(pa.float64()))], names=["draw", "good", "features", "shares"])
 
     # bounded by sample_rows
-    drawn = rows.select("draw", "text").mapInArrow(sample, "draw long, good double, features array<long>, shares array<double>").toArrow()
+    drawn = rows.where(F.col("draw") < max(chance)).select("draw", "text").mapInArrow(sample, "draw long, good double, features array<long>, shares array<double>").toArrow()
     drawn = drawn.sort_by([("draw", "ascending"), ("good", "ascending")]).combine_chunks()
     if drawn.num_rows:
         lists = drawn.column("features").combine_chunks()
