@@ -5,6 +5,8 @@ import hashlib
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from tests.llm.conftest import ODD
 from waytrace.llm import merkle
 
@@ -41,10 +43,38 @@ def test_local_edit():
     a, b = (merkle.fingerprint(t.encode())[0] for t in (text, other))
     assert a != b
     assert 0.99 < merkle.likeness(a, b) < 1
-    assert 1 <= len(merkle.changed(a, b)) <= 2
+    assert [x[0] for x in merkle.changed(a, b)] == ["-", "+"]
     assert merkle.likeness(a, merkle.fingerprint(words(4000, 99).encode())[0]) < 0.05
 
 
+def test_edits_are_located():
+    lines = [words(22, i).replace("\n", " ") + "\n" for i in range(300)]
+    tree = lambda rows: merkle.fingerprint("".join(rows).encode())[0]
+    a = tree(lines)
+    spots = {}
+    for i, (_, paragraphs) in enumerate(merkle.tree_of(a)[1]):
+        for j in range(len(paragraphs)):
+            spots[len(spots)] = (i, j)
+    assert len(spots) == 300
+    for at in (0, 1, 150, 298, 299):
+        assert merkle.changed(a, tree(lines[:at] + lines[at + 1 :])) == [("-", *spots[at])]
+        came = merkle.changed(a, tree([*lines[:at], "quite new\n", *lines[at:]]))
+        assert [x[0] for x in came] == ["+"]
+        other = merkle.changed(a, tree([*lines[:at], lines[at].upper(), *lines[at + 1 :]]))
+        assert other[0] == ("-", *spots[at])
+        assert [x[0] for x in other] == ["-", "+"]
+    swapped = merkle.changed(a, tree([*lines[:7], lines[8], lines[7], *lines[9:]]))
+    assert swapped
+    assert {x[0] for x in swapped} == {"~"}
+    twice = merkle.changed(a, tree([*lines[:9], lines[8], *lines[9:]]))
+    assert [x[0] for x in twice] == ["+"]
+
+
+def test_fingerprints_are_compact():
+    text = words(120_000, 5).encode()
+    assert len(merkle.fingerprint(text)[0]) < len(text) / 7
+
+
 def test_empty_texts():
     empty, other = merkle.fingerprint(b"")[0], merkle.fingerprint(b"a")[0]
     assert merkle.likeness(empty, empty) == 1.0
@@ -71,19 +101,32 @@ def check(rows, docs):
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
         a, b, c = (merkle.fingerprint(t.encode())[0] for t in (text, new, after))
         assert (r.fingerprint, r.edited_fingerprint) == (a, b)
+        assert r.edits == len(merkle.changed(a, b))
         assert (r.near_edited, r.near_next) == pytest.approx((merkle.likeness(a, b), merkle.likeness(a, c)))
 
 
-@pytest.mark.parametrize("range_rows", [1, 2, 2048])
-def test_odd(odd, range_rows):
-    check(merkle.edited_fingerprints(odd, range_rows).collect(), ODD)
+@pytest.mark.parametrize("range_bytes", [1, 20_000, 1 << 25])
+def test_odd(odd, range_bytes):
+    check(merkle.edited_fingerprints(odd, range_bytes).collect(), ODD)
 
 
 def test_many_ranges(make_docs):
     docs = [(i * 7 % 1009, words(20 + i % 60, i)) for i in range(1, 300)] + [(None, "no id here")]
-    check(merkle.edited_fingerprints(make_docs(docs), 16).collect(), docs)
+    check(merkle.edited_fingerprints(make_docs(docs), 2000).collect(), docs)
 
 
 def test_one_and_none(make_docs, nothing):
     check(merkle.edited_fingerprints(make_docs([(3, "one two three")])).collect(), [(3, "one two three")])
     assert merkle.edited_fingerprints(nothing).count() == 0
+
+
+def test_hot_ids_are_cut(spark, make_docs):
+    """Null and one id hold most rows: each row still has its successor in the whole order."""
+    docs = [(None, words(8, i)) for i in range(120)] + [(7, words(9, 500 + i)) for i in range(90)] + [(i, words(10, 900 + i)) for i in range(40) if i != 7]
+    table = make_docs(docs)
+    tie = {r.text: r.t for r in table.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, tie[d[1]]), reverse=True)
+    wanted = sorted(hashlib.sha256(merkle.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    found = merkle.edited_fingerprints(table, 1500)
+    assert sorted(r.edited_sha256 for r in found.collect()) == wanted
+    assert max(len(rows) for rows in found.rdd.glom().collect()) < 60

@@ -2,10 +2,12 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from waytrace.llm import warc
+from waytrace.llm import common, warc
 
 
 def table(spark, rows):
@@ -72,3 +74,25 @@ def test_damage(spark, tmp_path):
 def test_empty(spark, tmp_path):
     assert warc.write_warc(table(spark, ROWS).limit(0), str(tmp_path / "w")) == []
     assert read(spark, tmp_path / "w") == []
+
+
+def test_hot_digest_long_payload_and_null_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    rows = [(i, "u", "same payload " * 20) for i in range(400)] + [(400 + i, "u", f"own {i} " * 30) for i in range(60)]
+    rows += [(None, "n", f"null id {i} " * 20) for i in range(300)] + [(9000, "l", "long é " * 600_000), (9001, "l", "long é " * 600_000)]
+    files = warc.write_warc(table(spark, rows), str(tmp_path / "w"), 400_000)
+    assert read(spark, tmp_path / "w") == brute(rows)
+    assert sum(f["records"] for f in files) == len(rows)
+
+
+def test_part_numbers(spark):
+    ids = [(int(i), f"t{i}") for i in range(300)] + [(50, f"hot{i}") for i in range(400)] + [(None, f"null{i}") for i in range(500)]
+    df = spark.createDataFrame(ids, "id long, text string")
+    ranges = common.id_ranges(df, "id", 10, 120)
+    rows = common.part_number(df.withColumn("tie", F.xxhash64("text")), "id", ranges, F.col("tie"), "part").collect()
+    assert len(rows) == len(ids)
+    order = sorted(rows, key=lambda r: (r.id is None, r.id or 0, r.tie))
+    assert [r.part for r in order] == sorted(r.part for r in rows)
+    assert max(Counter(r.part for r in rows).values()) < 250
+    assert max(r.part for r in rows) < ranges[2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer text is cut into segments.
@@ -90,14 +91,14 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-#: Ids that a sample for range bounds holds, at most about.
-SAMPLED_IDS = 20_000
+#: Ids that a sample for range bounds holds for each range, about.
+IDS_A_RANGE = 8
 
 
 def id_bounds(df: DataFrame, column: str, parts: int) -> list[float]:
     """Increasing inner bounds that cut the distinct ids into about equal ranges, from a sample that the ids alone decide."""
-    ids = df.select(F.col(column).cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    every = max(1, ids.count() // SAMPLED_IDS)
+    ids = df.select(F.col(f"`{column}`").cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    every = max(1, ids.count() // max(2000, IDS_A_RANGE * parts))
     sample = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).collect())
     return sorted({float(sample[len(sample) * i // parts]) for i in range(1, parts)}) if sample else []
 
@@ -106,7 +107,34 @@ def with_range(df: DataFrame, column: str, bounds: list[float], name: str) -> Da
     """``df`` with the number of the range its id falls in; null ids have the last number of all."""
     from pyspark.ml.feature import Bucketizer
 
-    placed = df.withColumn("_place", F.col(column).cast("double"))
+    placed = df.withColumn("_place", F.col(f"`{column}`").cast("double"))
     splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_range", handleInvalid="keep").transform(placed)
     return dealt.withColumn(name, F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1))).drop("_place", "_range")
+
+
+def id_ranges(df: DataFrame, column: str, parts: int, rows: int) -> tuple[list[float], DataFrame, int]:
+    """Bounds of about ``parts`` ranges of ids; a table (range, base, cuts) of those ranges; and how many parts there are.
+
+    An id (or null) with more than ``rows`` rows has a range of its own, which ``part_number`` cuts into ``cuts`` parts by a hash. There are
+    fewer such ids than ranges, so they fit where the bounds do."""
+    key = F.col(f"`{column}`").cast("long").alias("id")
+    hot = {r.id: r["count"] for r in df.select(key).groupBy("id").count().where(F.col("count") > 2 * rows).collect()}
+    own = {float(i + d) for i in hot if i is not None for d in (0, 1)}
+    bounds = sorted({*id_bounds(df, column, parts), *own}) or [0.0]
+    cuts = [1] * (len(bounds) + 2)
+    for i, n in hot.items():
+        at = len(bounds) + 1 if i is None else bisect.bisect_right(bounds, float(i))
+        cuts[at] = -(-n // rows)
+    base, table = 0, []
+    for number, n in enumerate(cuts):
+        table.append((number, base, n))
+        base += n
+    return bounds, df.sparkSession.createDataFrame(table, "_number int, _base int, _cuts int"), base
+
+
+def part_number(df: DataFrame, column: str, ranges: tuple[list[float], DataFrame, int], tie: Column, name: str) -> DataFrame:
+    """``df`` with its part: rising with the id (null last), then with the 64-bit hash ``tie``."""
+    placed = with_range(df, column, ranges[0], "_number").withColumn("_tie", F.shiftright(tie, 32) + F.lit(1 << 31))
+    cut = F.floor(F.col("_tie") * F.col("_cuts") / F.lit(1 << 32)).cast("int")
+    return placed.join(F.broadcast(ranges[1]), "_number").withColumn(name, F.col("_base") + cut).drop("_number", "_base", "_cuts", "_tie")

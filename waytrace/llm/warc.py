@@ -3,9 +3,11 @@
 Writing:
 
 1. Digests. Records of equal payloads of ``REVISIT_BYTES`` or more share one response, the
-   one with the smallest page_id; a small table has (page_id, digest, first) of the others.
+   one with the smallest page_id; a small table has (page_id, digest, first) of the others. A digest that
+   many records have isn't shuffled.
 2. Range sort. Bounds on page_id come from a sample that depends on the ids alone,
-   so the shards are the same in every run. Records and the rows of that
+   so the shards are the same in every run; their number follows the bytes, and each is a task of its own. An id that holds
+   more rows than a shard (null, above all) is cut by a hash of the digest. Records and the rows of that
    small table go through one shuffle by shard, sorted by page_id with the small rows
    first: the writer then knows of each record whether it is a revisit, and payloads are
    moved once and never joined.
@@ -20,8 +22,8 @@ against the digests in their headers.
 
 Null html is an empty payload, a null url has no target header, null page_ids sort last
 and have no header. Repeated (page_id, payload) rows: the first is the
-response, the others revisit it. An empty table gives a manifest without files. Other
-columns of the table are not read.
+response, the others revisit it; they lie in one shard. Very long payloads are one record each, held in memory one at a time. An empty table gives a manifest without files. Other
+columns of the table are not read. The folder is opened by ``pyarrow.fs``, so its scheme must be one that pyarrow knows.
 """
 
 from __future__ import annotations
@@ -37,11 +39,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import id_bounds, shared_dir, table, with_range
+from waytrace.llm.common import id_ranges, part_number, shared_dir, skew_join, staged, table
 
 REVISIT_BYTES = 100
-SHARD_BYTES = 16 << 20
-MOST_SHARDS = 20_000
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 64 << 20
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
@@ -115,19 +116,20 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    total = base.agg(F.sum("size")).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, -(-total // shard_bytes)))
-    bounds = id_bounds(pages, "page_id", shards)
-
-    large = base.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
-    groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    later = large.join(groups, "digest").where("page_id > first OR (page_id IS NULL AND first IS NOT NULL)").select("page_id", "digest", "first")
+    small = staged(base.select("page_id", "digest", "size"), "digests")
+    total, n = small.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, -(-total // shard_bytes))
+    ranges = id_ranges(small, "page_id", shards, max(1, -(-n // shards)))
+
+    large = small.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
+    groups = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = skew_join(large, staged(groups, "groups"), "digest", counts="n").where("page_id > first OR (page_id IS NULL AND first IS NOT NULL)").select("page_id", "digest", "first")
     rows = base.select(F.lit(1).alias("kind"), "page_id", "digest", F.lit(None).cast("long").alias("first"), "url", "payload", "size")
     hints = later.select(F.lit(0).alias("kind"), "page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("size"))
-    both = with_range(rows.unionByName(hints), "page_id", bounds, "shard")
+    both = part_number(rows.unionByName(hints), "page_id", ranges, F.xxhash64("digest"), "shard")
     sorted_rows = (
         both.select("shard", "page_id", "kind", "digest", "first", "url", "payload", "size")
-        .repartition(max(1, shards), "shard")
+        .repartitionById(ranges[2], F.col("shard"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     )
 
