@@ -374,3 +374,37 @@ def test_documents(odd, nothing):
     assert len(same) == 3
     assert len(set(same)) == 1
     assert webp.media_features(webp.media_column(nothing)).count() == 0
+
+
+def test_encoder_needs_the_features():
+    rng = np.random.default_rng(12)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    prose = b" ".join(words[i] for i in rng.integers(0, 300, 1500))
+    texts = [prose, b"one line again and again. " * 400, b" " * 3000 + prose[:500], b"ab" * 96 * 64, prose[:3000] * 2, prose[:3000]]
+    payloads = [webp.payload_of(t) for t in texts]
+    files = webp.to_webp(payloads)
+    assert [webp.samples(p).tobytes() for p in webp.decode(files)] == payloads
+    streams = [[webp.Stream(s) for s in webp.bitstreams(f)] for f in files]
+    assert all(s.picture.cache_bits == webp.CACHE_BITS for f in streams for s in f)
+    kinds = [[t[0] for t in f[0].transforms] for f in streams]
+    assert kinds[0] == []
+    assert webp.PREDICTOR in kinds[2]
+    # of the prefix code of the green channel: literals, lengths and cache entries
+    held = [set((table >> 4).tolist()) for table, _ in (f[0].picture.codes[0][0] for f in streams)]
+    assert all(any(x >= 280 for x in h) for h in held)
+    assert any(256 <= x < 280 for x in held[1])
+    assert len(files[4]) < 1.2 * len(files[5])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_runs_and_repeats(seed):
+    rng = np.random.default_rng(seed)
+    parts = [bytes(rng.integers(0, 4, 1, dtype=np.uint8)) * int(rng.integers(1, 900)) if rng.random() < 0.4 else bytes(rng.integers(0, 256, int(rng.integers(1, 400)), dtype=np.uint8)) for _ in range(6)]
+    payloads = [webp.payload_of(b"".join(parts[i] for i in rng.integers(0, 6, int(rng.integers(0, 40))))) for _ in range(9)]
+    files = webp.to_webp(payloads)
+    assert [webp.samples(p).tobytes() for p in webp.decode(files)] == payloads
+    # one file alone, and by the predictor of a single picture
+    for file, payload in zip(files, payloads, strict=True):
+        streams = [webp.Stream(s) for s in webp.bitstreams(file)]
+        pixels = [s.finish(webp.decode_pictures([s.picture])[0]) for s in streams]
+        assert webp.samples(pixels).tobytes() == payload

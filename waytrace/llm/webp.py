@@ -6,17 +6,18 @@ back-references with the short distances around a pixel, the colour cache, and t
 four transforms (predictor, cross-colour, subtract-green, palette with bundled pixels).
 
 Many pictures are decoded in lockstep: a step reads one pixel of each picture, all of them
-in a few array operations, so the cost of a step is shared. Pictures are sorted by size; those that
+in a few array operations, so the cost of a step is shared; so are predictors undone. Pictures are sorted by size; those that
 are done drop out.
 
 Text columns become pictures in ``to_webp``: the payload's bytes are the samples of RGB pixels in rows of
 64, so a row is 192 bytes. A picture has at most ``STRIP_ROWS`` rows; a longer payload becomes an
-extended file with a frame for each strip, which bounds the steps. The encoder writes one prefix code
-per channel (its lengths come from the counts of the bytes, made complete) and literals; it works on all strips of a
-batch at once, too.
+extended file with a frame for each strip, which bounds the steps. The encoder predicts pixels from the left or from above where that pays in some tile of a strip,
+copies repeated runs by back-references, takes pixels seen before from a colour
+cache, and writes one prefix code per channel (its lengths come from the counts, made complete), for all strips of a
+batch at once. So reading a file back needs all of these. Entropy images, cross-colour and palettes occur in files from elsewhere only.
 
 Null text counts as empty: its payload is one row of spaces. Payloads depend on the text alone, so equal
-texts have equal files and features. Repeated rows are stored each. An empty table gives an empty result.
+texts have equal files and features, which settles ties. Repeated rows are stored each. An empty table gives an empty result.
 Very long texts are many strips. Only doc_id and text are read.
 """
 
@@ -38,10 +39,14 @@ WIDTH = 64
 ROW_BYTES = 3 * WIDTH
 STRIP_ROWS = 64
 #: Payload bytes that are encoded and decoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 SIGNATURE = 0x2F
 #: The longest code this encoder makes; the format allows 15.
 LONGEST = 11
+#: The encoder's tiles of one predictor are 2 ** TILE_BITS wide; bits of its colour cache; shortest run it copies, in pixels.
+TILE_BITS = 5
+CACHE_BITS = 6
+SHORTEST = 4
 
 #: The order in which lengths of the code for code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -112,52 +117,70 @@ class Bits:
         return entry >> 4
 
 
-def read_code(bits: Bits, alphabet: int) -> np.ndarray:
-    """The code lengths of one prefix code."""
-    lengths = np.zeros(alphabet, np.int64)
+def read_table(bits: Bits, alphabet: int) -> tuple[np.ndarray, int]:
+    """One prefix code as ``code_table`` has it."""
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
         chosen = [first, bits.read(8)] if two else [first]
         if max(chosen) >= alphabet:
             raise Damaged("symbol outside the alphabet")
-        lengths[chosen] = 1
-        return lengths
-    own = np.zeros(19, np.int64)
-    for i in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[i]] = bits.read(3)
-    table, width = code_table(own)
+        low, high = min(chosen), max(chosen)
+        return (np.array([low << 4], np.int32), 0) if low == high else (np.array([low << 4 | 1, high << 4 | 1], np.int32), 1)
+    return code_table(read_lengths(bits, alphabet))
+
+
+_TABLES: dict[int, tuple[list[int], int]] = {}
+
+
+def _lengths_code(bits: Bits) -> tuple[list[int], int]:
+    """The code for code lengths; files of one writer mostly share it, so tables are kept."""
+    n = 4 + bits.read(4)
+    raw = bits.read(3 * n) | n << 60
+    if raw not in _TABLES:
+        own = np.zeros(19, np.int64)
+        for i in range(n):
+            own[LENGTH_ORDER[i]] = raw >> (3 * i) & 7
+        table, width = code_table(own)
+        if len(_TABLES) > 1000:
+            _TABLES.clear()
+        _TABLES[raw] = table.tolist(), width
+    return _TABLES[raw]
+
+
+def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
+    """The code lengths of a normal code."""
+    steps, width = _lengths_code(bits)
     most = alphabet
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
-    # the common case, read without a call per length
-    steps = table.tolist()
     stream, at, mask, last, i = bits.data, bits.at, (1 << width) - 1, 8, 0
-    window = int.from_bytes(stream[at >> 3 : (at >> 3) + 1200], "little") >> (at & 7)
-    out = lengths.tolist()
-    begun = at
+    window = held = 0
+    out = [0] * alphabet
     while i < alphabet and most > 0:
+        if held < 32:
+            window, held = int.from_bytes(stream[at >> 3 : (at >> 3) + 16], "little") >> (at & 7), 120
         most -= 1
         entry = steps[window & mask]
         n, symbol = entry & 15, entry >> 4
-        window >>= n
-        at += n
         if symbol < 16:
             out[i] = symbol
             i += 1
             if symbol:
                 last = symbol
-            continue
-        extra, base = ((2, 3), (3, 3), (7, 11))[symbol - 16]
-        times = base + (window & ((1 << extra) - 1))
-        window >>= extra
-        at += extra
-        if i + times > alphabet:
-            raise Damaged("too many code lengths")
-        if symbol == 16:
-            out[i : i + times] = [last] * times
-        i += times
-    if at - begun > 9000 or at > 8 * len(stream):
+        else:
+            extra, base = ((2, 3), (3, 3), (7, 11))[symbol - 16]
+            times = base + (window >> n & ((1 << extra) - 1))
+            n += extra
+            if i + times > alphabet:
+                raise Damaged("too many code lengths")
+            if symbol == 16:
+                out[i : i + times] = [last] * times
+            i += times
+        window >>= n
+        held -= n
+        at += n
+    if at > 8 * len(stream):
         raise Damaged("the data ends early")
     bits.at = at
     return np.array(out, np.int64)
@@ -174,14 +197,33 @@ class Picture:
         self.meta, self.meta_bits, groups = None, 0, 1
         if top and bits.read(1):
             self.meta_bits = bits.read(3) + 2
-            inner = decode_pictures([Picture(bits, shrink(width, self.meta_bits), shrink(height, self.meta_bits), False)], [bits])[0]
+            inner = small_picture(bits, shrink(width, self.meta_bits), shrink(height, self.meta_bits))
             self.meta = ((inner >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
             groups = int(self.meta.max()) + 1
         sizes = (280 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
-        self.codes = [[code_table(read_code(bits, n)) for n in sizes] for _ in range(groups)]
+        self.codes = [[read_table(bits, n) for n in sizes] for _ in range(groups)]
         self.at = bits.at
 
 
+def small_picture(bits: Bits, width: int, height: int) -> np.ndarray:
+    """The ARGB pixels of a picture inside another's head. A few plain pixels are read one by one."""
+    picture = Picture(bits, width, height, False)
+    begun, out = bits.at, []
+    green, *rest, _ = picture.codes[0]
+    for _ in range(width * height if width * height <= 64 and not picture.cache_bits else 0):
+        value = bits.symbol(*green)
+        if value >= 256:
+            break
+        red, blue, alpha = (bits.symbol(*code) for code in rest)
+        out.append(alpha << 24 | red << 16 | value << 8 | blue)
+    if len(out) == width * height:
+        if bits.at > 8 * len(bits.data):
+            raise Damaged("the data ends early")
+        return np.array(out, np.uint32)
+    bits.at = begun
+    return decode_pictures([picture], [bits])[0]
+
+
 def shrink(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
@@ -230,8 +272,9 @@ def decode_pictures(pictures: list[Picture], readers: list[Bits] | None = None)
         meta, meta_bits = np.concatenate(metas), np.array([p.meta_bits if p.meta is not None else 31 for p in lanes])
         meta_width = np.array([shrink(p.width, p.meta_bits) if p.meta is not None else 1 for p in lanes])
     cache_bits = np.array([p.cache_bits for p in lanes])
-    cached = bool(cache_bits.any())
+    cached, all_cached = bool(cache_bits.any()), bool(cache_bits.all())
     if cached:
+        down = (32 - cache_bits).astype(np.uint32)
         cache_at = np.cumsum(1 << cache_bits) - (1 << cache_bits)
         cache = np.zeros(int((1 << cache_bits).sum()), np.uint32)
     copy, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -299,10 +342,9 @@ def decode_pictures(pictures: list[Picture], readers: list[Bits] | None = None)
             copy[some] -= 1
             copying = bool((copy[:alive] > 0).any())
         if cached:
-            some = every[:alive][cache_bits[:alive] > 0]
+            some = every[:alive] if all_cached else every[:alive][cache_bits[:alive] > 0]
             colour = out[out_at[some] + step]
-            key = (np.uint32(0x1E35A7BD) * colour) >> (32 - cache_bits[some]).astype(np.uint32)
-            cache[cache_at[some] + key] = colour
+            cache[cache_at[some] + ((np.uint32(0x1E35A7BD) * colour) >> down[some])] = colour
     if (pos > end).any():
         raise Damaged("the data ends early")
     found: list[np.ndarray] = [None] * n
@@ -383,6 +425,57 @@ def undo_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, bits: int)
     return _joined(out.reshape(4, -1))
 
 
+_BLACK = np.uint32(0xFF000000)
+
+
+def undo_predictors(pictures: list[tuple[np.ndarray, np.ndarray, int]], width: int) -> list[np.ndarray]:
+    """``undo_predictor`` of several (pixels, modes, bits) of one width in lockstep, tallest first."""
+    heights = np.array([len(p) // width for p, _, _ in pictures])
+    out = np.zeros((int(heights[0]), width, len(pictures)), np.uint32)
+    tiles = np.zeros(out.shape, np.uint8)
+    y, x = np.divmod(np.arange(width * int(heights[0])), width)
+    for i, (pixels, modes, bits) in enumerate(pictures):
+        h = int(heights[i])
+        out[:h, :, i] = pixels.reshape(h, width)
+        own = (((modes >> np.uint32(8)) & np.uint32(15)).astype(np.uint8))[(y[: h * width] >> bits) * shrink(width, bits) + (x[: h * width] >> bits)]
+        tiles[:h, :, i] = own.reshape(h, width)
+    alive = len(pictures)
+    for row in range(int(heights[0])):
+        while heights[alive - 1] <= row:
+            alive -= 1
+        now = out[row, :, :alive]
+        if row == 0:
+            now[0] = _add(now[0], _BLACK)
+            for column in range(1, width):
+                now[column] = _add(now[column], now[column - 1])
+            continue
+        above, modes = out[row - 1, :, :alive], tiles[row, :, :alive]
+        now[0] = _add(now[0], above[0])
+        # what doesn't look to the left is the same for the whole row
+        guess = np.full(now.shape, _BLACK)
+        for mode, held in ((2, above), (4, np.roll(above, 1, axis=0))):
+            guess = np.where(modes == mode, held, guess)
+        if (modes == 3).any():
+            guess = np.where(modes == 3, np.concatenate((above[1:], now[:1])), guess)
+        plain = (modes == 0) | (modes > 13) | ((modes >= 2) & (modes <= 4))
+        plain[0] = False
+        now[plain] = _add(now[plain], guess[plain])
+        for column in np.flatnonzero(~plain[1:].all(1)) + 1:
+            some = np.flatnonzero(~plain[column])
+            left, kinds = now[column - 1, some], modes[column, some]
+            if (kinds == 1).all():
+                now[column, some] = _add(now[column, some], left)
+                continue
+            right = above[column + 1, some] if column + 1 < width else now[0, some]
+            around = [_channels(v) for v in (left, above[column, some], above[column - 1, some], right)]
+            found = np.zeros(len(some), np.uint32)
+            for mode in np.unique(kinds).tolist():
+                here = kinds == mode
+                found[here] = _joined(predicted(mode, *[c[:, here] for c in around]))
+            now[column, some] = _add(now[column, some], found)
+    return [out[: heights[i], :, i].reshape(-1) for i in range(len(pictures))]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.int64) ^ 128) - 128
 
@@ -432,13 +525,13 @@ class Stream:
             seen.add(kind)
             if kind in (PREDICTOR, CROSS_COLOUR):
                 size = bits.read(3) + 2
-                tiles = decode_pictures([Picture(bits, shrink(width, size), shrink(self.height, size), False)], [bits])[0]
+                tiles = small_picture(bits, shrink(width, size), shrink(self.height, size))
                 self.transforms.append((kind, width, tiles, size))
             elif kind == SUBTRACT_GREEN:
                 self.transforms.append((kind,))
             else:
                 n = 1 + bits.read(8)
-                steps = decode_pictures([Picture(bits, n, 1, False)], [bits])[0]
+                steps = small_picture(bits, n, 1)
                 colours = _joined(np.cumsum(_channels(steps), axis=1) & 255)
                 bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
                 self.transforms.append((kind, shrink(width, bundle), width, colours, bundle))
@@ -479,18 +572,31 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
     """The pictures of each file as arrays [row, column] of ARGB."""
     streams = [[Stream(s) for s in bitstreams(f)] for f in files]
     flat = [s for f in streams for s in f]
-    pixels = iter(decode_pictures([s.picture for s in flat]))
-    return [[s.finish(next(pixels)) for s in f] for f in streams]
+    pixels = decode_pictures([s.picture for s in flat])
+    only = {}
+    for i, s in enumerate(flat):
+        if [t[0] for t in s.transforms] == [PREDICTOR]:
+            only.setdefault(s.width, []).append(i)
+    done: dict[int, np.ndarray] = {}
+    for width, rows in only.items():
+        rows.sort(key=lambda i: -flat[i].height)
+        for i, out in zip(rows, undo_predictors([(pixels[i], *flat[i].transforms[0][2:]) for i in rows], width), strict=True):
+            done[i] = out.reshape(flat[i].height, width)
+    finished = iter([done[i] if i in done else s.finish(pixels[i]) for i, s in enumerate(flat)])
+    return [[next(finished) for _ in f] for f in streams]
 
 
 def complete_lengths(counts: np.ndarray) -> np.ndarray:
     """[code, symbol] lengths of complete prefix codes for [code, symbol] counts: at least as long as
     a symbol is rare, then shortened, frequent ones first, until no bit is left over."""
-    counts = np.where((counts > 0).sum(1, keepdims=True) == 1, np.eye(1, counts.shape[1], dtype=np.int64) + counts, counts)
+    # a code of one symbol gets a second one, which is never written
+    single = np.flatnonzero((counts > 0).sum(1) == 1)
+    counts = counts.copy()
+    counts[single, (counts[single, 0] > 0).astype(int)] += 1
     used = counts > 0
     floor = -(-counts.sum(1, keepdims=True) // (1 << (LONGEST - 1)))
     weight = np.where(used, np.maximum(counts, floor), 0).astype(np.float64)
-    lengths = np.where(used, np.ceil(np.log2(weight.sum(1, keepdims=True) / np.maximum(weight, 1)) - 1e-12), 0).astype(np.int64)
+    lengths = np.where(used, np.ceil(np.log2(np.maximum(weight.sum(1, keepdims=True), 1) / np.maximum(weight, 1)) - 1e-12), 0).astype(np.int64)
     lengths = np.where(used, np.clip(lengths, 1, LONGEST), 0)
     room = (1 << LONGEST) - np.where(used, np.int64(1) << (LONGEST - lengths), 0).sum(1)
     ranks = np.argsort(-weight, axis=1, kind="stable")
@@ -521,8 +627,8 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-#: The code for code lengths that this encoder uses: one bit for 0, five for most others. Complete.
-_OWN = np.array([1] + [5] * 14 + [4] + [0] * 3, np.int64)
+#: The code for code lengths that this encoder uses: three bits for 0 and for a long run of zeros, four for a short run and the others. Complete.
+_OWN = np.array([3] + [4] * LONGEST + [0] * (17 - LONGEST - 1) + [4, 3], np.int64)
 
 
 def _own_codes() -> np.ndarray:
@@ -540,61 +646,228 @@ def _fixed_bits(value: int, n: int) -> list[int]:
     return [(value >> i) & 1 for i in range(n)]
 
 
+#: A code that is never used, or has the symbol 0 alone.
+_UNUSED = [1, 0, 0, 0]
+_NO_CODE, _NOTHING = np.array(_UNUSED, np.uint8), np.zeros(0, np.uint8)
+_ZERO = np.array(_fixed_bits(int(_OWN_CODES[0]), int(_OWN[0])), np.uint8)
+_TEN_BITS = [np.array(_fixed_bits(i, 10), np.uint8) for i in range(400)]
+_OWN_HEAD = np.array([0, *_fixed_bits(15, 4), *[b for s in LENGTH_ORDER for b in _fixed_bits(int(_OWN[s]), 3)], 1, *_fixed_bits(4, 3)], np.uint8)
+
+
+def _code_heads(lengths: np.ndarray) -> list[np.ndarray]:
+    """The bits that tell the lengths of each code in [code, symbol]; runs of three zeros or more are told by their length."""
+    code, symbol = np.nonzero(lengths)
+    first = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+    zeros = symbol - np.where(first, 0, np.concatenate(([0], symbol[:-1] + 1))) if len(code) else symbol
+    # before each length: long runs, then a short run or single zeros
+    times = np.where(zeros > 10, -(-(zeros - 10) // 138), 0)
+    rest = zeros - np.minimum(zeros, 138 * times)
+    most = int(times.max()) if len(times) else 0
+    size, word = np.zeros((len(code), most + 3), np.int64), np.zeros((len(code), most + 3), np.int64)
+    for i in range(most):
+        run = np.clip(zeros - 138 * i, 0, 138)
+        size[:, i] = np.where(i < times, _OWN[18] + 7, 0)
+        word[:, i] = _OWN_CODES[18] | np.maximum(run - 11, 0) << _OWN[18]
+    short = rest > 2
+    size[:, most] = np.where(short, _OWN[17] + 3, np.where(rest > 0, _OWN[0], 0))
+    word[:, most] = np.where(short, _OWN_CODES[17] | np.maximum(rest - 3, 0) << _OWN[17], _OWN_CODES[0])
+    size[:, most + 1] = np.where(rest == 2, _OWN[0], 0)
+    word[:, most + 1] = _OWN_CODES[0]
+    held = lengths[code, symbol]
+    size[:, most + 2], word[:, most + 2] = _OWN[held], _OWN_CODES[held]
+    tokens = np.bincount(code, (size > 0).sum(1), minlength=len(lengths)).astype(np.int64)
+    octets = np.bincount(code, size.sum(1), minlength=len(lengths)).astype(np.int64)
+    used = size.reshape(-1) > 0
+    size, word = size.reshape(-1)[used], word.reshape(-1)[used]
+    bits, at = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
+    for k in range(int(_OWN.max()) + 7):
+        here = np.flatnonzero(size > k)
+        bits[at[here] + k] = (word[here] >> k) & 1
+    out, begin = [], 0
+    for n, total in zip(tokens.tolist(), octets.tolist(), strict=True):
+        if not n:
+            out.append(_NO_CODE)
+            continue
+        pad = _ZERO if n < 2 else _NOTHING
+        out.append(np.concatenate((_OWN_HEAD, _TEN_BITS[max(n, 2) - 2], bits[begin : begin + total], pad)))
+        begin += total
+    return out
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, number of further bits and these bits of lengths or distances from 1 on."""
+    x = values.astype(np.int64) - 1
+    n = np.floor(np.log2(np.maximum(x, 1))).astype(np.int64)
+    more = np.maximum(n - 1, 0)
+    second = (x >> more) & 1
+    return np.where(x < 4, x, 2 * n + second), np.where(x < 4, 0, more), np.where(x < 4, 0, x - ((2 + second) << more))
+
+
+def _short_distances() -> np.ndarray:
+    """The code of each distance up to the largest short one, by pixels; 0 where there is none."""
+    far = np.maximum(1, NEAR[:, 0] + NEAR[:, 1] * WIDTH)
+    out = np.zeros(int(far.max()) + 1, np.int64)
+    out[far[::-1]] = np.arange(len(far), 0, -1)
+    return out
+
+
+_SHORT = _short_distances()
+
+
+def predict(pixels: np.ndarray, height: int) -> tuple[np.ndarray, list[int]]:
+    """What is left of the ARGB pixels of a strip after prediction, and the mode of each tile: black, or the first other mode that
+    pays. Without one the pixels themselves, and no modes."""
+    rows = pixels.reshape(height, WIDTH)
+    left = np.concatenate((np.full((height, 1), _BLACK), rows[:, :-1]), axis=1)
+    above = np.concatenate((np.full((1, WIDTH), _BLACK), rows[:-1]))
+    size, modes, other = 1 << TILE_BITS, [], 0
+    guess = np.full((height, WIDTH), _BLACK)
+    for y in range(0, height, size):
+        for x in range(0, WIDTH, size):
+            tile = np.s_[y : y + size, x : x + size]
+            same = [int((held[tile] == rows[tile]).sum()) for held in (left, above)]
+            # a tile of another mode has to have a quarter of its pixels right
+            mode = 0 if 4 * max(same) < rows[tile].size else 1 + int(same[1] > same[0])
+            mode = mode if mode in (0, other or mode) else 0  # the tiles' code has two symbols
+            if mode:
+                other = mode
+                guess[tile] = (left, above)[mode - 1][tile]
+            modes.append(mode)
+    if not other:
+        return pixels, []
+    guess[:, 0], guess[0] = above[:, 0], left[0]
+    low = np.uint32(0x00FF00FF)
+    rest = (((rows >> np.uint32(8)) & low) + np.uint32(0x01000100) - ((guess >> np.uint32(8)) & low)) & low
+    return (rest << np.uint32(8) | (((rows & low) + np.uint32(0x01000100) - (guess & low)) & low)).reshape(-1), modes
+
+
+def _tile_bits(modes: list[int]) -> list[int]:
+    """The picture of the tiles' modes, in its green channel."""
+    held = sorted(set(modes))[:2]
+    head = [0, 1, len(held) - 1, 1, *_fixed_bits(held[0], 8), *(_fixed_bits(held[1], 8) if len(held) > 1 else [])]
+    return head + _UNUSED * 4 + ([held.index(m) for m in modes] if len(held) > 1 else [])
+
+
+def copies(pixels: np.ndarray, strip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and distance of runs of ``SHORTEST`` pixels or more that stand before in their strip, taken from the left."""
+    n = len(pixels) - SHORTEST + 1
+    if n < 2:
+        return (np.zeros(0, np.int64),) * 3
+    key = strip[:n].astype(np.uint64) << np.uint64(32)
+    for k in range(SHORTEST):
+        key = (key ^ pixels[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    order = np.argsort(key, kind="stable")
+    before = np.full(n, -1)
+    alike = (key[order[1:]] == key[order[:-1]]) & (strip[order[1:]] == strip[order[:-1]])
+    before[order[1:][alike]] = order[:-1][alike]
+    valid = (before >= 0) & (strip[:n] == strip[SHORTEST - 1 :])
+    at = np.flatnonzero(valid)
+    for k in range(SHORTEST):
+        at = at[pixels[at + k] == pixels[before[at] + k]]
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    away = at - before[at]
+    ends = np.append((at[1:] != at[:-1] + 1) | (away[1:] != away[:-1]) | (strip[at[1:]] != strip[at[:-1]]), True)
+    last = at[np.flatnonzero(ends)[np.searchsorted(np.flatnonzero(ends), np.arange(len(at)))]]
+    length = last - at + SHORTEST
+    chosen, i = [], 0
+    stops = np.searchsorted(at, at + length)
+    stops = stops.tolist()
+    while i < len(at):
+        chosen.append(i)
+        i = stops[i]
+    return at[chosen], length[chosen], away[chosen]
+
+
 def encode_strips(strips: list[np.ndarray]) -> list[bytes]:
     """A lossless bitstream for each array [row, WIDTH, 3] of RGB samples."""
     n = len(strips)
     heights = np.array([len(s) for s in strips])
     pixels = heights * WIDTH
-    flat = np.concatenate([s.reshape(-1, 3) for s in strips])[:, [1, 0, 2]]  # green, red, blue
     strip = np.repeat(np.arange(n), pixels)
-    counts = np.stack([np.bincount(strip * 256 + flat[:, c], minlength=256 * n).reshape(n, 256) for c in range(3)], 1)
-    lengths = complete_lengths(counts.reshape(3 * n, 256)).reshape(n, 3, 256)
-    codes = codes_of(lengths.reshape(3 * n, 256)).reshape(n, 3, 256)
-    # what stands before the pixels: a part that is alike for all, and the code lengths
-    simple = [1, 0]
+    rest, modes = [], []
+    for s in strips:
+        flat = s.reshape(-1, 3).astype(np.uint32)
+        left_over, own = predict(_BLACK | flat[:, 0] << np.uint32(16) | flat[:, 1] << np.uint32(8) | flat[:, 2], len(s))
+        rest.append(left_over)
+        modes.append(own)
+    argb = np.concatenate(rest)
+    begin, length, away = copies(argb, strip)
+    # a colour is in the cache if the last pixel with its key was the same; the cache begins with zeros
+    key = ((np.uint32(0x1E35A7BD) * argb) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    slot = strip << CACHE_BITS | key
+    order = np.argsort(slot, kind="stable")
+    held = np.zeros(len(argb), np.uint32)
+    same = slot[order[1:]] == slot[order[:-1]]
+    held[order[1:][same]] = argb[order[:-1][same]]
+    cached = held == argb
+    # tokens: a pixel, a cache entry, or a copy
+    covered = np.zeros(len(argb) + 1, np.int64)
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, begin + length, -1)
+    starts = np.cumsum(covered[:-1]) == 0
+    starts[begin] = True
+    at = np.flatnonzero(starts)
+    copied = np.zeros(len(argb), np.int64)
+    copied[begin] = np.arange(1, len(begin) + 1)
+    copied = copied[at] - 1
+    is_copy, is_cached = copied >= 0, (copied < 0) & cached[at]
+    literal = ~is_copy & ~is_cached
+    length_symbol, length_bits, length_more = prefixes(length)
+    short = np.where(away < len(_SHORT), _SHORT[np.minimum(away, len(_SHORT) - 1)], 0)
+    far_symbol, far_bits, far_more = prefixes(np.where(short > 0, short, away + 120))
+    own = strip[at]
+    green = ((argb[at] >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
+    green[is_cached] = 280 + key[at[is_cached]]
+    green[is_copy] = 256 + length_symbol[copied[is_copy]]
+    sizes = (280 + (1 << CACHE_BITS), 256, 256, 40)
+    symbols = [(np.ones(len(at), bool), green), (literal, ((argb[at] >> np.uint32(16)) & np.uint32(255)).astype(np.int64)), (literal, (argb[at] & np.uint32(255)).astype(np.int64)), (is_copy, far_symbol[np.maximum(copied, 0)] if len(begin) else np.zeros(len(at), np.int64))]
+    lengths, codes = [], []
+    for (some, symbol), alphabet in zip(symbols, sizes, strict=True):
+        counts = np.bincount(own[some] * alphabet + symbol[some], minlength=alphabet * n).reshape(n, alphabet)
+        lengths.append(complete_lengths(counts))
+        codes.append(codes_of(lengths[-1]))
+    # what stands before the pixels
+    told = [_code_heads(held) for held in lengths]
     heads = []
     for i in range(n):
-        head = _fixed_bits(SIGNATURE, 8) + _fixed_bits(WIDTH - 1, 14) + _fixed_bits(int(heights[i]) - 1, 14) + [0] + _fixed_bits(0, 3) + [0, 0, 0]
-        parts = [np.array(head, np.uint8)]
-        for c in range(3):
-            held = lengths[i, c]
-            most = int(np.flatnonzero(held)[-1]) + 1
-            own = [0] + _fixed_bits(15, 4) + [b for s in LENGTH_ORDER for b in _fixed_bits(int(_OWN[s]), 3)]
-            own += [1] + _fixed_bits(3, 3) + _fixed_bits(max(most, 2) - 2, 8)
-            values = held[: max(most, 2)]
-            sizes = _OWN[values]
-            bits = np.zeros(int(sizes.sum()), np.uint8)
-            at = np.cumsum(sizes) - sizes
-            word = _OWN_CODES[values]
-            for k in range(5):
-                here = sizes > k
-                bits[at[here] + k] = (word[here] >> k) & 1
-            parts += [np.array(own, np.uint8), bits]
-        parts.append(np.array([*simple, 1, *_fixed_bits(255, 8), *simple, 0, 0], np.uint8))  # alpha 255; distance unused
-        heads.append(np.concatenate(parts))
-    # the pixels: three codes in one word
-    spot = strip * 768
-    size, word = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-    flat_lengths, flat_codes = lengths.reshape(-1), codes.reshape(-1)
-    for c in range(3):
-        at = spot + 256 * c + flat[:, c]
-        word |= flat_codes[at] << size
-        size += flat_lengths[at]
+        head = _fixed_bits(SIGNATURE, 8) + _fixed_bits(WIDTH - 1, 14) + _fixed_bits(int(heights[i]) - 1, 14) + [0] + _fixed_bits(0, 3)
+        head += [1, *_fixed_bits(PREDICTOR, 2), *_fixed_bits(TILE_BITS - 2, 3), *_tile_bits(modes[i])] if modes[i] else []
+        head += [0, 1, *_fixed_bits(CACHE_BITS, 4), 0]
+        # alpha is 255 everywhere, 0 after prediction
+        alpha = _UNUSED if modes[i] else [1, 0, 1, *_fixed_bits(255, 8)]
+        heads.append(np.concatenate([np.array(head, np.uint8), *[told[c][i] for c in range(3)], np.array(alpha, np.uint8), told[3][i]]))
+    # the bits of each token in one word, 45 at most
+    size, word = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+
+    def put(some: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+        word[some] |= value << size[some]
+        size[some] += bits
+
+    for c, (some, symbol) in enumerate(symbols):
+        here = np.flatnonzero(some)
+        put(here, codes[c][own[here], symbol[here]], lengths[c][own[here], symbol[here]])
+        if c == 0 and len(begin):
+            put(np.flatnonzero(is_copy), length_more, length_bits)
+    if len(begin):
+        put(np.flatnonzero(is_copy), far_more, far_bits)
     head_bits = np.array([len(h) for h in heads])
     ends = np.cumsum(size)
-    body_bits = np.diff(ends[np.cumsum(pixels) - 1], prepend=0)
+    tokens = np.bincount(own, minlength=n)
+    body_bits = np.diff(ends[np.cumsum(tokens) - 1], prepend=0)
     octets = (head_bits + body_bits + 7) // 8
-    begin = 8 * (np.cumsum(octets) - octets)
-    place = ends - size + np.repeat(begin + head_bits - (np.cumsum(body_bits) - body_bits), pixels)
-    cells = np.zeros(int(octets.sum()) // 2 + 5, np.int64)
+    first = 8 * (np.cumsum(octets) - octets)
+    place = ends - size + np.repeat(first + head_bits - (np.cumsum(body_bits) - body_bits), tokens)
+    cells = np.zeros(int(octets.sum()) // 2 + 6, np.int64)
     shift = place & 15
-    low = word << shift  # 33 + 15 bits at most
-    for k in range(3):
+    low = word << shift
+    for k in range(4):
         cells += np.bincount((place >> 4) + k, (low >> (16 * k)) & 0xFFFF, minlength=len(cells)).astype(np.int64)
     out = cells.astype("<u2").view(np.uint8)[: int(octets.sum())].copy()
     found = []
     for i in range(n):
-        lo = int(begin[i]) // 8
+        lo = int(first[i]) // 8
         head = np.packbits(heads[i], bitorder="little")
         out[lo : lo + len(head)] |= head
         found.append(out[lo : lo + int(octets[i])].tobytes())
