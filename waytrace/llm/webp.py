@@ -38,8 +38,8 @@ from waytrace.llm.common import runs, table, texts
 WIDTH = 64
 ROW_BYTES = 3 * WIDTH
 STRIP_ROWS = 64
-#: Payload bytes that are encoded and decoded together.
-BATCH_BYTES = 8 << 20
+#: Payload bytes whose strips are encoded and decoded together.
+BATCH_BYTES = 3 << 20
 SIGNATURE = 0x2F
 #: The longest code this encoder makes; the format allows 15.
 LONGEST = 11
@@ -572,6 +572,11 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
     """The pictures of each file as arrays [row, column] of ARGB."""
     streams = [[Stream(s) for s in bitstreams(f)] for f in files]
     flat = [s for f in streams for s in f]
+    found = (p for lo, hi in runs(np.array([3 * s.width * s.height for s in flat]), BATCH_BYTES) for p in _decoded(flat[lo:hi]))
+    return [[next(found) for _ in f] for f in streams]
+
+
+def _decoded(flat: list[Stream]) -> list[np.ndarray]:
     pixels = decode_pictures([s.picture for s in flat])
     only = {}
     for i, s in enumerate(flat):
@@ -582,8 +587,7 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
         rows.sort(key=lambda i: -flat[i].height)
         for i, out in zip(rows, undo_predictors([(pixels[i], *flat[i].transforms[0][2:]) for i in rows], width), strict=True):
             done[i] = out.reshape(flat[i].height, width)
-    finished = iter([done[i] if i in done else s.finish(pixels[i]) for i, s in enumerate(flat)])
-    return [[next(finished) for _ in f] for f in streams]
+    return [done[i] if i in done else s.finish(pixels[i]) for i, s in enumerate(flat)]
 
 
 def complete_lengths(counts: np.ndarray) -> np.ndarray:
@@ -908,7 +912,7 @@ def to_webp(payloads: list[bytes]) -> list[bytes]:
         own = [rows[i : i + STRIP_ROWS] for i in range(0, len(rows), STRIP_ROWS)]
         strips += own
         counts.append(len(own))
-    streams, at, files = encode_strips(strips), 0, []
+    streams, at, files = [s for lo, hi in runs(np.array([x.size for x in strips]), BATCH_BYTES) for s in encode_strips(strips[lo:hi])], 0, []
     for n in counts:
         files.append(container(streams[at : at + n], [len(s) for s in strips[at : at + n]]))
         at += n
@@ -958,7 +962,7 @@ def media_features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(2).to_pylist()
-            for lo, hi in runs(np.array([len(f) for f in files]), BATCH_BYTES // 2):
+            for lo, hi in runs(batch.column(1).to_numpy(), BATCH_BYTES):
                 out = []
                 for key, n, file, pictures in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), files[lo:hi], decode(files[lo:hi]), strict=True):
                     rgb = samples(pictures)
