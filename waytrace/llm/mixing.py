@@ -300,11 +300,13 @@ def mix_rows(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     taken = staged(draws(docs, weights, share, most, seed=seed, shards=shards, whole=True).where("words > 0").select("doc_id", "order", "sid", "alike", "shard", "place", "pass", "copy"), "drawn")
     many = (taken.agg(F.max("shard")).first()[0] or 0) + 1
     lists = F.array_sort(F.collect_list(F.struct("pass", "copy", "shard", "place")))
+    # two hashes name the rows alike, for the join and the numbers of these rows, so that texts are shuffled once for both
+    names = lambda order: [order.alias(f"{p}key"), F.xxhash64(order, F.col("doc_id").cast("long")).alias(f"{p}two")]
     got = taken.groupBy("doc_id", "order", "sid", "alike").agg(lists.alias(f"{p}drawn"))
-    got = got.withColumnsRenamed({"doc_id": f"{p}id", "order": f"{p}order", "alike": f"{p}alike"}).drop("sid")
-    keyed = docs.withColumn(f"{p}key", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(got, (keyed[f"{p}key"] == got[f"{p}order"]) & keyed["doc_id"].cast("long").eqNullSafe(got[f"{p}id"]))
-    nth = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}id").orderBy(f"{p}key")) - 1
+    got = got.select(*names(F.col("order")), F.col("alike").alias(f"{p}alike"), f"{p}drawn")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *names(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))))
+    joined = keyed.join(got, [f"{p}key", f"{p}two"])
+    nth = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}two").orderBy(f"{p}key")) - 1
     own = F.filter(f"{p}drawn", lambda d, i: i % F.col(f"{p}alike") == F.col(f"{p}nth"))
     rows = joined.withColumn(f"{p}nth", nth).withColumn(f"{p}at", F.explode(own))
     dealt = rows.repartitionById(many, F.col(f"{p}at.shard")).sortWithinPartitions(F.xxhash64(f"{p}at.place", f"{p}key", f"{p}at.copy"), f"{p}key")
