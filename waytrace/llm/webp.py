@@ -37,9 +37,9 @@ from waytrace.llm.common import runs, table, texts
 
 WIDTH = 64
 ROW_BYTES = 3 * WIDTH
-STRIP_ROWS = 64
+STRIP_ROWS = 32
 #: Payload bytes whose strips are encoded and decoded together.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 9 << 19
 SIGNATURE = 0x2F
 #: The longest code this encoder makes; the format allows 15.
 LONGEST = 11
