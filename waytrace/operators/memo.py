@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,25 @@ from pyspark.sql import functions as F
 from waytrace.functions import scalar
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="waytrace-")
+        sc.setCheckpointDir(path)
+    return path
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read again, so what follows doesn't make them anew."""
+    path = f"{shared_folder(rows.sparkSession)}/waytrace-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def content_digest(spark: SparkSession, path: str) -> str:
     """A digest of the files below ``path``: of their names' order and their bytes; files are hashed where they lie."""
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("d"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waytrace.functions import scalar
+from waytrace.operators import memo
 
 CELL_MI = 1.0
 TIERS = {"interstate": 0, "us_route": 1}
@@ -110,24 +111,29 @@ def nearest_places(points: DataFrame, places: DataFrame, cell_deg: float = 0.5,
     """``points`` (lat, lon, ...) with ``place`` (name, admin1, cc): the place (lat, lon, name, admin1, cc) nearest by arc, ties by name.
 
     A place goes to the cells around its own; a point asks its own cell for the nearest within one cell of it. Points that find
-    none ask cells of twice the size, ``reach`` times in all; then NULL. The date line isn't crossed."""
-    found, open_ = None, points.withColumn("_point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
+    none ask cells of twice the size, ``reach`` times in all; then NULL. The date line isn't crossed. Distinct coordinates are
+    asked; each size reads what the one before wrote, and the last open point ends the search."""
+    open_ = memo.staged(points.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct(), "points")
+    found = None
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     for step in range(reach):
         size = cell_deg * 2**step
         row, column = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         held = places.select(F.struct("name", "admin1", "cc").alias("place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), row.alias("_r"), column.alias("_c"), F.explode(around).alias("_d"))
         held = held.select("place", "_lat", "_lon", (F.col("_r") + F.col("_d.i")).alias("_r"), (F.col("_c") + F.col("_d.j")).alias("_c"))
-        asked = open_.select("_point", row.alias("_r"), column.alias("_c"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).distinct()
-        miles = scalar.haversine_miles(F.col("_plat"), F.col("_plon"), F.col("_lat"), F.col("_lon"))
+        asked = open_.select("lat", "lon", row.alias("_r"), column.alias("_c"))
+        miles = scalar.haversine_miles(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
         # whatever lies outside the nine cells is farther than one cell in one direction
-        sure = F.lit(size) * F.least(F.lit(scalar.MILES_PER_DEGREE), scalar.miles_per_degree_lon(F.least(F.lit(89.0), F.abs("_plat") + size))) * 0.99
-        near = asked.join(held, ["_r", "_c"]).withColumn("_mi", miles).where(F.col("_mi") <= sure)
-        best = near.groupBy("_point").agg(F.min_by("place", F.struct("_mi", "place.name")).alias("place"))
-        found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best.select("_point"), "_point", "left_anti")
-    keyed = points.withColumn("_point", F.struct(*[F.col(f"`{c}`") for c in points.columns]))
-    return keyed.join(found, "_point", "left").drop("_point")
+        sure = F.lit(size) * F.least(F.lit(scalar.MILES_PER_DEGREE), scalar.miles_per_degree_lon(F.least(F.lit(89.0), F.abs("lat") + size))) * 0.99
+        near = asked.join(held, ["_r", "_c"], "left").withColumn("_mi", miles)
+        ranked = F.when(F.col("_mi") <= sure, F.struct("_mi", "place.name"))
+        best = memo.staged(near.groupBy("lat", "lon").agg(F.min_by("place", ranked).alias("place")), "places")
+        held_here = best.where("place IS NOT NULL")
+        found = held_here if found is None else found.unionByName(held_here)
+        open_ = best.where("place IS NULL").select("lat", "lon")
+        if open_.isEmpty():
+            break
+    return points.join(found, ["lat", "lon"], "left")
 
 
 def distance_to_route(points: DataFrame, roads: DataFrame, key: list[str]) -> DataFrame:
