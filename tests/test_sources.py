@@ -1,6 +1,7 @@
 """Readers, exports and settings."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -39,7 +40,31 @@ def test_clips_from_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     found = clips.clip_files(spark, str(tmp_path))
     assert sorted(r.clip for r in found.select("clip").collect()) == ["a.MP4", "b.mp4"]
-    assert clips.read_fixes(found).count() == 4
+    assert clips.folder_fixes(spark, str(tmp_path)).count() == 4
+
+
+def test_clips_in_splits(spark, tmp_path):
+    """Split clips with torn, touching and void chunks against a scan of the whole bytes."""
+    rnd = random.Random(3)
+    for n in range(3):
+        data = bytearray(rnd.randbytes(rnd.choice([0, 50, 5000])))
+        for sec in range(40):
+            one = chunk(rnd.random() < 0.8, 35.0 + sec * 1e-3, -99.0 - sec * 1e-3, 50.0, 90.0, sec)
+            data += one[: rnd.randrange(len(one))] if rnd.random() < 0.1 else one
+            data += clips.TAG * rnd.choice([0, 0, 1, 2]) + rnd.randbytes(rnd.choice([0, 3, 300, 2000]))
+        (tmp_path / f"c+{n} %20x.mp4").write_bytes(data)
+    (tmp_path / "empty.mp4").write_bytes(b"")
+    (tmp_path / "none.MP4").write_bytes(b"\xff\xfe" * 9000)
+    (tmp_path / "other.txt").write_bytes(chunk(True, 1.0, 1.0, 5.0, 0.0, 1))
+    wanted = sorted((p.name, *fix) for p in tmp_path.glob("*.[mM]*") for fix in clips.fixes_in(p.read_bytes()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = sorted(tuple(r) for r in clips.folder_fixes(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(wanted) > 90
+    assert got == wanted
 
 
 def test_roads(spark, tmp_path):

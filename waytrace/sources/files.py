@@ -12,9 +12,10 @@ from waytrace import schemas
 
 
 def read_track(spark: SparkSession, path: str) -> DataFrame:
-    """A track's rows with ``ts``, boolean ``valid`` and ``row_seq`` (file order; the trip is the file)."""
-    rows = spark.read.schema(schemas.TRACK_CSV).csv(path, header=True)
-    return rows.withColumns({"ts": F.to_timestamp_ntz("timestamp_utc", F.lit("yyyy-MM-dd HH:mm:ss")), "valid": F.col("valid") == 1, "row_seq": F.monotonically_increasing_id(), "trip_id": F.xxhash64(F.input_file_name())})
+    """A track's rows with ``ts``, boolean ``valid`` and ``row_seq`` (file order). The trip is the folder ``trip_id=``, where there are such, or the file."""
+    rows = spark.read.schema(schemas.TRACK_CSV).csv(path, header=True).fillna("", ["town", "state"])
+    trip = F.col("trip_id").cast("long") if "trip_id" in rows.columns else F.xxhash64(F.input_file_name())
+    return rows.withColumns({"ts": F.to_timestamp_ntz("timestamp_utc", F.lit("yyyy-MM-dd HH:mm:ss")), "valid": F.col("valid") == 1, "row_seq": F.monotonically_increasing_id(), "trip_id": trip})
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:

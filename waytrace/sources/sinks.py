@@ -15,6 +15,24 @@ def write_track(track: DataFrame, path: str) -> None:
     rows.select(*schemas.TRACK_COLUMNS, "row_seq").repartitionByRange(1, "row_seq").sortWithinPartitions("row_seq").drop("row_seq").write.mode("overwrite").csv(path, header=True)
 
 
+def _write_trips(rows: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A folder ``trip_id=`` for each trip, with one ordered file; trips are dealt over the tasks."""
+    dealt = rows.select("trip_id", *columns, *[c for c in order if c not in columns]).repartition("trip_id").sortWithinPartitions("trip_id", *order)
+    dealt.select("trip_id", *columns).write.mode("overwrite").partitionBy("trip_id").csv(path, header=True)
+
+
+def write_tracks(tracks: DataFrame, path: str) -> None:
+    """The tracks of many trips, each in its own folder."""
+    rows = tracks.withColumns({"global_sec": F.round("global_sec", 3), "valid": F.col("valid").cast("int")})
+    _write_trips(rows, path, schemas.TRACK_COLUMNS, ["row_seq"])
+
+
+def write_trip_spans(spans: DataFrame, path: str, text: str = "label") -> None:
+    """start_sec, end_sec and a text of many trips, each in its own folder."""
+    rows = spans.withColumns({c: F.round(c, 3) for c in ("start_sec", "end_sec")})
+    _write_trips(rows, path, ["start_sec", "end_sec", text], ["start_sec", "end_sec"])
+
+
 def write_spans(spans: DataFrame, path: str, text: str = "label") -> None:
     """start_sec, end_sec and a text, by start; an empty table has its header, too."""
     rows = spans.select(F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), text)
@@ -28,15 +46,17 @@ def clip_list(clips: DataFrame) -> DataFrame:
 
 
 def write_geojson(roads: DataFrame, path: str) -> None:
-    """Roads (route_id, route_type, geometry) as the lines of one FeatureCollection; the pieces are joined in order by ``read`` as text."""
+    """Roads (route_id, route_type, geometry), by ``road_seq`` if they have one, as the lines of one FeatureCollection; the pieces are joined in order by ``read`` as text."""
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct("route_id", "route_type").alias("properties"),
         F.struct(F.lit("LineString").alias("type"), F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates")).alias("geometry"),
     )
     # a NULL row keeps the one task of an empty table
-    start = roads.sparkSession.createDataFrame([(None,)], "value string")
-    body = start.unionByName(roads.select(F.to_json(feature).alias("value"))).repartition(1).mapInArrow(_collection, "value string")
+    start = roads.sparkSession.createDataFrame([(None, None)], "road_seq long, value string")
+    seq = F.col("road_seq") if "road_seq" in roads.columns else F.lit(0)
+    rows = start.unionByName(roads.select(seq.cast("long").alias("road_seq"), F.to_json(feature).alias("value")))
+    body = rows.repartitionByRange(1, "road_seq").sortWithinPartitions("road_seq").select("value").mapInArrow(_collection, "value string")
     body.write.mode("overwrite").text(path)
 
 
