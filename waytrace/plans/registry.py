@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from waytrace.plans import exchange
 from waytrace.plans.telemetry import ORACLES, QUERIES
 
 FLAGSHIP = "road_match_merged"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "exchange"]
