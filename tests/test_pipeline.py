@@ -9,7 +9,7 @@ from waytrace.plans.telemetry import chunk
 from waytrace.streaming import tracks
 
 
-def test_extract_and_overlay(spark):
+def test_extract_and_overlay(spark, tmp_path):
     drive = b"".join(chunk(True, 35.0, -99.0 + s * 1e-3, 50.0, 90.0, s) for s in range(10))
     later = b"".join(chunk(s != 1, 35.0, -98.9 + s * 1e-3, 50.0, 90.0, 20 + s) for s in range(5))
     files = spark.createDataFrame([("a", drive), ("b", b"dark"), ("c", later), ("d", drive)], "clip string, content binary")
@@ -26,7 +26,9 @@ def test_extract_and_overlay(spark):
 
     line = [{"lat": 35.0, "lon": -100.0 + 0.1 * i} for i in range(21)]
     roads = spark.createDataFrame([(0, "I-40", "interstate", line)], "road_seq long, route_id string, route_type string, geometry array<struct<lat:double,lon:double>>")
-    shown = pipeline.overlay(out["track"], out["labels"], out["gaps"], out["durations"], roads, roads.limit(0))
+    kept = (str(tmp_path / "matches"), "track", "roads")
+    arguments = (out["track"], out["labels"], out["gaps"], out["durations"])
+    shown = pipeline.overlay(*arguments, roads, roads.limit(0), kept=kept)
     strip = {r.sec: r for r in shown["strip"].collect()}
     assert len(strip) == 20
     assert strip[3].route_label == "I-40 EB"
@@ -39,6 +41,11 @@ def test_extract_and_overlay(spark):
     assert any("DayTitle" in x and "Day 1 - P0, TX to" in x for x in lines)
     assert shown["seconds"].count() == 20
 
+    # matches that are kept are taken again, whatever roads come along
+    again = pipeline.overlay(*arguments, roads.limit(0), roads.limit(0), kept=kept)
+    assert again["strip"].where("route_label = 'I-40 EB'").count() == sum(r.route_label == "I-40 EB" for r in strip.values()) > 0
+    assert len(list((tmp_path / "matches").iterdir())) == 2
+
 
 def test_prepare_roads(spark):
     rows = [(1, i, float(i), True, 35.0 + i * 0.01, -99.0, "TX") for i in range(40)]

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from waytrace.config import Settings
 from waytrace.functions import formats, scalar
-from waytrace.operators import intervals, matching, resample, roads_prep, track as ops
+from waytrace.operators import intervals, matching, memo, resample, roads_prep, track as ops
 from waytrace.sources import clips as clip_source, sinks
 
 KEY = ["trip_id", "sec"]
 
 
 def extract(files: DataFrame, manifest: DataFrame, places: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """From clips (clip, content), their durations (trip_id, clip, duration_sec) and a table of places: track, labels, gaps, clip list,
-    durations and warnings. Clips without a duration are left out of everything."""
+    """From clips (clip, content) or their fixes (``clips.folder_fixes``), their durations (trip_id, clip, duration_sec) and a
+    table of places: track, labels, gaps, clip list, durations and warnings. Clips without a duration are left out of everything."""
     offsets = ops.clip_offsets(manifest)
-    raw = clip_source.read_fixes(files)
+    raw = clip_source.read_fixes(files) if "content" in files.columns else files
     fixes = ops.on_video_clock(raw.join(manifest.select("trip_id", "clip"), "clip"), offsets)
     fixes = fixes.withColumn("ts", F.to_timestamp_ntz("timestamp_utc", F.lit("yyyy-MM-dd HH:mm:ss")))
     clip_no = F.dense_rank().over(_clips_in_order())
@@ -44,11 +44,21 @@ def _clips_in_order():
 
 
 def overlay(
-    track: DataFrame, labels: DataFrame, dark: DataFrame, durations: DataFrame, roads: DataFrame, local_roads: DataFrame | None = None, settings: Settings = Settings(), placeholder: str = "no GPS lock"
+    track: DataFrame,
+    labels: DataFrame,
+    dark: DataFrame,
+    durations: DataFrame,
+    roads: DataFrame,
+    local_roads: DataFrame | None = None,
+    settings: Settings = Settings(),
+    placeholder: str = "no GPS lock",
+    kept: tuple[str, str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """What the overlay shows: subtitle events, and for each second the place, the road, the info line and the compass.
 
-    ``track`` has trip_id, row_seq, global_sec, ts, valid, lat, lon, speed_mph, heading and state."""
+    ``track`` has trip_id, row_seq, global_sec, ts, valid, lat, lon, speed_mph, heading and state.
+    ``kept``: a folder and the digests (``memo.content_digest``) of the track's and the roads' files; road matches for these
+    inputs and settings are then taken from the folder, or made and written there."""
     totals = resample.total_seconds(track, durations)
     # places, headings and speeds come from the same fix of a second
     seconds = resample.fill_seconds(track, totals, ["lat", "lon", "heading", "speed_mph"])
@@ -62,12 +72,23 @@ def overlay(
     info = intervals.subtract(ops.info_spans(points, durations), dark, placeholder)
 
     tolerance, freeze = settings.roads_match_tolerance_mi, settings.roads_freeze_below_mph
-    highway = matching.match_roads(seconds, roads, tolerance, settings.roads_match_grace_secs, freeze, settings.roads_concurrency_max_extra)
+
+    def matches(kind: str, network: DataFrame, tolerance_mi: float, grace: int, extra: int = 0) -> DataFrame:
+        make = lambda: matching.match_roads(seconds, network, tolerance_mi, grace, freeze, extra)
+        if kept is None:
+            return make()
+        folder, track_digest, roads_digest = kept
+        # the lengths of trips and the extra roads count as inputs, too
+        whole = totals.agg(F.sum(F.xxhash64("trip_id", "total_secs").cast("decimal(38,0)"))).first()[0] or 0
+        key = memo.match_key(track_digest, f"{roads_digest}|{kind}|{extra}", tolerance_mi, grace, int(whole), freeze)
+        return memo.kept_table(track.sparkSession, folder, key, make)
+
+    highway = matches("highway", roads, tolerance, settings.roads_match_grace_secs, settings.roads_concurrency_max_extra)
     if local_roads is None:
         matched = highway.withColumns({"highway_id": F.col("route_id"), "local_id": F.lit(None).cast("string")})
     else:
         # local roads freeze at the highways' speed
-        local = matching.match_roads(seconds, local_roads, settings.local_roads_match_tolerance_mi, settings.local_roads_match_grace_secs, freeze)
+        local = matches("local", local_roads, settings.local_roads_match_tolerance_mi, settings.local_roads_match_grace_secs)
         matched = matching.merged_matches(highway, local)
     lines = resample.info_per_second(points, totals)
     turned = matching.compass(seconds, settings.compass_smoothing_secs, settings.compass_freeze_below_mph)
