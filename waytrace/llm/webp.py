@@ -78,21 +78,37 @@ class Damaged(ValueError):
     """The data isn't a lossless WebP picture."""
 
 
-def code_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
-    """A table for a canonical prefix code: indexed by the next ``bits`` bits (first bit lowest), symbol * 16 + length."""
-    symbols = np.flatnonzero(lengths)
-    if not len(symbols):
-        return np.zeros(1, np.int32), 0
-    if len(symbols) == 1:
-        return np.array([symbols[0] << 4], np.int32), 0
-    sizes = lengths[symbols].astype(np.int64)
-    bits = int(sizes.max())
-    order = np.lexsort((symbols, sizes))
-    spread = np.int64(1) << (bits - sizes[order])
-    if spread.sum() != 1 << bits:
+def code_tables(codes: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """A table for each canonical prefix code, told by the lengths of its symbols: indexed by the next ``bits`` bits (first bit
+    lowest), symbol * 16 + length. All are made at once; a code of one symbol takes no bits."""
+    sizes = np.array([len(c) for c in codes], np.int64)
+    lengths = np.frombuffer(b"".join(codes), np.uint8)
+    owner = np.repeat(np.arange(len(codes)), sizes)
+    used = np.flatnonzero(lengths)
+    code, length = owner[used], lengths[used].astype(np.int64)
+    symbol = used - (np.cumsum(sizes) - sizes)[code]
+    count = np.bincount(code, minlength=len(codes))
+    bits = np.zeros(len(codes), np.int64)
+    np.maximum.at(bits, code, length)
+    bits[count < 2] = 0
+    length[count[code] == 1] = 0
+    spread = np.int64(1) << (bits[code] - length)
+    room = np.int64(1) << bits
+    if (np.bincount(code, spread, minlength=len(codes)) != room)[count > 0].any():
         raise Damaged("incomplete prefix code")
-    high = np.repeat(((symbols << 4) | sizes)[order], spread)
-    return high[_REVERSED[bits]].astype(np.int32), bits
+    order = np.argsort(code << 4 | length, kind="stable")
+    high = np.repeat((symbol << 4 | length)[order].astype(np.int32), spread[order])
+    room[count == 0] = 0
+    base = np.cumsum(room) - room
+    within = np.arange(len(high)) - np.repeat(base, room)
+    entries = high[np.repeat(base, room) + (_REVERSED[15][within] >> np.repeat(15 - bits, room))]
+    ends = (base + room).tolist()
+    return [(entries[b:e] if e > b else np.zeros(1, np.int32), n) for b, e, n in zip(base.tolist(), ends, bits.tolist(), strict=True)]
+
+
+def code_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """One of ``code_tables``."""
+    return code_tables([lengths.astype(np.uint8).tobytes()])[0]
 
 
 class Bits:
@@ -117,8 +133,8 @@ class Bits:
         return entry >> 4
 
 
-def read_table(bits: Bits, alphabet: int) -> tuple[np.ndarray, int]:
-    """One prefix code as ``code_table`` has it."""
+def read_code(bits: Bits, alphabet: int) -> tuple[np.ndarray, int] | bytes:
+    """One prefix code: the table of a simple one as ``code_tables`` has it, the lengths of a normal one."""
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
@@ -127,7 +143,13 @@ def read_table(bits: Bits, alphabet: int) -> tuple[np.ndarray, int]:
             raise Damaged("symbol outside the alphabet")
         low, high = min(chosen), max(chosen)
         return (np.array([low << 4], np.int32), 0) if low == high else (np.array([low << 4 | 1, high << 4 | 1], np.int32), 1)
-    return code_table(read_lengths(bits, alphabet))
+    return read_lengths(bits, alphabet)
+
+
+def tables_of(codes: list[tuple[np.ndarray, int] | bytes]) -> list[tuple[np.ndarray, int]]:
+    """The tables of codes as ``read_code`` gives them."""
+    made = iter(code_tables([c for c in codes if isinstance(c, bytes)]))
+    return [next(made) if isinstance(c, bytes) else c for c in codes]
 
 
 _TABLES: dict[int, tuple[list[int], int]] = {}
@@ -148,15 +170,15 @@ def _lengths_code(bits: Bits) -> tuple[list[int], int]:
     return _TABLES[raw]
 
 
-def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
-    """The code lengths of a normal code."""
+def read_lengths(bits: Bits, alphabet: int) -> bytes:
+    """The code lengths of a normal code, a byte each."""
     steps, width = _lengths_code(bits)
     most = alphabet
     if bits.read(1):
         most = 2 + bits.read(2 + 2 * bits.read(3))
     stream, at, mask, last, i = bits.data, bits.at, (1 << width) - 1, 8, 0
     window = held = 0
-    out = [0] * alphabet
+    out = bytearray(alphabet)
     while i < alphabet and most > 0:
         if held < 32:
             window, held = int.from_bytes(stream[at >> 3 : (at >> 3) + 16], "little") >> (at & 7), 120
@@ -175,7 +197,7 @@ def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
             if i + times > alphabet:
                 raise Damaged("too many code lengths")
             if symbol == 16:
-                out[i : i + times] = [last] * times
+                out[i : i + times] = bytes([last]) * times
             i += times
         window >>= n
         held -= n
@@ -183,7 +205,7 @@ def read_lengths(bits: Bits, alphabet: int) -> np.ndarray:
     if at > 8 * len(stream):
         raise Damaged("the data ends early")
     bits.at = at
-    return np.array(out, np.int64)
+    return bytes(out)
 
 
 class Picture:
@@ -201,9 +223,15 @@ class Picture:
             self.meta = ((inner >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
             groups = int(self.meta.max()) + 1
         sizes = (280 + (1 << self.cache_bits if self.cache_bits else 0), 256, 256, 256, 40)
-        self.codes = [[read_table(bits, n) for n in sizes] for _ in range(groups)]
+        self.held = [read_code(bits, n) for _ in range(groups) for n in sizes]  # five to a group
         self.at = bits.at
 
+    @property
+    def codes(self) -> list[list[tuple[np.ndarray, int]]]:
+        """The tables of each group."""
+        made = tables_of(self.held)
+        return [made[i : i + 5] for i in range(0, len(made), 5)]
+
 
 def small_picture(bits: Bits, width: int, height: int) -> np.ndarray:
     """The ARGB pixels of a picture inside another's head. A few plain pixels are read one by one."""
@@ -250,22 +278,19 @@ def decode_pictures(pictures: list[Picture], readers: list[Bits] | None = None)
         words |= raw[k : len(raw) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
     end = np.array([base[i] + 8 * len(p.data) for i, p in enumerate(lanes)])
     # the tables of all groups of all lanes, five to a group
-    tables, starts, masks, group_base, size = [], [], [], np.zeros(n, np.int64), 0
-    for i, p in enumerate(lanes):
-        group_base[i] = len(starts) // 5
-        for group in p.codes:
-            for entries, bits in group:
-                tables.append(entries)
-                starts.append(size)
-                masks.append((1 << bits) - 1)
-                size += len(entries)
-    tables, starts, masks = np.concatenate(tables), np.array(starts, np.int64).reshape(-1, 5), np.array(masks, np.int64).reshape(-1, 5)
-    still = [not masks[:, which].any() for which in range(5)]  # codes without bits in all pictures
+    groups = np.array([len(p.held) // 5 for p in lanes], np.int64)
+    group_base = np.cumsum(groups) - groups
+    made = tables_of([c for p in lanes for c in p.held])
+    room = np.array([len(entries) for entries, _ in made], np.int64)
+    tables = np.concatenate([entries for entries, _ in made])
+    starts = [(np.cumsum(room) - room)[which::5].copy() for which in range(5)]
+    masks = [np.array([(1 << bits) - 1 for _, bits in made[which::5]], np.uint32) for which in range(5)]
+    still = [not held.any() for held in masks]  # codes without bits in all pictures
     pos = base + np.array([p.at for p in lanes])
     width = np.array([p.width for p in lanes])
     out_at = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint32)
-    many = any(len(p.codes) > 1 for p in lanes)
+    many = bool((groups > 1).any())
     if many:
         metas = [p.meta if p.meta is not None else np.zeros(1, np.int64) for p in lanes]
         meta_at = np.cumsum([len(m) for m in metas]) - [len(m) for m in metas]
@@ -283,16 +308,16 @@ def decode_pictures(pictures: list[Picture], readers: list[Bits] | None = None)
 
     def take(lane: np.ndarray, row: np.ndarray, which: int) -> np.ndarray:
         if still[which]:
-            return tables[starts[row, which]] >> 4
-        p = pos[lane]
-        window = (words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7).astype(np.uint32)) & masks[row, which].astype(np.uint32)
-        entry = tables[starts[row, which] + window]
+            return tables.take(starts[which].take(row)) >> 4
+        p = pos.take(lane)
+        window = (words.take(p >> 3, mode="clip") >> (p & 7).astype(np.uint32)) & masks[which].take(row)
+        entry = tables.take(starts[which].take(row) + window)
         pos[lane] = p + (entry & 15)
         return entry >> 4
 
     def extra(lane: np.ndarray, n_bits: np.ndarray) -> np.ndarray:
-        p = pos[lane]
-        value = (words[np.minimum(p >> 3, len(words) - 1)] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << n_bits) - 1)
+        p = pos.take(lane)
+        value = (words.take(p >> 3, mode="clip") >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << n_bits) - 1)
         pos[lane] = p + n_bits
         return value
 
@@ -603,7 +628,9 @@ def complete_lengths(counts: np.ndarray) -> np.ndarray:
     lengths = np.where(used, np.ceil(np.log2(np.maximum(weight.sum(1, keepdims=True), 1) / np.maximum(weight, 1)) - 1e-12), 0).astype(np.int64)
     lengths = np.where(used, np.clip(lengths, 1, LONGEST), 0)
     room = (1 << LONGEST) - np.where(used, np.int64(1) << (LONGEST - lengths), 0).sum(1)
-    ranks = np.argsort(-weight, axis=1, kind="stable")
+    # whole numbers of few bits are sorted in time linear in their number
+    top = int(weight.max()) if weight.size else 0
+    ranks = np.argsort((top - weight).astype(np.min_scalar_type(top)), axis=1, kind="stable")
     rows = np.arange(len(counts))
     for rank in range(int(used.sum(1).max()) if len(counts) else 0):
         symbol = ranks[:, rank]
@@ -620,7 +647,7 @@ def complete_lengths(counts: np.ndarray) -> np.ndarray:
 
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """[code, symbol] canonical codes, their first bit lowest."""
-    order = np.lexsort((np.broadcast_to(np.arange(lengths.shape[1]), lengths.shape), np.where(lengths > 0, lengths, 99)), axis=1)
+    order = np.argsort(np.where(lengths > 0, lengths, 99).astype(np.uint8), axis=1, kind="stable")
     rows = np.arange(len(lengths))[:, None]
     sizes = lengths[rows, order]
     span = np.where(sizes > 0, np.int64(1) << (LONGEST - sizes), 0)
@@ -801,7 +828,8 @@ def encode_strips(strips: list[np.ndarray]) -> list[bytes]:
     # a colour is in the cache if the last pixel with its key was the same; the cache begins with zeros
     key = ((np.uint32(0x1E35A7BD) * argb) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
     slot = strip << CACHE_BITS | key
-    order = np.argsort(slot, kind="stable")
+    # strips lie in order, so the order of keys brings equal slots together
+    order = np.argsort(key.astype(np.min_scalar_type((1 << CACHE_BITS) - 1)), kind="stable")
     held = np.zeros(len(argb), np.uint32)
     same = slot[order[1:]] == slot[order[:-1]]
     held[order[1:][same]] = argb[order[:-1][same]]
