@@ -10,13 +10,20 @@ Two projections matter: a road is acquired by distances at the mean latitude of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from waytrace.functions import scalar
 from waytrace.operators import memo
 
 CELL_MI = 1.0
+LIST_ROWS = 256  # places in a list, at most
+BLOCK = 1 << 14  # pairs of leg and place measured at once, about
 TIERS = {"interstate": 0, "us_route": 1}
 
 
@@ -171,6 +178,115 @@ def cities_on_route(cities: DataFrame, route: DataFrame, radius_mi: float) -> Da
     return near.groupBy("trip_id", *cities.columns).agg(F.min("_mi").alias("route_mi"))
 
 
+def _route_cells(route: DataFrame, reach: float) -> DataFrame:
+    """(trip_id, cy, cx, legs): the cells of ``reach`` degrees that may hold a place within ``reach`` of a leg of the trip; each leg
+    (alat, alon, blat, blon) is in the list of one of them.
+
+    Legs from one small square to another go together. A row of cells takes the stretch that is within its reach, so a
+    long leg asks cells along itself, not those of its box."""
+    w = Window.partitionBy("trip_id").orderBy("ord")
+    legs = route.select("trip_id", F.col("lat").alias("alat"), F.col("lon").alias("alon"), F.lead("lat", 1).over(w).alias("blat"), F.lead("lon", 1).over(w).alias("blon"))
+    single = legs.withColumn("blat", F.coalesce("blat", "alat")).withColumn("blon", F.coalesce("blon", "alon"))
+    ends = ["alat", "alon", "blat", "blon"]
+    for c in ends:
+        single = single.where(F.abs(c) < float("inf"))
+    side = reach / 2
+    centre = lambda c: ((F.floor(F.col(c) / side) + 0.5) * side).alias(f"_{c}")
+    groups = single.groupBy("trip_id", *[centre(c) for c in ends]).agg(F.collect_list(F.struct(*ends)).alias("legs"))
+    # a leg is nowhere farther than half a side from the line of the centres; the rest is for rounding
+    slack = side / 2 + 1e-6
+    cell = lambda c: F.floor(c / reach)
+    ya, yb, xa, xb = (F.col(c) for c in ("_alat", "_blat", "_alon", "_blon"))
+    rows = groups.select("*", F.posexplode(F.sequence(cell(F.least(ya, yb) - slack - reach), cell(F.greatest(ya, yb) + slack + reach))).alias("_i", "cy"))
+    low, high = F.col("cy") * reach, (F.col("cy") + 1) * reach
+    at = lambda lat: F.when(ya == yb, F.lit(None).cast("double")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (lat - ya) / (yb - ya))))
+    rows = rows.withColumn("_s", F.coalesce(at(low - reach - slack), F.lit(0.0))).withColumn("_t", F.coalesce(at(high + reach + slack), F.lit(1.0)))
+    # a degree of longitude is shortest on the side of the row that is nearer to a pole; at a pole the reach is all around
+    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(low), F.abs(high)))))
+    rows = rows.withColumn("_wide", F.least(F.lit(360.0), F.lit(reach) / narrow) + slack).withColumn("_p", xa + F.col("_s") * (xb - xa)).withColumn("_q", xa + F.col("_t") * (xb - xa))
+    rows = rows.select("*", F.posexplode(F.sequence(cell(F.least("_p", "_q") - F.col("_wide")), cell(F.greatest("_p", "_q") + F.col("_wide")))).alias("_j", "cx"))
+    once = F.when((F.col("_i") == 0) & (F.col("_j") == 0), F.col("legs"))
+    return rows.groupBy("trip_id", "cy", "cx").agg(F.flatten(F.collect_list(once)).alias("legs"))
+
+
+def selected_cities(cities: DataFrame, route: DataFrame, radius_mi: float, min_gap_mi: float) -> DataFrame:
+    """``thinned_cities`` of ``cities_on_route``, without making all pairs of trip, leg and city.
+
+    Of the cities at one place the first by rank stands for all: the others are no gap away from it, or are refused by
+    what refused it. A trip meets its legs and the places of its cells in one fold, which measures places in their order until
+    what was taken leaves none open. Rows to and from Python are lists of a cell's numbers, so their size is bounded."""
+    mi = scalar.MILES_PER_DEGREE
+    reach = radius_mi / mi + 1e-6
+    placed = cities.where((F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf")))
+    first = placed.groupBy("lat", "lon").agg(F.min(F.struct("rank", "name", "state")).alias("c")).select("c.*", "lat", "lon")
+    # (rank, tie) orders as (rank, name, state, lat, lon) does
+    tie = F.row_number().over(Window.partitionBy("rank").orderBy("name", "state", "lat", "lon"))
+    cells = first.select("lat", "lon", "rank", tie.alias("tie"), F.floor(F.col("lat") / reach).alias("cy"), F.floor(F.col("lon") / reach).alias("cx"))
+    part = F.floor((F.row_number().over(Window.partitionBy("cy", "cx").orderBy("rank", "tie")) - 1) / LIST_ROWS)
+    lists = cells.withColumn("part", part).groupBy("cy", "cx", "part").agg(F.collect_list(F.struct("lat", "lon", "rank", "tie")).alias("places"))
+    met = _route_cells(route, reach).join(lists, ["cy", "cx"], "left").where((F.size("legs") > 0) | F.col("places").isNotNull())
+    in_trip = Window.partitionBy("trip_id").orderBy("cy", "cx", "part")
+    legs = F.when(F.coalesce("part", F.lit(0)) == 0, F.col("legs")).otherwise(F.slice("legs", 1, 0))
+    rows = met.select("trip_id", F.row_number().over(in_trip).alias("n"), legs.alias("legs"), F.coalesce("places", F.array().cast(lists.schema["places"].dataType)).alias("places"))
+
+    def taken(legs: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        alat, alon, blat, blon = legs
+        lat, lon, rank, tie = places
+        open_ = np.lexsort((tie, rank))
+        k = mi * np.cos(np.radians(lat))
+        kept = []
+        while len(open_):
+            head, open_ = np.split(open_, [max(1, BLOCK // len(alat))])
+            y, x, kx = lat[head, None], lon[head, None], k[head, None]
+            ax, ay = (alon - x) * kx, (alat - y) * mi
+            dx, dy = (blon - x) * kx - ax, (blat - y) * mi - ay
+            square = dx * dx + dy * dy
+            t = np.clip(-(ax * dx + ay * dy) / np.where(square == 0, 1.0, square), 0.0, 1.0)
+            px, py = ax + t * dx, ay + t * dy
+            near = head[(np.sqrt(px * px + py * py) <= radius_mi).any(1)]
+            while len(near):
+                c = near[0]
+                kept.append(c)
+                clear = lambda of: of[np.hypot((lon[of] - lon[c]) * k[of], (lat[of] - lat[c]) * mi) >= min_gap_mi]  # noqa: B023, E731
+                near, open_ = clear(near[1:]), clear(open_)
+        return lat[kept], lon[kept]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trip, held, kind = None, None, None
+
+        def closed(done: list) -> Iterator[pa.RecordBatch]:
+            found = [(t, *taken(*([np.concatenate(c) for c in zip(*lists, strict=True)] for lists in of))) for t, of in done]
+            found = [f for f in found if len(f[1])]
+            if found:
+                ids = pa.array([t for t, lat, _ in found for _ in lat], kind)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2)]], ["trip_id", "lat", "lon"])
+
+        for batch in batches:
+            kind = batch.schema.field("trip_id").type
+            starts = np.flatnonzero(batch.column("n").to_numpy() == 1)
+            columns = [batch.column(c) for c in ("legs", "places")]
+            offsets = [c.offsets.to_numpy() for c in columns]
+            values = [[c.values.field(i).to_numpy(zero_copy_only=False) for i in range(4)] for c in columns]
+            part = lambda a, b: [[v[o[a] : o[b]] for v in of] for o, of in zip(offsets, values, strict=True)]  # noqa: B023, E731
+            bounds = [0, *starts.tolist(), batch.num_rows]
+            done = []
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                if i:
+                    if held is not None:
+                        done.append((trip, held))
+                    trip, held = batch.column("trip_id")[a].as_py(), ([], [])
+                if b > a:
+                    for to, piece in zip(held, part(a, b), strict=True):
+                        to.append([v.copy() for v in piece])
+            yield from closed(done)
+        if held is not None:
+            yield from closed([(trip, held)])
+
+    schema = StructType([rows.schema["trip_id"], StructField("lat", DoubleType()), StructField("lon", DoubleType())])
+    shown = first if min_gap_mi > 0 else placed.distinct()  # without a gap none is refused
+    return rows.mapInArrow(fold, schema).join(shown, ["lat", "lon"]).select("trip_id", "rank", "name", "state", "lat", "lon")
+
+
 def thinned_cities(near: DataFrame, min_gap_mi: float) -> DataFrame:
     """Of a trip's cities, by rank, those that are ``min_gap_mi`` or more from each one taken before. One fold per trip
     over its candidate cities, which the city file bounds."""
