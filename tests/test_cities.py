@@ -8,7 +8,7 @@ import threading
 import duckdb
 import pytest
 
-from waytrace.operators import spatial
+from waytrace.operators import matching, spatial
 from waytrace.plans import registry
 
 DATA = "/root/testdata/sf0.01"
@@ -95,3 +95,23 @@ def test_many_cities(spark, tmp_path, name):
     wanted = con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
     key = lambda r: r[:2]
     assert sorted(rows, key=key) == sorted(wanted, key=key)
+
+
+def test_panels_over_batches(spark):
+    """Panels that share a batch, and a panel over several, get what each gets by itself."""
+    rng = random.Random(5)
+    cities = [(trip, rank, f"City {rank}", 34 + rng.random(), -100 + rng.random()) for trip in range(6) for rank in range(rng.choice([1, 4, 30]))]
+    cities.append((0, None, "last", 34.5, -99.5))
+    schema = "trip_id long, rank int, name string, lat double, lon double"
+    bounds = spark.createDataFrame([(trip, 34.0, 35.0, -100.0, -99.0) for trip in range(6)], "trip_id long, min_lat double, max_lat double, min_lon double, max_lon double")
+
+    def placed(rows):
+        return sorted(map(tuple, matching.place_labels(spark.createDataFrame(rows, schema), bounds, 320, 240, 9.0).collect()), key=repr)
+
+    alone = sorted((r for trip in range(6) for r in placed([c for c in cities if c[0] == trip])), key=repr)
+    assert len(alone) == len(cities)
+    assert {r[3] is None for r in alone} == {True, False}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in ("2", old):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        assert placed(cities) == alone

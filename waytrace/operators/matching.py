@@ -6,8 +6,11 @@ seconds beforehand. Only the fold itself runs per trip, over small rows in time
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,28 +120,33 @@ def place_labels(cities: DataFrame, bounds: DataFrame, width: int, height: int,
     w = 0.62 * font_px * F.length("name")
     x = (F.col("lon") - F.col("min_lon")) / (F.col("max_lon") - F.col("min_lon")) * width
     y = (F.col("max_lat") - F.col("lat")) / (F.col("max_lat") - F.col("min_lat")) * height
-    boxes = cities.join(bounds, "trip_id").select("trip_id", "rank", "name", x.alias("x"), y.alias("y"), w.alias("w"))
+    by_rank = Window.partitionBy("trip_id").orderBy(F.col("rank").asc_nulls_last(), F.col("name").asc_nulls_last())
+    number = F.row_number().over(by_rank).alias("n")
+    boxes = cities.join(bounds, "trip_id").select(F.col("trip_id").cast("long"), F.col("rank").cast("int"), "name", x.alias("x"), y.alias("y"), w.alias("w"), number)
     tall = 1.3 * font_px
 
-    def fold(panel: pd.DataFrame) -> pd.DataFrame:
-        panel = panel.sort_values(["rank", "name"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = np.zeros((0, 4))
-        dx_pt, dy_pt = [], []
-        for x, y, w in zip(panel["x"], panel["y"], panel["w"], strict=True):
-            spots = np.array([(6, -tall - 4), (6, 4), (-6 - w, -tall - 4), (-6 - w, 4)])
-            left, top = x + spots[:, 0], y + spots[:, 1]
-            free = (left >= 1) & (top >= 1) & (left + w <= width - 1) & (top + tall <= height - 1)
-            if len(taken):
-                over = (left[:, None] < taken[:, 2]) & (taken[:, 0] < left[:, None] + w) & (top[:, None] < taken[:, 3]) & (taken[:, 1] < top[:, None] + tall)
-                free &= ~over.any(1)
-            pick = int(free.argmax()) if free.any() else None
-            dx_pt.append(None if pick is None else spots[pick, 0] * 0.72)
-            dy_pt.append(None if pick is None else -spots[pick, 1] * 0.72)
-            if pick is not None:
-                taken = np.vstack([taken, [left[pick], top[pick], left[pick] + w, top[pick] + tall]])
-        return pd.DataFrame({"trip_id": panel["trip_id"], "rank": panel["rank"], "name": panel["name"], "dx_pt": np.array(dx_pt, float), "dy_pt": np.array(dy_pt, float)})
-
-    return boxes.groupBy("trip_id").applyInPandas(fold, "trip_id long, rank int, name string, dx_pt double, dy_pt double")
+        for batch in batches:
+            dx_pt, dy_pt = [], []
+            for x, y, w, n in zip(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w", "n")), strict=True):
+                if n == 1:  # the next panel
+                    taken = np.zeros((0, 4))
+                spots = np.array([(6, -tall - 4), (6, 4), (-6 - w, -tall - 4), (-6 - w, 4)])
+                left, top = x + spots[:, 0], y + spots[:, 1]
+                free = (left >= 1) & (top >= 1) & (left + w <= width - 1) & (top + tall <= height - 1)
+                if len(taken):
+                    over = (left[:, None] < taken[:, 2]) & (taken[:, 0] < left[:, None] + w) & (top[:, None] < taken[:, 3]) & (taken[:, 1] < top[:, None] + tall)
+                    free &= ~over.any(1)
+                pick = int(free.argmax()) if free.any() else None
+                dx_pt.append(None if pick is None else spots[pick, 0] * 0.72)
+                dy_pt.append(None if pick is None else -spots[pick, 1] * 0.72)
+                if pick is not None:
+                    taken = np.vstack([taken, [left[pick], top[pick], left[pick] + w, top[pick] + tall]])
+            columns = [batch.column(c) for c in ("trip_id", "rank", "name")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dx_pt, pa.float64()), pa.array(dy_pt, pa.float64())], ["trip_id", "rank", "name", "dx_pt", "dy_pt"])
+
+    return boxes.mapInArrow(fold, "trip_id long, rank int, name string, dx_pt double, dy_pt double")
 
 
 def labelled(matches: DataFrame, extras: DataFrame) -> DataFrame:
