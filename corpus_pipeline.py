@@ -12,7 +12,7 @@ columns of ``documents``.
 5. packing: the place of each piece of each document in sequences of 2048 ids.
 
 Each stage works on all rows of the one before. Columns named like helpers of an operator don't clash; null text, very long text, repeated rows and empty tables are
-what the operators say. The stages depend on a trained scorer and on tokenizer files, which
+what the operators say. The jobs that a stage runs itself pass small batches of texts to Python. The stages depend on a trained scorer and on tokenizer files, which
 SQL can't express: ORACLE_SQL is None.
 """
 
@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from waytrace.llm import mixing, packing, quality, secret_ledger, simhash
-from waytrace.llm.common import shared_dir, table
+from waytrace.llm.common import shared_dir, table, text_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,23 +32,28 @@ RADIUS = 3
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
+    with text_batches(spark):
+        return quality.keep_good(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, SHINGLE, RADIUS, SIMILARITY)
+    with text_batches(spark):
+        return simhash.keep_one(docs, SHINGLE, RADIUS, SIMILARITY)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_ledger.redact(docs)
+    with text_batches(spark):
+        return secret_ledger.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_rows(docs)
+    with text_batches(spark):
+        return mixing.mix_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    with text_batches(spark):
+        return packing.pack(docs)
 
 
 STAGES = [
@@ -68,6 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/waytrace-pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows = stage(spark, docs, sf_dir)
+        with text_batches(spark):
+            rows.write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

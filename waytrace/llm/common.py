@@ -1,20 +1,29 @@
-"""What the text operators share: table reads, staged tables, Arrow text buffers."""
+"""What the text operators share: table reads, staged tables, Arrow text buffers, what workers keep."""
 
 from __future__ import annotations
 
 import bisect
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step looks at; a longer text is cut into segments.
 SEGMENT_BYTES = 1 << 20
+#: Rows with whole texts that an executor and a worker hold at once, where ``text_batches`` is in force.
+BATCH_ROWS = 1024
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What operators keep in a worker from task to task, by operator.
+KEPT: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +51,63 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's ``rows``, held by the plan itself. A list given to ``createDataFrame`` passes through Python on the
+    executors, which start workers of another kind for it that stay beside those of the operators."""
+    kind = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kind)
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kind)
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run meanwhile pass ``BATCH_ROWS`` rows at a time to Python, or fewer if the session says so."""
+    before = spark.conf.get(_ROWS_CONF, None)
+    if before is None or not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ROWS_CONF)
+        else:
+            spark.conf.set(_ROWS_CONF, before)
+
+
+def kept(owner: str) -> dict:
+    """What the operator ``owner`` keeps in this worker."""
+    return KEPT.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which allocators otherwise hold for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError, TypeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget_others(owner: str) -> None:
+    """Drop what operators other than ``owner`` keep in this worker."""
+    held = [v for k, v in KEPT.items() if k != owner and v]
+    for v in held:
+        v.clear()
+    if held:
+        give_back()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, by the operator ``owner``. Workers outlive their tasks and share an executor's memory with
+    its JVM, so what others kept goes before and what the task freed goes back after."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
 #: Rows from which on a join key may count as hot, and the share of all rows that makes it one.
 HOT_ROWS = 1000
 HOT_SHARE = 1000
@@ -130,7 +196,7 @@ def id_ranges(df: DataFrame, column: str, parts: int, rows: int) -> tuple[list[f
     for number, n in enumerate(cuts):
         table.append((number, base, n))
         base += n
-    return bounds, df.sparkSession.createDataFrame(table, "_number int, _base int, _cuts int"), base
+    return bounds, local_table(df.sparkSession, table, "_number int, _base int, _cuts int"), base
 
 
 def part_number(df: DataFrame, column: str, ranges: tuple[list[float], DataFrame, int], tie: Column, name: str) -> DataFrame:

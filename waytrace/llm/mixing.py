@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import free_prefix, staged, table
+from waytrace.llm.common import free_prefix, lean, local_table, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -147,7 +147,7 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     for p, n in sorted(tuple(r) for r in ordered.groupBy(part.alias("part")).count().collect()):  # one row per partition
         counts.append((p, before))
         before += n
-    offsets = ordered.sparkSession.createDataFrame(counts, "part long, before long")
+    offsets = local_table(ordered.sparkSession, counts, "part long, before long")
     sid = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ordered.join(F.broadcast(offsets), part == offsets["part"]).select("source", "source_size", "rows", sid.alias("sid"))
@@ -192,7 +192,7 @@ def quota_ranges(sources: DataFrame, block: int, shards: int, seed: int) -> Data
 
     totals = sorted(tuple(r) for r in segments.groupBy("segment").applyInPandas(total, "segment long, draws long").collect())
     top = split_tree(np.array([d for _, d in totals], np.int64), even(sum(d for _, d in totals), shards), seed) if totals else np.zeros((0, shards), np.int64)
-    rooms = spark.createDataFrame([(s, row.tolist()) for (s, _), row in zip(totals, top, strict=True)], "segment long, room array<long>")
+    rooms = local_table(spark, [(s, row.tolist()) for (s, _), row in zip(totals, top, strict=True)], "segment long, room array<long>")
 
     def deal(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sid")
@@ -260,7 +260,7 @@ def block_draws(sources: DataFrame, block: int, seed: int) -> DataFrame:
                 place = mix64(sid[row], draw, seed + 1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid[row], number, turn, shard[row], place, open_)], names=["sid", "block", "pass", "shard", "place", "open"])
 
-    return ranges.mapInArrow(run, "sid long, block long, pass long, shard long, place long, open long")
+    return ranges.mapInArrow(lean(run, "mixing"), "sid long, block long, pass long, shard long, place long, open long")
 
 
 def draws(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import staged, table
+from waytrace.llm.common import kept, lean, staged, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -139,11 +139,11 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[str, WordTokenizer] = kept("packing")
 
 
 def tokenizer_for(path: str) -> WordTokenizer:
-    """One per worker and file, so that the words it knows serve later tasks."""
+    """One per worker and file, so that the words it knows serve later tasks, until another operator runs there."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
@@ -183,7 +183,7 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run, "packing"), PIECES)
 
 
 def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import SEGMENT_BYTES, table, texts
+from waytrace.llm.common import SEGMENT_BYTES, lean, table, texts
 
 BUCKETS = 1 << 16
 SAMPLE_ROWS = 6000
@@ -281,7 +281,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                     held[code] = held.get(code, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["code", "n"])
 
-    found = sorted(tuple(r) for r in rows.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n")).collect())
+    found = sorted(tuple(r) for r in rows.select("text").mapInArrow(lean(count, "quality"), "code long, n long").groupBy("code").agg(F.sum("n")).collect())
     model = expectation_maximisation([c for c, _ in found], [n for _, n in found])
     sizes = [0, 0]
     for code, n in found:
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                         yield pa.RecordBatch.from_arrays([pa.array([draw]), pa.array([good]), pa.array([f.tolist()], pa.list_(pa.int64())), pa.array([(times / counts[WORDS]).tolist()], pa.list_(pa.float64()))], names=["draw", "good", "features", "shares"])
 
     # bounded by sample_rows
-    drawn = rows.where(F.col("draw") < max(chance)).select("draw", "text").mapInArrow(sample, "draw long, good double, features array<long>, shares array<double>").toArrow()
+    drawn = rows.where(F.col("draw") < max(chance)).select("draw", "text").mapInArrow(lean(sample, "quality"), "draw long, good double, features array<long>, shares array<double>").toArrow()
     drawn = drawn.sort_by([("draw", "ascending"), ("good", "ascending")]).combine_chunks()
     if drawn.num_rows:
         lists = drawn.column("features").combine_chunks()
@@ -331,7 +331,7 @@ def classify(docs: DataFrame, model: Model | None = None, threshold: float = THR
                     names=["doc_id", "votes", "posterior", "score", "keep"],
                 )
 
-    return _rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, votes string, posterior double, score double, keep boolean")
+    return _rows(docs).select("doc_id", "text").mapInArrow(lean(run, "quality"), "doc_id long, votes string, posterior double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -347,7 +347,7 @@ def keep_good(docs: DataFrame, model: Model | None = None, threshold: float = TH
                 read = [read_text(t) for t in texts(batch.column(at))]
                 yield batch.filter(pa.array([m.score(f, int(c[WORDS])) >= threshold for c, f in read], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, "quality"), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

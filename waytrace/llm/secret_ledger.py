@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import free_prefix, shared_dir, skew_join, staged, table
+from waytrace.llm.common import free_prefix, local_table, shared_dir, skew_join, staged, table
 
 #: Matches whose positions are summed up together.
 RUN = 256
@@ -111,7 +111,7 @@ def entries_in(spark: SparkSession, ledger: str) -> DataFrame:
     try:
         held = spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException:
-        held = spark.createDataFrame([], LEDGER)
+        held = local_table(spark, [], LEDGER)
     return held.select("blob", F.explode("entries").alias("e")).select("blob", "e.rule", "e.version", "e.spans")
 
 

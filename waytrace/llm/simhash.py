@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waytrace.llm.common import free_prefix, skew_join, staged, table, texts
+from waytrace.llm.common import free_prefix, lean, skew_join, staged, table, texts
 
 SHINGLE = 3
 RADIUS = 3
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, with_sets: bool = False, row
     schema = "doc_id long, row long, fp long" + (", size long, bitmap binary, bands array<long>, node long, key long" if with_sets else "")
     text = F.col("text").cast("string")
     key = [F.xxhash64(text).alias("key")] if with_sets else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), text.alias("text"), *key).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(row).alias("row"), text.alias("text"), *key).mapInArrow(lean(run, "simhash"), schema)
 
 
 def distances(fps: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -342,7 +342,7 @@ def link_forest(nodes: DataFrame, radius: int) -> DataFrame:
         child = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": ids[child], "b": ids[roots[child]]})
 
-    dealt = nodes.mapInArrow(deal, "shard long, home boolean, node long, fp long")
+    dealt = nodes.mapInArrow(lean(deal, "simhash"), "shard long, home boolean, node long, fp long")
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long").where("a <> b")
 
 
@@ -361,7 +361,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) ->
                 sets = [np.unique(shingle_hashes(text, k)).tobytes() for text in texts(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=[NODE, "hashes"])
 
-    return found.select(NODE, "text").mapInArrow(run, "node long, hashes binary")
+    return found.select(NODE, "text").mapInArrow(lean(run, "simhash"), "node long, hashes binary")
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, min_jaccard: float) -> DataFrame:
@@ -380,7 +380,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int,
                 near.append(bool(apart <= unlike(len(x), len(y), min_jaccard)))
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    return staged(both.mapInArrow(run, "a long, b long"), "links")
+    return staged(both.mapInArrow(lean(run, "simhash"), "a long, b long"), "links")
 
 
 def likely_pairs(nodes: DataFrame, pairs: DataFrame, min_jaccard: float) -> DataFrame:
@@ -395,7 +395,7 @@ def likely_pairs(nodes: DataFrame, pairs: DataFrame, min_jaccard: float) -> Data
             sizes, marks = [batch.column(i).to_numpy() for i in (2, 3)], [batch.column(i).to_pylist() for i in (4, 5)]
             yield batch.select([0, 1]).filter(pa.array(may_link(*sizes, *marks, min_jaccard), pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run, "simhash"), "a long, b long")
 
 
 def cell_pairs(cells: np.ndarray, slices: np.ndarray, cross: np.ndarray, sizes: np.ndarray, labels: np.ndarray, marks: list[bytes], min_jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -447,7 +447,7 @@ def pairs_of_labels(nodes: DataFrame, labels: DataFrame, min_jaccard: float) ->
         if held:
             yield from compare(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run, "simhash"), "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, k: int, radius: int, min_jaccard: float) -> DataFrame:
